@@ -41,6 +41,11 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def powers(n: int) -> np.ndarray:
+    """Powers 0 to n of the base of polynomial hashes."""
+    return _powers(n)[0]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the finaliser of MurmurHash3)."""
     h = h.astype(np.uint64, copy=True)
