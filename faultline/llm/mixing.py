@@ -98,6 +98,18 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "tag")
 
 
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents that the mix takes, with their columns, and taken: their words in it, repeats counted.
+
+    A row of the mix stands for all rows of its id, source and size, which leave together.
+    """
+    plan = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
+    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).distinct()
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (size == F.col("__size"))
+    return docs.join(plan, same).select(*[docs[c] for c in docs.columns if c != "taken"], F.col("__taken").alias("taken"))
+
+
 def op8(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import chat, decontaminate, mixing, quality_rules, warc
+from faultline.llm import chat, decontaminate, lines, lm, minhash, mixing, quality_classifier, quality_rules, toxicity, warc
 from faultline.llm.common import read
 
 
@@ -14,9 +14,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": lambda s, d: chat.op1(read(s, d, "conversations")),
         "op2_decontamination": lambda s, d: decontaminate.op2(read(s, d, "documents"), read(s, d, "benchmark")),
+        "op3_quality_classifier": lambda s, d: quality_classifier.op3(read(s, d, "documents"), read(s, d, "labels")),
         "op4_quality_rules": lambda s, d: quality_rules.op4(read(s, d, "documents")),
+        "op5_minhash_near_dedup": lambda s, d: minhash.op5(read(s, d, "documents")),
+        "op6_toxicity": lambda s, d: toxicity.op6(read(s, d, "documents"), read(s, d, "labels")),
+        "op7_line_dedup": lambda s, d: lines.op7(read(s, d, "documents")),
         "op8_mixing": lambda s, d: mixing.op8(read(s, d, "documents")),
         "op9_warc": lambda s, d: warc.op9(read(s, d, "pages")),
+        "op10_lm_scoring": lambda s, d: lm.op10(read(s, d, "documents")),
     }
 
 
