@@ -1,8 +1,9 @@
 """Linking items that share buckets into classes, without listing the pairs of a bucket.
 
-Buckets are first counted, partly summed before the shuffle; those of one item go. Then, in a few rounds, every item is
-held against one leader of its buckets, the smallest by an order that changes from round to round; what passes the
-sketch test is verified and the classes grow. Buckets whose items are all in one class are finished. What is left, items
+Buckets are first counted, partly summed before the shuffle; those of one item go. Then every item is held against one
+leader of its buckets: the item that shares the most buckets with the most others, which in a group of edited copies is
+the text that they were made from or the one nearest to it. In further rounds the leader is the smallest by some hash.
+What passes the sketch test is verified and the classes grow. Buckets whose items are all in one class are finished. What is left, items
 of one bucket in different classes, is compared within blocks of bounded size by its sketches alone, so that no pair
 which passes the sketch test is lost, however large the bucket; only pairs that pass are ever made into rows.
 """
@@ -58,10 +59,11 @@ def link(items: DataFrame, keys: Column, sketch: list[str], close: Callable[[str
     rows = items.select("node", F.explode(F.array_distinct(keys)).alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
     buckets = scratch.keep(buckets, "buckets")
-    large = rows.join(small(buckets.where("n > 2").select("key", "low")), "key").select("key", "node", "low")
-    twos = buckets.where("n = 2")
-    shared = twos.select("key", F.col("high").alias("node"), "low").unionAll(twos.select("key", "low", "low")).unionAll(large)
-    shared = scratch.keep(shared, "shared")
+    large = rows.join(small(buckets.where("n > 2").select("key", "n")), "key").select("key", "node", "n")
+    twos = buckets.where("n = 2").select("key", F.explode(F.array("low", "high")).alias("node"), "n")
+    shared = scratch.keep(twos.unionAll(large), "met")
+    meets = shared.groupBy("node").agg(F.sum("n").alias("meets"))
+    shared = scratch.keep(shared.join(meets, "node").select("key", "node", "n", "meets"), "shared")
     sketches = items.select("node", *sketch)
 
     def with_sketches(pairs: DataFrame) -> DataFrame:
@@ -73,8 +75,9 @@ def link(items: DataFrame, keys: Column, sketch: list[str], close: Callable[[str
     roots = items.select("node", F.col("node").alias("root")).where("false")
     for k in range(rounds + 1):
         if k == 0:
-            pairs = shared.where("node <> low").groupBy("node").agg(F.min("low").alias("b")).withColumnRenamed("node", "a")
-            pairs = with_sketches(pairs)
+            leaders = shared.groupBy("key").agg(F.max(F.struct("meets", F.col("node").alias("b"))).alias("leader"))
+            pairs = shared.join(leaders, "key").where("node <> leader.b").groupBy("node").agg(F.max("leader").alias("leader"))
+            pairs = with_sketches(pairs.select(F.col("node").alias("a"), F.col("leader.b").alias("b")))
         else:
             rooted = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
             rooted = scratch.keep(rooted, f"rooted-{k}")
