@@ -110,7 +110,7 @@ def format_turns(turns: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.struct("role", F.sha2(F.col("text").cast("binary"), 256)))
-    encoded = rows.mapInArrow(_encode(tokenizer, ["conv_id", "turn", "tie"]), "conv_id bigint, turn bigint, tie struct<role:string,col2:string>, ids array<int>, mask array<boolean>, n_ids bigint")
+    encoded = rows.transform(in_batches).mapInArrow(_encode(tokenizer, ["conv_id", "turn", "tie"]), "conv_id bigint, turn bigint, tie struct<role:string,col2:string>, ids array<int>, mask array<boolean>, n_ids bigint")
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "tie")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return encoded.select("conv_id", "turn", F.row_number().over(order).alias("position"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"), "ids", "mask", "n_ids")
@@ -160,7 +160,7 @@ def read_back(formatted: DataFrame, *, tokenizer: str = TOKENIZER) -> DataFrame:
     """
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_ids bigint"
     n = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "position").select("conv_id", "ids", "mask").mapInArrow(_digest(tokenizer), schema)
+    return formatted.repartition(n, "conv_id").sortWithinPartitions("conv_id", "position").select("conv_id", "ids", "mask").transform(in_batches).mapInArrow(_digest(tokenizer), schema)
 
 
 def op1(conversations: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """What the corpus operators share: words of Arrow text columns as numpy arrays, hash splits, scratch tables.
 
-Texts are handled as the UTF-8 buffer of an Arrow column, in chunks of whole rows of about two megabytes, so
+Texts are handled as the UTF-8 buffer of an Arrow column, in chunks of whole rows of about half a megabyte, so
 memory stays bounded by the chunk or by the longest single text.
 """
 
@@ -35,7 +35,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> list[np.ndarray]:
     if len(_POWERS[0]) <= n:
         for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n + 1, 1 << 21), base, np.uint64)
+            steps = np.full(max(n + 1, 1 << 19), base, np.uint64)
             steps[0] = 1
             _POWERS[k] = np.multiply.accumulate(steps)
     return _POWERS
@@ -57,6 +57,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, whose Python tasks now get a thousand rows at a time: whole texts need more room than the usual rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return df
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """The column as large strings, null as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -64,7 +70,7 @@ def text_array(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string()).fill_null("")
 
 
-def chunks(column: pa.Array, budget: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, budget: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row range, bytes and row offsets of consecutive rows of at most budget bytes together (or one row)."""
     texts = text_array(column)
     n = len(texts)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import ALNUM, LOWER, Words, chunks
+from faultline.llm.common import ALNUM, LOWER, Words, chunks, in_batches
 
 WINDOW = 13
 #: Bytes of benchmark text in one broadcast block.
@@ -198,7 +198,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
         last = b == blocks - 1
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema]
         fields += ["n_words bigint, n_hit bigint, n_items bigint, items array<string>, contaminated boolean, longest bigint", f"matches {MATCH_DDL}"] if last else [f"`{text_col}` string", f"__matches {MATCH_DDL}"]
-        out = out.mapInArrow(_pass(block, window, names, text_col, text_col, last), ", ".join(fields))
+        out = out.transform(in_batches).mapInArrow(_pass(block, window, names, text_col, text_col, last), ", ".join(fields))
     return out
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import INK, LOWER, Scratch, Words, chunks, mix, powers
+from faultline.llm.common import INK, LOWER, Scratch, Words, chunks, in_batches, mix, powers
 from faultline.llm.linking import link, small
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -54,7 +54,7 @@ def signatures(row: np.ndarray, h: np.ndarray, weight: np.ndarray, rows: int, m:
     time, drawn, step = np.zeros(len(h)), 0, 1
     alive = np.arange(len(h))
     while len(alive):
-        k = max(1, min(step, 4_000_000 // len(alive)))
+        k = max(1, min(step, 500_000 // len(alive)))
         draw = (np.arange(drawn, drawn + k, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
         u = mix(h[alive][:, None] ^ draw)
         gap = -np.log(((u >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weight[alive][:, None]
@@ -154,7 +154,7 @@ def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, size
     """id, said (a hash of the text), node (a hash of its words) and root, the class, of each row."""
     rows_in = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("said"), F.col(text_col).alias("text"))
     kind = rows_in.schema["id"].dataType.simpleString()
-    signed = rows_in.mapInArrow(_sign(size, bands, rows), f"id {kind}, said bigint, node bigint, n_shingles bigint, bands array<bigint>, bits array<bigint>")
+    signed = rows_in.transform(in_batches).mapInArrow(_sign(size, bands, rows), f"id {kind}, said bigint, node bigint, n_shingles bigint, bands array<bigint>, bits array<bigint>")
     signed = scratch.keep(signed, "signed")
     words = max(REGISTERS, -(-bands * rows // 64) * 64) // 64
     sketch = [f"x{k}" for k in range(PLANES * words)]
@@ -172,11 +172,11 @@ def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, size
         wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "id"), "node")
         wanted = scratch.keep(wanted.select(F.col("node").alias("wanted"), F.col("id").alias("wanted_id")), f"{name}-wanted")
         texts = rows_in.join(small(wanted), F.col("id").eqNullSafe(F.col("wanted_id"))).select("wanted", "text")
-        sets = texts.mapInArrow(_sets(size), "node bigint, wanted bigint, set binary, often binary").where("node = wanted").drop("wanted")
+        sets = texts.transform(in_batches).mapInArrow(_sets(size), "node bigint, wanted bigint, set binary, often binary").where("node = wanted").drop("wanted")
         sets = scratch.keep(sets.dropDuplicates(["node"]), f"{name}-sets")
         for side in "ab":
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"{side}_set"), F.col("often").alias(f"{side}_often")), side)
-        return pairs.mapInArrow(_compare(least), "a bigint, b bigint")
+        return pairs.transform(in_batches).mapInArrow(_compare(least), "a bigint, b bigint")
 
     roots = link(nodes, F.col("bands"), sketch, close, verify, scratch)
     return signed.select("id", "said", "node").join(roots, "node", "left").select("id", "said", "node", F.coalesce("root", "node").alias("root"))

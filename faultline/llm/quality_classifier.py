@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import ALNUM, INK, LOWER, Words, chunks, id_mod, prefix_hash, span_hash
+from faultline.llm.common import ALNUM, INK, LOWER, Words, chunks, id_mod, in_batches, prefix_hash, span_hash
 from faultline.llm.quality_rules import duplicate_lines
 
 #: Labelled texts that the space is built from and that vote, at most: it bounds what travels and what the driver holds.
@@ -141,12 +141,12 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, learn, id_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     taught = rows.join(F.broadcast(sample_labels(labels, id_col, label_col, learn, sample)), F.col("id") == F.col("sampled")).select("label", "text")
-    found = taught.mapInArrow(_terms, "label double, terms binary, counts binary").toArrow().to_pylist()
+    found = taught.transform(in_batches).mapInArrow(_terms, "label double, terms binary, counts binary").toArrow().to_pylist()
     found = sorted(found, key=lambda r: (r["terms"], r["counts"], r["label"]))[: 2 * sample]
     texts = [(np.frombuffer(r["terms"], np.int32), np.frombuffer(r["counts"], np.int64)) for r in found]
     space = spark.sparkContext.broadcast(Space(texts, np.array([r["label"] for r in found]), dimensions))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_score(space, neighbours), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return rows.transform(in_batches).mapInArrow(_score(space, neighbours), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def op3(docs: DataFrame, labels: DataFrame) -> DataFrame:

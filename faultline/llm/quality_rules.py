@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import ALNUM, INK, LOWER, Words, chunks, mix, prefix_hash, span_hash
+from faultline.llm.common import ALNUM, INK, LOWER, Words, chunks, in_batches, mix, prefix_hash, span_hash
 
 #: Character classes by the first byte of a character: small and capital ASCII letters, digits, blanks, punctuation of
 #: prose, other signs, other letters. Continuation bytes have none.
@@ -89,7 +89,7 @@ def language_references(docs: DataFrame, lang_col: str = "lang", common_words: i
     docs must have __lang (see judge). Words are counted where they are, partly summed before the shuffle, and only
     the first few of each task and language move on to the ranking.
     """
-    counted = docs.select("__lang", "text").mapInArrow(_count, "lang string, kind int, what string, n bigint")
+    counted = docs.select("__lang", "text").transform(in_batches).mapInArrow(_count, "lang string, kind int, what string, n bigint")
     sums = counted.groupBy("lang", "kind", "what").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "what"))
     return sums.withColumn("rank", rank).where(F.col("rank") <= common_words)
@@ -227,7 +227,7 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ca
     references = spark.sparkContext.broadcast(References(rows, common_words))
     inner = known.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(names)], "__lang", F.col(text_col).alias("text"))
     fields = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(names))
-    judged = inner.mapInArrow(_judge(references, [f"c{k}" for k in range(len(names))], limits), f"{fields}, {NEW_DDL}" if names else NEW_DDL)
+    judged = inner.transform(in_batches).mapInArrow(_judge(references, [f"c{k}" for k in range(len(names))], limits), f"{fields}, {NEW_DDL}" if names else NEW_DDL)
     return judged.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], *NEW)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import ALNUM, LOWER, Words, chunks, id_mod, mix, prefix_hash, span_hash
+from faultline.llm.common import ALNUM, LOWER, Words, chunks, id_mod, in_batches, mix, prefix_hash, span_hash
 from faultline.llm.quality_classifier import sample_labels
 
 #: Labelled texts that teach, at most; bins of hashed features; features that get a weight, at most.
@@ -161,10 +161,10 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, learn, id_col: str
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     taught = rows.join(F.broadcast(sample_labels(labels, id_col, label_col, learn, sample)), F.col("id") == F.col("sampled")).select("label", "text")
-    found = sorted(taught.mapInArrow(_present, "label double, bins binary").toArrow().to_pylist(), key=lambda r: (r["bins"], r["label"]))[: 2 * sample]
+    found = sorted(taught.transform(in_batches).mapInArrow(_present, "label double, bins binary").toArrow().to_pylist(), key=lambda r: (r["bins"], r["label"]))[: 2 * sample]
     model = Classifier([np.frombuffer(r["bins"], np.int32) for r in found], np.array([r["label"] for r in found]), identities, counterfactual)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return rows.transform(in_batches).mapInArrow(_score(spark.sparkContext.broadcast(model)), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import Scratch
+from faultline.llm.common import Scratch, in_batches
 
 REVISIT_BYTES = 1000
 #: Bytes of records in one file, records' bytes that a dictionary is built from, and of the dictionary.
@@ -164,7 +164,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    return plan_records(pages).mapInArrow(_write(folder), "file string, records bigint")
+    return plan_records(pages).transform(in_batches).mapInArrow(_write(folder), "file string, records bigint")
 
 
 def _read(batches):
@@ -195,7 +195,7 @@ def _records(rows):
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to of each record."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInArrow(_read, "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return files.transform(in_batches).mapInArrow(_read, "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def op9(pages: DataFrame) -> DataFrame:
