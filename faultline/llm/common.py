@@ -159,7 +159,10 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-    def drop(self, name: str) -> None:
+    def drop(self, pattern: str) -> None:
+        """Deletes the tables whose names the pattern (with * and ?) matches, once nothing reads them any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
+        store = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for found in store.globStatus(path) or []:
+            store.delete(found.getPath(), True)

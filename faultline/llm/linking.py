@@ -2,10 +2,11 @@
 
 Buckets are first counted, partly summed before the shuffle; those of one item go. Then every item is held against one
 leader of its buckets: the item that shares the most buckets with the most others, which in a group of edited copies is
-the text that they were made from or the one nearest to it. In further rounds the leader is the smallest by some hash.
-What passes the sketch test is verified and the classes grow. Buckets whose items are all in one class are finished. What is left, items
-of one bucket in different classes, is compared within blocks of bounded size by its sketches alone, so that no pair
-which passes the sketch test is lost, however large the bucket; only pairs that pass are ever made into rows.
+the text that they were made from or the one nearest to it. In further rounds, if any, the leader is the smallest by
+some hash. What passes the sketch test is verified and the classes grow. Buckets whose items are all in one class are
+finished. What is left, items of one bucket in different classes, is compared within blocks of bounded size by its
+sketches alone, so that no pair which passes the sketch test is lost, however large the bucket; only pairs that pass
+are ever made into rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from faultline.llm.common import Scratch
 #: Rows of a side that is broadcast, at most; beyond it Spark shuffles both sides.
 SMALL_ROWS = 1 << 20
 #: Items of a block in the comparison of what is left, and rounds with leaders before it.
-BLOCK, ROUNDS = 1000, 2
+BLOCK, ROUNDS = 1000, 1
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -61,9 +62,8 @@ def link(items: DataFrame, keys: Column, sketch: list[str], close: Callable[[str
     buckets = scratch.keep(buckets, "buckets")
     large = rows.join(small(buckets.where("n > 2").select("key", "n")), "key").select("key", "node", "n")
     twos = buckets.where("n = 2").select("key", F.explode(F.array("low", "high")).alias("node"), "n")
-    shared = scratch.keep(twos.unionAll(large), "met")
-    meets = shared.groupBy("node").agg(F.sum("n").alias("meets"))
-    shared = scratch.keep(shared.join(meets, "node").select("key", "node", "n", "meets"), "shared")
+    shared = scratch.keep(twos.unionAll(large), "shared")
+    scratch.drop("buckets")
     sketches = items.select("node", *sketch)
 
     def with_sketches(pairs: DataFrame) -> DataFrame:
@@ -71,24 +71,28 @@ def link(items: DataFrame, keys: Column, sketch: list[str], close: Callable[[str
             pairs = pairs.join(sketches.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sketch]), side)
         return pairs.where(close("a_", "b_")).select("a", "b")
 
-    links, tested = None, None
-    roots = items.select("node", F.col("node").alias("root")).where("false")
+    links, tested, roots = None, None, None
     for k in range(rounds + 1):
         if k == 0:
-            leaders = shared.groupBy("key").agg(F.max(F.struct("meets", F.col("node").alias("b"))).alias("leader"))
-            pairs = shared.join(leaders, "key").where("node <> leader.b").groupBy("node").agg(F.max("leader").alias("leader"))
-            pairs = with_sketches(pairs.select(F.col("node").alias("a"), F.col("leader.b").alias("b")))
+            # of equal numbers of meetings, the node's own bits decide
+            meets = scratch.keep(shared.groupBy("node").agg((F.sum("n") * (1 << 20) + F.pmod("node", F.lit(1 << 20))).alias("meets")), "meets")
+            met = shared.join(small(meets), "node")
+            leaders = met.groupBy("key").agg(F.max_by("node", "meets").alias("leader"), F.max("meets").alias("most"))
+            leaders = scratch.keep(leaders, "leaders")
+            pairs = shared.join(small(leaders), "key").where("node <> leader").groupBy("node").agg(F.max_by("leader", "most").alias("b"))
+            pairs = with_sketches(pairs.withColumnRenamed("node", "a"))
         else:
-            rooted = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-            rooted = scratch.keep(rooted, f"rooted-{k}")
-            leader = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), "node", "root"))
-            mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), leader.alias("leader"), F.count("*").alias("n")).where("low <> high")
-            mixed = scratch.keep(mixed.select("key", "leader", "n"), f"mixed-{k}")
+            rooted = shared.select("key", "node", "n") if roots is None else shared.select("key", "node", "n").join(small(roots), "node", "left")
+            rooted = rooted.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node")).withColumn("order", F.xxhash64("node", F.lit(k)))
+            mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", "order").alias("leader"), F.min_by("root", "order").alias("leader_root"))
+            mixed = scratch.keep(mixed.where("low <> high").select("key", "leader", "leader_root"), f"mixed-{k}")
             if mixed.isEmpty():
                 break
-            shared = scratch.keep(rooted.join(small(mixed), "key").select("key", "node", "root", "leader", "n"), f"shared-{k}")
+            now = scratch.keep(rooted.join(small(mixed), "key").select("key", "node", "n", "root", "leader", "leader_root"), f"shared-{k}")
+            scratch.drop("shared" if k == 1 else f"shared-{k - 1}")
+            shared = now
             if k < rounds:
-                pairs = shared.where("root <> leader.root").groupBy("node").agg(F.min("leader.node").alias("b")).withColumnRenamed("node", "a")
+                pairs = shared.where("root <> leader_root").groupBy("node").agg(F.min("leader").alias("b")).withColumnRenamed("node", "a")
                 pairs = with_sketches(pairs)
             else:
                 pairs = _blocks(shared, sketches, sketch, close, block)
@@ -97,17 +101,20 @@ def link(items: DataFrame, keys: Column, sketch: list[str], close: Callable[[str
         tested = pairs if tested is None else tested.unionAll(pairs)
         if not pairs.isEmpty():
             found = scratch.keep(verify(pairs, f"verify-{k}"), f"links-{k}")
+            scratch.drop(f"verify-{k}-*")
             if not found.isEmpty():
                 links = found if links is None else links.unionAll(found)
                 roots = scratch.keep(components(links, scratch, f"stars-{k}"), f"roots-{k}")
-    return roots
+                scratch.drop(f"stars-{k}-*")
+    return items.select("node", F.col("node").alias("root")).where("false") if roots is None else roots
 
 
 def _blocks(shared: DataFrame, sketches: DataFrame, sketch: list[str], close: Callable[[str, str], Column], block: int) -> DataFrame:
     """The pairs a < b of a bucket, of different roots, whose sketches are close.
 
     A bucket of n items is cut into n / block blocks on one side; the other side goes to each of them. A task so
-    compares block times n items at most, without making rows of pairs that aren't close.
+    compares block times n items at most, without making rows of pairs that aren't close. n is the size of the bucket
+    before any of it was found to be one class.
     """
     full = shared.join(sketches, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     cols = ["key", "node", "root", *sketch]
