@@ -223,7 +223,7 @@ def test_context_tree_is_a_probability():
         parts.append([b.column(c).to_numpy() for c in ("slot", "zeros", "ones", "node")])
     slot, zeros, ones, node = (np.concatenate(x) for x in zip(*parts, strict=True))
     keep = np.unique(slot, return_index=True)[1]
-    tree = lm.Tree(slot[keep], zeros[keep], ones[keep], node[keep], 4, 1 << 16)
+    tree = lm.Tree(node[keep], zeros[keep], ones[keep], 4, 1 << 16)
     context = int.from_bytes(b"abra", "big") << 8
     total = (10 ** tree.log10(np.arange(256, dtype=np.uint64) + np.uint64(context))).sum()
     assert abs(total - 1) < 1e-6
