@@ -90,3 +90,10 @@ DOCKER_FILE = r"(^|/)(Dockerfile[^/]*|[^/]*\.dockerfile|docker-compose[^/]*)$"
 CONFIG_FILE = r"(^|/)(tox\.ini|setup\.cfg|pytest\.ini|mypy\.ini|\.flake8|\.?ruff\.toml|pyproject\.toml|\.pre-commit-config\.yaml|noxfile\.py|\.coveragerc|\.?pylintrc|Makefile|codecov\.ya?ml)$"
 TEST_FILE = r"(^|/)(tests?|testing)/|(^|/)(test_[^/]*|[^/]*_test)\.py$|conftest\.py$"
 REVERT = r"This reverts commit ([0-9a-f]{7,40})"
+
+# Patterns and folders of paths in logs.
+TRACEBACK_FILE = r'File "([^"]+\.pyi?)", line \d+'
+PATH_LINE = r"(?<![\w/.\\-])((?:[\w.-]+[/\\])*[\w.-]+\.pyi?)(?::\d+|::)"
+WORKSPACE = r"^(?:/home/runner/work|/Users/runner/work|[A-Za-z]:/a)/[^/]+/[^/]+/"
+NON_REPO_DIRS = (".tox", ".nox", ".venv", "venv", "env", "__pypackages__", "node_modules")
+SITE_DIRS = ("site-packages/", "dist-packages/")

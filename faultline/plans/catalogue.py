@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as C
 from faultline.functions import patterns as P
-from faultline.operators import logs, rules, scoring, streaks
+from faultline.operators import logs, references, rules, scoring, streaks
 from faultline.plans import inline as I
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -340,3 +340,34 @@ def excerpt_head_tail(s, d):
     docs = read(s, d, "documents").select("doc_id", "text")
     cut = logs.excerpt(logs.lines_of(docs, "doc_id", "text"), "doc_id", 500, 2)
     return docs.join(cut, "doc_id", "left").select("doc_id", (~F.coalesce("truncated", F.lit(False))).alias("whole"), F.length("text").cast("long").alias("chars"))
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'tests/test_a.py'), (2, 0, 'src/app.py'), (3, 0, 'src/app.py')) AS v(id, rank, path)")
+def file_references(s, d):
+    return references.file_references(log_bodies(s), "id")
+
+
+_DIRS = "'" + "', '".join(P.NON_REPO_DIRS) + "'"
+
+
+@query(f"""WITH f AS (SELECT * FROM {I.values([(p,) for p in I.FILES], 'file')}),
+c AS (SELECT id, regexp_replace(regexp_replace(replace(raw, '\\', '/'), '{P.WORKSPACE}', ''), '^\\./', '') AS path FROM {I.values(enumerate(I.NAMED_PATHS), 'id, raw')}),
+t AS (SELECT id, path, CASE WHEN contains(path, 'site-packages/') THEN regexp_extract(path, '^.*?site-packages/(.*)$', 1) WHEN contains(path, 'dist-packages/') THEN regexp_extract(path, '^.*?dist-packages/(.*)$', 1)
+  WHEN NOT starts_with(path, '/') AND NOT list_has_any(string_split(path, '/'), [{_DIRS}]) THEN path END AS tail FROM c),
+r AS (SELECT id, coalesce((SELECT file FROM f WHERE file = path), (SELECT file FROM f WHERE file = tail), CASE WHEN contains(tail, '/') AND (SELECT count(*) FROM f WHERE ends_with(file, '/' || tail)) = 1 THEN (SELECT min(file) FROM f WHERE ends_with(file, '/' || tail)) END) AS path FROM t)
+SELECT id, path FROM r WHERE path IS NOT NULL""")
+def path_resolution(s, d):
+    files = I.table(s, [(p,) for p in I.FILES], "path string")
+    return references.resolve_paths(I.table(s, enumerate(I.NAMED_PATHS), "id int, raw string"), files, "id")
+
+
+@query(f"""WITH w AS (SELECT id, pos, sha, unnest(regexp_extract_all(message, '{P.REVERT}', 1)) AS prefix FROM {I.values(I.WINDOWS, 'id, pos, sha, message')})
+SELECT w.id, arg_min(sha, pos) AS sha FROM w JOIN {I.values(I.BROKEN, 'id, broken').replace('AS v(', 'AS b(')} ON w.id = b.id AND starts_with(broken, prefix) GROUP BY 1""")
+def revert_match(s, d):
+    return references.reverts(I.table(s, I.WINDOWS, "id int, pos int, sha string, message string"), I.table(s, I.BROKEN, "id int, broken string"), "id")
+
+
+@query(f"""WITH h AS (SELECT q.id, contains(text, quote) AS held FROM {I.values(I.QUOTES, 'id, quote').replace('AS v(', 'AS q(')} JOIN {I.LOG_VALUES} ON v.id = q.id)
+SELECT count(*) AS items, count(*) FILTER (held) AS grounded, round(count(*) FILTER (held) / count(*), 6) AS rate, count(DISTINCT id) FILTER (NOT held) AS ungrounded_cases FROM h""")
+def grounding_summary(s, d):
+    return references.grounding(I.table(s, I.QUOTES, "id int, quote string"), I.table(s, I.LOGS.items(), "id int, text string"), "id")

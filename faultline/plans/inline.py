@@ -19,6 +19,11 @@ PATHS = ["docs/a.md", ".github/workflows/ci.yml", "requirements/dev.txt", "requi
 RAW_PATHS = ["src/app.py", " /etc/passwd", "a/../b", "C:\\x\\y", "src\\app.py", "", "a//b", ".git/config", "./x", "a/b/", "x" * 301]
 DIFFS = {1: "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n a\n-b\n+c\n+d\ndiff --git a/y.py b/y.py\n--- a/y.py\n+++ b/y.py\n@@ -1 +1 @@\n-q\n+r\n", 2: "no diff"}
 COMMITS = [("a", None), ("b", "a"), ("c", "b"), ("d", "b"), ("e", "c"), ("e", "d"), ("x", None)]
+FILES = ["src/app.py", "src/pkg/util.py", "lib/pkg/util.py", "src/flat/core.py", "tests/test_a.py", "setup.py"]
+NAMED_PATHS = ["src/app.py", "./setup.py", "/home/runner/work/r/r/src/app.py", "pkg/util.py", "flat\\core.py", "/x/site-packages/flat/core.py", "/usr/lib/app.py", ".venv/flat/core.py", "core.py", "x/dist-packages/setup.py", "D:/a/r/r/tests/test_a.py"]
+WINDOWS = [(1, 0, "c0", "tidy"), (1, 1, "c1", "Revert\n\nThis reverts commit abcdef1."), (1, 2, "c2", "This reverts commit abcdef1234."), (2, 0, "d0", "This reverts commit 1234567."), (3, 0, "e0", None)]
+BROKEN = [(1, "abcdef1234567890"), (1, "0123456789"), (2, "fff1234567"), (3, "aaa")]
+QUOTES = [(1, "assert 1 == 2"), (1, "not there"), (2, "Found 1 error."), (3, "ValueError: bad value"), (4, "KeyError: 'q'"), (4, "poetry"), (5, "x")]
 
 
 def literal(value) -> str:
