@@ -91,6 +91,37 @@ def test_repeated_lines_go_but_for_the_first(spark):
     assert set(lines.drop_repeats(df).columns) == set(df.columns)
 
 
+def test_near_lines_equal_brute_force(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+        return row[-1]
+
+    rng, all_lines = random.Random(8), []
+    for k in range(40):
+        w = text(1000 + k, (8, 9, 10, 15, 20, 40, 100, 300)[k % 8]).split()
+        all_lines.append(w)
+        for share in (0.1, 0.2, 0.25):
+            v = list(w)
+            for _ in range(int(share * len(w) + 1e-9)):
+                at = rng.randrange(len(v))
+                v[at : at + 1] = rng.choice(([], [text(rng.random(), 1), v[at]], [text(rng.random(), 1)], ["the"]))
+            if len(v) >= 8:
+                all_lines.append(v)
+    group = list(range(len(all_lines)))
+    for a, x in enumerate(all_lines):
+        for b, y in enumerate(all_lines[:a]):
+            most = max(len(x), len(y)) // 5
+            if abs(len(x) - len(y)) <= most and distance(x, y) <= most:
+                group = [group[b] if g == group[a] else g for g in group]
+    firsts = {group.index(g) for g in group}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(all_lines)], "doc_id bigint, text string")
+    assert {r.doc_id for r in lines.op7(df).where("n_lines_removed = 0").collect()} == firsts and len(firsts) < 80
+
+
 def test_decontamination_equals_brute_force(spark):
     passage, short = text(9, 30), "just four words here"
     items = [("i1", passage), ("i2", short), ("i3", ""), (None, text(10, 20)), ("i1b", passage)]
