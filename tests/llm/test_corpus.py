@@ -91,6 +91,14 @@ def test_repeated_lines_go_but_for_the_first(spark):
     assert set(lines.drop_repeats(df).columns) == set(df.columns)
 
 
+def test_short_lines_are_collapsed(spark):
+    rows = [(1, "released under the mit license\none\n--"), (2, f"Released under the MIT license.\n{text(5, 12)}\n--"), (3, "one\nreleased under the mit licence\n\n"), (4, "One!")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.text, r.n_lines_removed, r.emptied) for r in lines.op7(df).collect()}
+    assert got == {1: (rows[0][1], 0, False), 2: (f"{text(5, 12)}\n--", 1, False), 3: ("released under the mit licence\n\n", 1, False), 4: ("", 1, True)}
+    assert {r.doc_id for r in lines.drop_repeats(df).collect()} == {1, 2, 3}
+
+
 def test_near_lines_equal_brute_force(spark):
     def distance(a, b):
         row = list(range(len(b) + 1))
