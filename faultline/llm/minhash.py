@@ -3,7 +3,8 @@
 A document is its distinct shingles of five words, weighted 1 + ln(occurrences). Every shingle sends out arrivals, a
 Poisson process whose rate is its weight and whose course is its own hash's; an arrival falls on one of the registers,
 and a register keeps the shingle that arrived first. Two documents agree on a register with a probability that is their
-probability Jaccard similarity. A shingle stops as soon as its time is past that of the latest register. Registers are
+probability Jaccard similarity; where a document repeats shingles, it has a second set of registers, with all weights
+one, which agree as often as its Jaccard similarity says, so a pair meets by either. A shingle stops as soon as its time is past that of the latest register. Registers are
 banded into buckets, bucket mates are linked as in linking.py, and a link is verified on the shingles themselves.
 Documents of the same words are collapsed before that, whatever their number.
 """
@@ -90,14 +91,24 @@ def _sign(size: int, bands: int, rows_of_band: int):
                 w = Words(LOWER[data], offsets, INK)
                 row, h, n = shingles(w, size)
                 sig = signatures(row, h, 1 + np.log(n), w.rows, m)
-                key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), (w.rows, bands)).copy()
+                # without a repeated shingle both sets are the same
+                often = np.unique(row[n > 1])
+                mine = np.flatnonzero(np.isin(row, often))
+                plain = signatures(np.searchsorted(often, row[mine]), h[mine], np.ones(len(mine)), len(often), m) if len(often) else sig[:0]
+                both = np.concatenate([sig, plain])
+                key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), (len(both), bands)).copy()
                 for k in range(rows_of_band):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, k : bands * rows_of_band : rows_of_band])
-                bits = np.concatenate([np.packbits((sig >> np.uint64(p) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for p in range(PLANES)], axis=1)
-                parts.append((content(w).view(np.int64), np.bincount(row, minlength=w.rows), key.view(np.int64), bits))
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + both[:, k : bands * rows_of_band : rows_of_band])
+                bits = np.concatenate([np.packbits((both >> np.uint64(p) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for p in range(PLANES)], axis=1)
+                # a row's own come first, its second set, if any, after them
+                order = np.argsort(np.concatenate([np.arange(w.rows), often]), kind="stable")
+                sets = np.ones(w.rows, np.int64)
+                sets[often] = 2
+                parts.append((content(w).view(np.int64), np.bincount(row, minlength=w.rows), sets, key.view(np.int64)[order], bits[order]))
             if parts:
-                node, n, key, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
-                lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1]).astype(np.int32), x.ravel()) for x in (key, bits)]
+                node, n, sets, key, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
+                ends = np.append(0, np.cumsum(sets))
+                lists = [pa.ListArray.from_arrays((ends * x.shape[1]).astype(np.int32), x.ravel()) for x in (key, bits)]
                 yield pa.record_batch([batch.column("id"), batch.column("said"), pa.array(node), pa.array(n), *lists], names=["id", "said", "node", "n_shingles", "bands", "bits"])
 
     return run
@@ -157,16 +168,21 @@ def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, size
     signed = rows_in.transform(in_batches).mapInArrow(_sign(size, bands, rows), f"id {kind}, said bigint, node bigint, n_shingles bigint, bands array<bigint>, bits array<bigint>")
     signed = scratch.keep(signed, "signed")
     words = max(REGISTERS, -(-bands * rows // 64) * 64) // 64
-    sketch = [f"x{k}" for k in range(PLANES * words)]
+    sketch = [f"{s}{k}" for s in "xy" for k in range(PLANES * words)]
     nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    nodes = scratch.keep(nodes.select("node", "id", "bands", *[F.col("bits")[k].alias(x) for k, x in enumerate(sketch)]), "nodes")
+    nodes = scratch.keep(nodes.select("node", "id", "bands", *[F.get("bits", F.lit(k)).alias(x) for k, x in enumerate(sketch)]), "nodes")
 
     def close(x: str, y: str):
-        def apart(word: int):
-            planes = [F.col(f"{x}x{k}").bitwiseXOR(F.col(f"{y}x{k}")) for k in range(word, PLANES * words, words)]
+        def apart(word: int, of):
+            planes = [of(x, k).bitwiseXOR(of(y, k)) for k in range(word, PLANES * words, words)]
             return F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), planes))
 
-        return sum((apart(k) for k in range(1, words)), apart(0)) <= far
+        def within(of):
+            return sum((apart(k, of) for k in range(1, words)), apart(0, of)) <= far
+
+        weighted = within(lambda side, k: F.col(f"{side}x{k}"))
+        plain = within(lambda side, k: F.coalesce(f"{side}y{k}", f"{side}x{k}"))
+        return weighted | (F.coalesce(f"{x}y0", f"{y}y0").isNotNull() & plain)
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "id"), "node")

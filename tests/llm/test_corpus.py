@@ -70,6 +70,17 @@ def test_near_duplicates_equal_brute_force(docs):
     assert Counter(map(tuple, got.collect())) == classes
 
 
+def test_near_duplicates_with_a_repeated_passage(spark):
+    rows = []
+    for k in range(20):
+        base = text(2000 + k, 104)
+        rows += [(k, base), (100 + k, f"{base} " + " ".join([text(3000 + k, 20)] * 10))]
+    sets = shingle_sets(rows)
+    assert all(len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    got = minhash.op5(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {tuple(r) for r in got.collect()} == {(i, i % 100, 2) for i, _ in rows}
+
+
 def test_keep_one_keeps_a_row_of_each_class(docs):
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns
