@@ -6,6 +6,7 @@ memory stays bounded by the chunk or by the longest single text.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -144,13 +145,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes on disk of a written table that is broadcast, at most: some 20 MB in memory.
+SMALL_BYTES = 1 << 20
+
+
 class Scratch:
-    """Tables written to the shared folder of spark.checkpoint.dir, to cut lineage in a way that survives lost executors."""
+    """Tables written to the shared folder of spark.checkpoint.dir, to cut lineage in a way that survives lost executors.
+
+    Where no such folder is set, a session of one machine gets one of its own; a cluster gets an error.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='faultline-')}"
             spark.conf.set("spark.checkpoint.dir", base)
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -159,10 +169,17 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def _store(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def hint(self, df: DataFrame, name: str, most: int = SMALL_BYTES) -> DataFrame:
+        """df, made of the table kept under this name: to be broadcast if that has no more than these bytes on disk."""
+        path, store = self._store(name)
+        return F.broadcast(df) if store.getContentSummary(path).getLength() <= most else df
+
     def drop(self, pattern: str) -> None:
         """Deletes the tables whose names the pattern (with * and ?) matches, once nothing reads them any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
-        store = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path, store = self._store(pattern)
         for found in store.globStatus(path) or []:
             store.delete(found.getPath(), True)

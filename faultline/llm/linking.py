@@ -1,32 +1,46 @@
 """Linking items that share buckets into classes, without listing the pairs of a bucket.
 
-Buckets are first counted, partly summed before the shuffle; those of one item go. Then every item is held against one
-leader of its buckets: the item that shares the most buckets with the most others, which in a group of edited copies is
-the text that they were made from or the one nearest to it. In further rounds, if any, the leader is the smallest by
-some hash. What passes the sketch test is verified and the classes grow. Buckets whose items are all in one class are
-finished. What is left, items of one bucket in different classes, is compared within blocks of bounded size by its
-sketches alone, so that no pair which passes the sketch test is lost, however large the bucket; only pairs that pass
-are ever made into rows.
+Buckets are counted, partly summed before the shuffle; those of one item go, and of buckets with the same members one
+stays. Their items then meet in tasks of bounded size that hold what is needed to verify a link. A task keeps the classes
+that it has found so far, verifies only pairs of different classes, and returns a row for each class that another one
+takes in: fewer than it has items, whatever the pairs. First each item goes to the largest of its buckets alone; that
+finds most classes. Buckets whose items are all of one class are finished by that. Those that are left come whole in the
+last round, one of more than a block as pairs of blocks, so every pair of a bucket that isn't of one class yet has been
+held together once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import Scratch
+from faultline.llm.common import Scratch, mix
 
-#: Rows of a side that is broadcast, at most; beyond it Spark shuffles both sides.
-SMALL_ROWS = 1 << 20
-#: Items of a block in the comparison of what is left, and rounds with leaders before it.
-BLOCK, ROUNDS = 1000, 1
+#: Items and payload bytes of a block, about; a task holds two blocks at once.
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
+#: Bytes on disk of the keys of buckets that are broadcast, at most.
+KEY_BYTES = 12 << 20
+#: Rounds in which each item goes to one block: the first one of all items, further ones only of buckets of several blocks.
+ROUNDS = 3
+#: Rows that a task gathers before it looks at them, and pairs that it looks at together.
+GATHERED, PAIRS = 1 << 15, 1 << 18
+#: Groups of so many items at most are taken together with others of their size.
+LITTLE = 64
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df, to be broadcast if it has no more rows than these few; for tables that are written, so that counting is cheap."""
-    return F.broadcast(df) if df.count() <= rows else df
+class Comparer(Protocol):
+    """Made from the rows of a task: tests of pairs of them, given as two arrays of row numbers."""
+
+    def maybe(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A cheap test that all linked pairs pass."""
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the pairs are linked."""
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -50,76 +64,184 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         now = scratch.keep(turned.unionAll(low.select("m", "b")).distinct(), f"{name}-{k}")
 
 
-def link(items: DataFrame, keys: Column, sketch: list[str], close: Callable[[str, str], Column], verify: Callable[[DataFrame, str], DataFrame], scratch: Scratch, *, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
-    """node, root of the linked items, but for the roots themselves.
-
-    items: node (long, distinct) and the columns of the sketch; keys: an array of longs, the buckets of an item.
-    close(x, y): whether the sketches in the columns prefixed x and y may belong to linked items. verify(pairs, name):
-    of the rows a, b those that are linked.
+def _pairs(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of each group, about PAIRS at a time."""
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= LITTLE)]).tolist():
+        i, j = np.triu_indices(size, 1)
+        at, step = starts[sizes == size], max(1, PAIRS // len(i))
+        for lo in range(0, len(at), step):
+            yield (at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel()
+    for start, size in zip(starts[sizes > LITTLE].tolist(), sizes[sizes > LITTLE].tolist(), strict=True):
+        step = max(1, PAIRS // size)
+        for lo in range(0, size, step):
+            i, j = np.nonzero(np.arange(lo, min(size, lo + step))[:, None] < np.arange(size))
+            yield start + lo + i, start + j
+
+
+def _mergers(table: pa.Table, make: Callable[[pa.Table], Comparer]) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest root and another one of classes that merge, from rows of group (in order), side, root and a payload."""
+    group, root, side = (table.column(c).to_numpy() for c in ("group", "root", "side"))
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    test = make(table)
+    #: A label stands for the rows of one root in one group; above it is a label of the same class, or itself.
+    _, first, label = np.unique(mix(mix(group.view(np.uint64)) + root.view(np.uint64)), return_index=True, return_inverse=True)
+    above = np.arange(len(first))
+
+    def top(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    for a, b in _pairs(starts, np.diff(np.append(starts, len(group)))):
+        now, k = above[label], 1
+        apart = (now[a] != now[b]) & ((side[a] == 0) | (side[a] != side[b]))
+        a, b = a[apart], b[apart]
+        near = test.maybe(a, b)
+        a, b = a[near], b[near]
+        while len(a):
+            # the first few pairs of each class; what they merge spares the others
+            order = np.argsort(now[b], kind="stable")
+            a, b = a[order], b[order]
+            new = np.concatenate([[True], now[b][1:] != now[b][:-1]])
+            place = np.arange(len(a)) - np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
+            tried = place < k
+            good = test.linked(a[tried], b[tried])
+            for x, y in zip(label[a[tried][good]].tolist(), label[b[tried][good]].tolist(), strict=True):
+                p, q = top(x), top(y)
+                above[max(p, q)] = min(p, q)
+            while (above != above[above]).any():
+                above = above[above]
+            now, k = above[label], 2 * k
+            left = ~tried & (now[a] != now[b])
+            a, b = a[left], b[left]
+    mine, low = root[first], np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(low, above, mine)
+    moved = low[above] != mine
+    return low[above][moved], mine[moved]
+
+
+def _partners(table: pa.Table, make: Callable[[pa.Table], Comparer]) -> pa.RecordBatch:
+    """key and node of the rows that may be linked to another row of their group."""
+    group, side = (table.column(c).to_numpy() for c in ("group", "side"))
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    test, found = make(table), np.zeros(len(group), bool)
+    for a, b in _pairs(starts, np.diff(np.append(starts, len(group)))):
+        meet = ((side[a] == 0) | (side[a] != side[b])) & ~(found[a] & found[b])
+        a, b = a[meet], b[meet]
+        near = test.maybe(a, b)
+        found[a[near]] = found[b[near]] = True
+    return table.select(["key", "node"]).filter(pa.array(found)).combine_chunks().to_batches()[0] if found.any() else pa.RecordBatch.from_pylist([], schema=table.select(["key", "node"]).schema)
+
+
+def _mergers_of(table: pa.Table, make: Callable[[pa.Table], Comparer]) -> pa.RecordBatch:
+    return pa.record_batch(list(map(pa.array, _mergers(table, make))), names=["a", "b"])
+
+
+def _by_group(then: Callable, make: Callable[[pa.Table], Comparer]):
+    """then(rows, make) of some whole groups at a time, of rows in the order of their groups."""
+
+    def run(batches):
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= GATHERED or size >= BLOCK_BYTES:
+                table = pa.Table.from_batches(held).combine_chunks()
+                group = table.column("group").to_numpy()
+                last = int(np.searchsorted(group, group[-1]))
+                if last:
+                    yield then(table.slice(0, last).combine_chunks(), make)
+                    table = table.slice(last).combine_chunks()
+                # what is held counts anew from the next batch on: a group is never cut
+                held, rows, size = table.to_batches(), 0, 0
+        if held:
+            yield then(pa.Table.from_batches(held).combine_chunks(), make)
+
+    return run
+
+
+def link(rows: DataFrame, payload: Callable[[DataFrame, str], DataFrame], make: Callable[[pa.Table], Comparer], scratch: Scratch, *, sketches: DataFrame | None = None, sieve: Callable[[pa.Table], Comparer] | None = None, block: int = BLOCK, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
+    """node, root of the linked items, but for the roots themselves: the smallest node of each class.
+
+    rows: key, node and size (longs; rows may repeat): the buckets of an item, and the bytes of its payload. payload(nodes,
+    name): node and what the comparer needs, of these nodes, maybe more than once. make: the comparer of a table of such rows. With sketches
+    (node and columns of few bytes) and sieve, a comparer of them, only items that may be linked to a bucket mate get
+    their payload.
     """
-    rows = items.select("node", F.explode(F.array_distinct(keys)).alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    # nodes are hashes: 31 bits of them tell two apart, but for one pair in two thousand million
+    half = F.col("node").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    buckets = rows.groupBy("key").agg(F.min(half).alias("low"), F.max(half).alias("high")).where("low <> high").select("key")
     buckets = scratch.keep(buckets, "buckets")
-    large = rows.join(small(buckets.where("n > 2").select("key", "n")), "key").select("key", "node", "n")
-    twos = buckets.where("n = 2").select("key", F.explode(F.array("low", "high")).alias("node"), "n")
-    shared = scratch.keep(twos.unionAll(large), "shared")
+    # a number a row: as many bytes hold more rows here than elsewhere, and spare the larger side a shuffle
+    shared = scratch.keep(rows.join(scratch.hint(buckets, "buckets", KEY_BYTES), "key").groupBy("key", "node").agg(F.max("size").alias("size")), "shared")
     scratch.drop("buckets")
-    sketches = items.select("node", *sketch)
 
-    def with_sketches(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(sketches.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sketch]), side)
-        return pairs.where(close("a_", "b_")).select("a", "b")
-
-    links, tested, roots = None, None, None
-    for k in range(rounds + 1):
+    def cut(shared: DataFrame, name: str) -> DataFrame:
+        """key, node, size, n, root: one bucket of those with the same members, n its items and blocks its parts."""
+        members = shared.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("who"))
+        blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int")
+        members = members.where("n > 1").groupBy("n", "who").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes")).select("key", "n", blocks.alias("blocks"))
+        members = scratch.keep(members, f"{name}-members")
+        return scratch.keep(shared.join(scratch.hint(members, f"{name}-members"), "key").select("key", "node", "size", "n", "blocks", F.col("node").alias("root")), name)
+
+    now = cut(shared, "now-0")
+    scratch.drop("shared")
+    if sieve is not None:
+        groups = scratch.keep(_all_blocks(now), "sieved-groups")
+        full = sketches.join(scratch.hint(groups, "sieved-groups"), "node").repartition("group").sortWithinPartitions("group")
+        near = scratch.keep(full.mapInArrow(_by_group(_partners, sieve), "key bigint, node bigint").distinct(), "sieved")
+        now = cut(now.select("key", "node", "size").join(scratch.hint(near, "sieved"), ["key", "node"]), "now-sieved")
+        scratch.drop("now-0")
+    held = scratch.keep(payload(now.select("node").distinct(), "payload"), "payload")
+    roots, last, k = None, False, 0
+    while not last:
+        if k:
+            now = _mixed(now, roots, scratch, k)
+            scratch.drop(f"now-{k - 1}")
+        if now.isEmpty():
+            break
+        last = k == rounds or (k > 0 and now.where("blocks > 1").isEmpty())
+        if last:
+            groups = _all_blocks(now)
+        else:
+            groups = _one_block(now if k == 0 else now.where("blocks > 1"), k)
+        groups = scratch.keep(groups, f"groups-{k}")
+        full = held.join(scratch.hint(groups, f"groups-{k}"), "node").repartition("group").sortWithinPartitions("group")
+        found = scratch.keep(full.mapInArrow(_by_group(_mergers_of, make), "a bigint, b bigint"), f"links-{k}")
+        scratch.drop(f"groups-{k}")
         if k == 0:
-            # of equal numbers of meetings, the node's own bits decide
-            meets = scratch.keep(shared.groupBy("node").agg((F.sum("n") * (1 << 20) + F.pmod("node", F.lit(1 << 20))).alias("meets")), "meets")
-            met = shared.join(small(meets), "node")
-            leaders = met.groupBy("key").agg(F.max_by("node", "meets").alias("leader"), F.max("meets").alias("most"))
-            leaders = scratch.keep(leaders, "leaders")
-            pairs = shared.join(small(leaders), "key").where("node <> leader").groupBy("node").agg(F.max_by("leader", "most").alias("b"))
-            pairs = with_sketches(pairs.withColumnRenamed("node", "a"))
+            # no item is in two groups: what a task has found are the classes
+            roots = scratch.keep(found.select(F.col("b").alias("node"), F.col("a").alias("root")), "roots-0")
         else:
-            rooted = shared.select("key", "node", "n") if roots is None else shared.select("key", "node", "n").join(small(roots), "node", "left")
-            rooted = rooted.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node")).withColumn("order", F.xxhash64("node", F.lit(k)))
-            mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("node", "order").alias("leader"), F.min_by("root", "order").alias("leader_root"))
-            mixed = scratch.keep(mixed.where("low <> high").select("key", "leader", "leader_root"), f"mixed-{k}")
-            if mixed.isEmpty():
-                break
-            now = scratch.keep(rooted.join(small(mixed), "key").select("key", "node", "n", "root", "leader", "leader_root"), f"shared-{k}")
-            scratch.drop("shared" if k == 1 else f"shared-{k - 1}")
-            shared = now
-            if k < rounds:
-                pairs = shared.where("root <> leader_root").groupBy("node").agg(F.min("leader").alias("b")).withColumnRenamed("node", "a")
-                pairs = with_sketches(pairs)
-            else:
-                pairs = _blocks(shared, sketches, sketch, close, block)
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs-{k}")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        if not pairs.isEmpty():
-            found = scratch.keep(verify(pairs, f"verify-{k}"), f"links-{k}")
-            scratch.drop(f"verify-{k}-*")
-            if not found.isEmpty():
-                links = found if links is None else links.unionAll(found)
-                roots = scratch.keep(components(links, scratch, f"stars-{k}"), f"roots-{k}")
-                scratch.drop(f"stars-{k}-*")
-    return items.select("node", F.col("node").alias("root")).where("false") if roots is None else roots
-
-
-def _blocks(shared: DataFrame, sketches: DataFrame, sketch: list[str], close: Callable[[str, str], Column], block: int) -> DataFrame:
-    """The pairs a < b of a bucket, of different roots, whose sketches are close.
-
-    A bucket of n items is cut into n / block blocks on one side; the other side goes to each of them. A task so
-    compares block times n items at most, without making rows of pairs that aren't close. n is the size of the bucket
-    before any of it was found to be one class.
-    """
-    full = shared.join(sketches, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    cols = ["key", "node", "root", *sketch]
-    left = full.select(*[F.col(c).alias(f"a_{c}") for c in cols], F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("a_block"))
-    right = full.select(*[F.col(c).alias(f"b_{c}") for c in cols], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b_block"))
-    both = (F.col("a_key") == F.col("b_key")) & (F.col("a_block") == F.col("b_block"))
-    met = left.join(right, both & (F.col("a_root") != F.col("b_root")) & (F.col("a_node") < F.col("b_node")) & close("a_", "b_"))
-    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+            moved = scratch.keep(components(found, scratch, f"stars-{k}"), f"moved-{k}")
+            scratch.drop(f"stars-{k}-*")
+            to = scratch.hint(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), f"moved-{k}")
+            roots = roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionAll(moved)
+            roots = scratch.keep(roots, f"roots-{k}")
+        k += 1
+    scratch.drop("payload")
+    return now.select("node", "root").where("false") if roots is None else roots
+
+
+def _mixed(now: DataFrame, roots: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """The buckets that hold items of several classes, with each item's class."""
+    rooted = now.select("key", "node", "n", "blocks").join(scratch.hint(roots, f"roots-{k - 1}"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    ends = scratch.keep(ends, f"mixed-{k}")
+    return scratch.keep(rooted.join(scratch.hint(ends, f"mixed-{k}"), "key"), f"now-{k}")
+
+
+def _one_block(now: DataFrame, k: int) -> DataFrame:
+    """Each item once: in one block, another in each round, of the largest of its buckets."""
+    best = now.groupBy("node").agg(F.max_by(F.struct("key", "blocks", "root"), F.struct("n", "key")).alias("b")).select("node", "b.*")
+    block = F.pmod(F.xxhash64("node", F.lit(k)), F.col("blocks"))
+    return best.select("node", "root", F.xxhash64("key", block).alias("group"), F.lit(0).alias("side"))
+
+
+def _all_blocks(now: DataFrame) -> DataFrame:
+    """Each pair of blocks of a bucket as a group, in which only items of different blocks meet; and each block alone."""
+    mine = now.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    return met.select("key", "node", "root", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("group"), side.alias("side"))

@@ -11,15 +11,13 @@ Documents of the same words are collapsed before that, whatever their number.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.common import INK, LOWER, Scratch, Words, chunks, in_batches, mix, powers
-from faultline.llm.linking import link, small
+from faultline.llm.linking import link
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -108,7 +106,7 @@ def _sign(size: int, bands: int, rows_of_band: int):
             if parts:
                 node, n, sets, key, bits = (np.concatenate(x) for x in zip(*parts, strict=True))
                 ends = np.append(0, np.cumsum(sets))
-                lists = [pa.ListArray.from_arrays((ends * x.shape[1]).astype(np.int32), x.ravel()) for x in (key, bits)]
+                lists = [pa.ListArray.from_arrays((ends * key.shape[1]).astype(np.int32), key.ravel()), pa.array([bits[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())]
                 yield pa.record_batch([batch.column("id"), batch.column("said"), pa.array(node), pa.array(n), *lists], names=["id", "said", "node", "n_shingles", "bands", "bits"])
 
     return run
@@ -122,20 +120,72 @@ def _sets(size: int):
                 row, h, n = shingles(w, size)
                 cut = np.searchsorted(row, np.arange(w.rows + 1))
                 often = [n[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-                yield pa.record_batch(
-                    [pa.array(content(w).view(np.int64)), batch.column("wanted").slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([x.astype(np.uint32).tobytes() if (x > 1).any() else b"" for x in often], pa.binary())],
-                    names=["node", "wanted", "set", "often"],
-                )
+                sets = [h[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+                asked = [batch.column(c).slice(lo, hi - lo) for c in ("node", "bits")]
+                yield pa.record_batch([*asked, pa.array(sets, pa.binary()), pa.array([x.astype(np.uint32).tobytes() if (x > 1).any() else b"" for x in often], pa.binary())], names=["node", "bits", "set", "often"])
 
     return run
 
 
-def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
-    """Jaccard and probability Jaccard similarity of two sets of sorted hashes with weights."""
+class Shingled:
+    """Tests pairs of documents: by their sketches, then by their shingles."""
+
+    def __init__(self, table: pa.Table, least: float, far: int):
+        self.least, self.far = least, far
+        sets, often = ([np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("set", np.uint64), ("often", np.uint32)))
+        self.sets, self.size = sets, np.array([len(x) for x in sets])
+        self.repeats = np.array([len(x) > 0 for x in often], bool)
+        self.weights = [1 + np.log(x) if len(x) else np.ones(n) for x, n in zip(often, self.size.tolist(), strict=True)]
+        bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+        words = min((len(x) for x in bits), default=PLANES)
+        #: By plane: the sketch of the weighted set, and of the plain one, which is the same where no shingle repeats.
+        self.first = np.array([x[:words] for x in bits], np.uint64).reshape(len(bits), PLANES, -1)
+        self.second = np.array([x[-words:] for x in bits], np.uint64).reshape(len(bits), PLANES, -1)
+
+    def _apart(self, of: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        differs = of[a, 0] ^ of[b, 0]
+        for p in range(1, PLANES):
+            differs |= of[a, p] ^ of[b, p]
+        return np.bitwise_count(differs).sum(1, dtype=np.int64)
+
+    def maybe(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = self._apart(self.first, a, b) <= self.far
+        rest = np.flatnonzero(~out & (self.repeats[a] | self.repeats[b]))
+        out[rest] = self._apart(self.second, a[rest], b[rest]) <= self.far
+        return out
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        used, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+        common = self._common(used, index[: len(a)], index[len(a) :]) if len(a) > 4 * len(used) else np.array([len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+        out = common >= self.least * (self.size[a] + self.size[b] - common)
+        for k in np.flatnonzero(~out & (common > 0) & (self.repeats[a] | self.repeats[b])).tolist():
+            x, y = a[k], b[k]
+            out[k] = weighted_similarity(self.sets[x], self.weights[x], self.sets[y], self.weights[y]) >= self.least
+        return out
+
+    def _common(self, used: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shingles that pairs of the used rows have in common: counted in bit sets of those that several rows have."""
+        row = np.repeat(np.arange(len(used)), self.size[used])
+        _, shingle, n = np.unique(np.concatenate([self.sets[k] for k in used]), return_inverse=True, return_counts=True)
+        shared = n[shingle] > 1
+        number = np.cumsum(n > 1) - 1
+        row, shingle = row[shared], number[shingle[shared]]
+        out = np.zeros(len(a), np.int64)
+        for lo in range(0, int(shingle.max(initial=-1)) + 1, 1 << 13):
+            part = (shingle >= lo) & (shingle < lo + (1 << 13))
+            has = np.zeros((len(used), 1 << 13), bool)
+            has[row[part], shingle[part] - lo] = True
+            bits = np.packbits(has, axis=1).view(np.uint64)
+            for k in range(0, len(a), 1 << 15):
+                out[k : k + (1 << 15)] += np.bitwise_count(bits[a[k : k + (1 << 15)]] & bits[b[k : k + (1 << 15)]]).sum(1, dtype=np.int64)
+        return out
+
+
+def weighted_similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Probability Jaccard similarity of two sets of sorted hashes with weights."""
     common, at, bt = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not len(common):
-        return 0.0, 0.0
-    plain = len(common) / (len(a) + len(b) - len(common))
+        return 0.0
     ratio = wb[bt] / wa[at]
     order = np.argsort(ratio, kind="stable")
     ratio, va, vb = ratio[order], wa[at][order], wb[bt][order]
@@ -143,58 +193,27 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     # of an element of ratio r: the weights in a of the elements of at most that ratio, those in b of the others over r
     upto, beyond = np.cumsum(va), vb.sum() - np.cumsum(vb)
     last = np.searchsorted(ratio, ratio, side="right") - 1
-    return plain, float((va / (only_a + upto[last] + (only_b + beyond[last]) / ratio)).sum())
-
-
-def _compare(least: float):
-    def weights(often: bytes, n: int) -> np.ndarray:
-        return 1 + np.log(np.frombuffer(often, np.uint32)) if often else np.ones(n)
-
-    def run(batches):
-        for batch in batches:
-            kept = []
-            for sa, ta, sb, tb in zip(*(batch.column(c).to_pylist() for c in ("a_set", "a_often", "b_set", "b_often")), strict=True):
-                a, b = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                kept.append(max(similarity(a, weights(ta, len(a)), b, weights(tb, len(b)))) >= least)
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return run
+    return float((va / (only_a + upto[last] + (only_b + beyond[last]) / ratio)).sum())
 
 
 def _classes(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, size: int, least: float, bands: int, rows: int, far: int) -> DataFrame:
     """id, said (a hash of the text), node (a hash of its words) and root, the class, of each row."""
     rows_in = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("said"), F.col(text_col).alias("text"))
     kind = rows_in.schema["id"].dataType.simpleString()
-    signed = rows_in.transform(in_batches).mapInArrow(_sign(size, bands, rows), f"id {kind}, said bigint, node bigint, n_shingles bigint, bands array<bigint>, bits array<bigint>")
+    signed = rows_in.transform(in_batches).mapInArrow(_sign(size, bands, rows), f"id {kind}, said bigint, node bigint, n_shingles bigint, bands array<bigint>, bits binary")
     signed = scratch.keep(signed, "signed")
-    words = max(REGISTERS, -(-bands * rows // 64) * 64) // 64
-    sketch = [f"{s}{k}" for s in "xy" for k in range(PLANES * words)]
-    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
-    nodes = scratch.keep(nodes.select("node", "id", "bands", *[F.get("bits", F.lit(k)).alias(x) for k, x in enumerate(sketch)]), "nodes")
-
-    def close(x: str, y: str):
-        def apart(word: int, of):
-            planes = [of(x, k).bitwiseXOR(of(y, k)) for k in range(word, PLANES * words, words)]
-            return F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), planes))
-
-        def within(of):
-            return sum((apart(k, of) for k in range(1, words)), apart(0, of)) <= far
-
-        weighted = within(lambda side, k: F.col(f"{side}x{k}"))
-        plain = within(lambda side, k: F.coalesce(f"{side}y{k}", f"{side}x{k}"))
-        return weighted | (F.coalesce(f"{x}y0", f"{y}y0").isNotNull() & plain)
-
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(nodes.select("node", "id"), "node")
-        wanted = scratch.keep(wanted.select(F.col("node").alias("wanted"), F.col("id").alias("wanted_id")), f"{name}-wanted")
-        texts = rows_in.join(small(wanted), F.col("id").eqNullSafe(F.col("wanted_id"))).select("wanted", "text")
-        sets = texts.transform(in_batches).mapInArrow(_sets(size), "node bigint, wanted bigint, set binary, often binary").where("node = wanted").drop("wanted")
-        sets = scratch.keep(sets.dropDuplicates(["node"]), f"{name}-sets")
-        for side in "ab":
-            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"{side}_set"), F.col("often").alias(f"{side}_often")), side)
-        return pairs.transform(in_batches).mapInArrow(_compare(least), "a bigint, b bigint")
-
-    roots = link(nodes, F.col("bands"), sketch, close, verify, scratch)
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "said")).alias("first")
+    nodes = signed.where("n_shingles > 0").groupBy("node").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    nodes = scratch.keep(nodes.select("node", "first.id", "first.said", "n_shingles", "bands", "bits"), "nodes")
+
+    def payload(wanted: DataFrame, name: str) -> DataFrame:
+        asked = scratch.keep(wanted.join(nodes, "node").select("node", F.col("id").alias("asked_id"), F.col("said").alias("asked_said"), "bits"), f"{name}-asked")
+        same = F.col("id").eqNullSafe(F.col("asked_id")) & (F.col("said") == F.col("asked_said"))
+        texts = rows_in.join(scratch.hint(asked, f"{name}-asked"), same).select("node", "bits", "text")
+        return texts.transform(in_batches).mapInArrow(_sets(size), "node bigint, bits binary, set binary, often binary")
+
+    keys = nodes.select(F.explode(F.array_distinct("bands")).alias("key"), "node", (8 * F.col("n_shingles")).alias("size"))
+    roots = link(keys, payload, lambda table: Shingled(table, least, far), scratch)
     return signed.select("id", "said", "node").join(roots, "node", "left").select("id", "said", "node", F.coalesce("root", "node").alias("root"))
 
 
@@ -209,8 +228,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession, "near")
     rooted = scratch.keep(_classes(docs, scratch, id_col, text_col, size, least, bands, rows, far), "rooted")
-    classes = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
-    return rooted.join(classes, "root").select(F.col("id").alias(id_col), "node", "class_id", "class_size")
+    classes = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
+    classes = scratch.hint(scratch.keep(classes, "classes"), "classes")
+    size = F.coalesce("class_size", F.lit(1).cast("long"))
+    return rooted.join(classes, "root", "left").select(F.col("id").alias(id_col), "node", F.when(size == 1, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), size.alias("class_size"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, far: int = FAR) -> DataFrame:
@@ -222,16 +243,18 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "one")
     found = scratch.keep(_classes(docs, scratch, id_col, text_col, size, least, bands, rows, far).groupBy("root", "id", "said").agg(F.count("*").alias("n")), "found")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "said")).alias("best")
-    marked = found.join(found.groupBy("root").agg(best), "root")
+    # a class of one row stays as it is
+    best = scratch.keep(found.groupBy("root").agg(best, F.sum("n").alias("rows")).where("rows > 1").drop("rows"), "best")
+    marked = found.join(scratch.hint(best, "best"), "root")
     stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("said") == F.col("best.said"))
     marked = scratch.keep(marked.select(F.col("id").alias("__id"), F.col("said").alias("__said"), stays.alias("stays"), "n").where("not stays or n > 1"), "marked")
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__said"))
-    left = docs.join(small(marked.where("not stays").select("__id", "__said")), same, "left_anti")
+    left = docs.join(scratch.hint(marked.where("not stays").select("__id", "__said"), "marked"), same, "left_anti")
     repeated = marked.where("stays").select("__id", "__said")
     if repeated.isEmpty():
         return left
-    once = left.join(small(repeated), same).dropDuplicates(["__id", "__said"]).select(*[left[c] for c in docs.columns])
-    return left.join(small(repeated), same, "left_anti").unionByName(once)
+    once = left.join(scratch.hint(repeated, "marked"), same).dropDuplicates(["__id", "__said"]).select(*[left[c] for c in docs.columns])
+    return left.join(scratch.hint(repeated, "marked"), same, "left_anti").unionByName(once)
 
 
 def op5(docs: DataFrame) -> DataFrame:
