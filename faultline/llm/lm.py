@@ -7,10 +7,12 @@ probability is the mean of its own Krichevsky-Trofimov estimate of what followed
 that gives every context the weight with which it answers itself. A prediction mixes the estimates along the path by
 these weights; a context never seen leaves the answer to the one above.
 
-Counting is one pass over the training texts and a shuffle of distinct byte strings and words. Contexts are hashed to
-SLOTS places, which bounds the model that travels to the executors; of contexts that meet in a place the most frequent
-one stays, the others count as never seen, and the result is still a probability. Word counts are exact: the most frequent HEAD words travel as hashes, all other
-words are counted by a join.
+Counting is one pass over the texts and a shuffle of distinct byte strings and words. No context is left out: the tree is
+dealt out by the last two bytes of a context, so that a task holds whole subtrees of two bytes and more; the products of
+its uppermost contexts are summed up by their last byte, and what is above, 65,536 contexts at most, is the driver's. With
+it, the tasks then give each distinct byte string its probability. These travel to the texts, sorted, in parts of PART
+strings, a pass over the texts for each. Word counts are exact: at most HEAD of the most frequent words travel as hashes,
+all other words are counted by a join.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import INK, LOWER, Scratch, Words, chunks, id_mod, in_batches, mix, prefix_hash, span_hash
+from faultline.llm.common import INK, LOWER, Scratch, Words, chunks, id_mod, in_batches, prefix_hash, span_hash
 
+#: Bytes of the deepest contexts, 2 to 7.
 DEPTH = 5
-SLOTS = 1 << 22
-HEAD = 1 << 20
+#: Byte strings of one part, 12 bytes each, and frequent words, at most.
+PART, HEAD = 1 << 24, 1 << 20
 #: Distinct words or byte strings that a task holds before it passes them on.
 HELD = 300_000
 _CACHE = 1 << 20
@@ -64,7 +67,10 @@ def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _counts(depth: int):
-    """Rows of kind, word, code, n: words with their hashes (0), byte strings (1), documents (2)."""
+    """Rows of kind, word, code, n: words with their hashes (0), byte strings (1), documents (2).
+
+    n counts texts with the flag learn alone; of the others the byte strings are wanted, the words aren't.
+    """
 
     def run(batches):
         words: Counter = Counter()
@@ -89,13 +95,16 @@ def _counts(depth: int):
             return pa.record_batch([pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.binary()), pa.array(distinct.view(np.int64)), pa.array(n)], names=["kind", "word", "code", "n"])
 
         for batch in batches:
-            docs += batch.num_rows
-            for _, _, data, offsets in chunks(batch.column("text")):
+            learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+            docs += int(learn.sum())
+            for lo, hi, data, offsets in chunks(batch.column("text")):
                 data, offsets = stream(data, offsets)
-                words.update(data.tobytes().split())
+                taught = np.repeat(learn[lo:hi], np.diff(offsets))
+                words.update(data[taught].tobytes().split())
                 if len(words) > HELD:
                     yield flush_words()
-                codes.append(np.unique(grams(data, offsets, depth), return_counts=True))
+                found, inverse = np.unique(grams(data, offsets, depth), return_inverse=True)
+                codes.append((found, np.bincount(inverse, weights=taught, minlength=len(found)).astype(np.int64)))
                 if sum(len(k) for k, _ in codes) > 4 * HELD:
                     merge()
                     if len(codes[0][0]) > 2 * HELD:
@@ -119,119 +128,140 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    shift = np.zeros_like(x)
+    for j in range(8):
+        shift += np.log(x + j)
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+
+
 def nodes(codes: np.ndarray, depth: int, k: int) -> np.ndarray:
-    """The context of this depth of bit k of each byte string, as a number of depth, bytes before and bits known."""
-    byte = codes & np.uint64(255)
+    """The context of this depth of bit k of each byte string, as a number of bytes before and bits known."""
     context = (codes >> np.uint64(8)) & np.uint64((1 << (8 * depth)) - 1)
-    known = np.uint64(1 << k) | byte >> np.uint64(8 - k)
-    return np.uint64(depth << 56) | context << np.uint64(8) | known
+    known = np.uint64(1 << k) | (codes & np.uint64(255)) >> np.uint64(8 - k)
+    return context << np.uint64(8) | known
 
 
-def slot(node: np.ndarray, slots: int) -> np.ndarray:
-    return (mix(node) & np.uint64(slots - 1)).astype(np.int64)
+def estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of so many zeros and ones."""
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - np.log(np.pi)
 
 
-def tags(node: np.ndarray) -> np.ndarray:
-    return (mix(node) >> np.uint64(56)).astype(np.uint8)
+def weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the weighted probability of contexts with children, and the weight of their own estimates."""
+    weighted = np.logaddexp(own, below) - np.log(2)
+    return weighted, np.exp(own - np.log(2) - weighted)
 
 
-def _contexts(depth: int, slots: int):
-    """Rows of context, zeros, ones and slot, from rows of code and n."""
+class Subtree:
+    """The contexts of two bytes and more that end alike, of all byte strings with these two bytes before the last one."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int):
+        self.codes, self.depth = codes, depth
+        bits = np.stack([(codes >> np.uint64(7 - k)) & np.uint64(1) for k in range(8)]).astype(bool)
+        self.bits, count = bits, np.broadcast_to(n.astype(np.float64), bits.shape).ravel()
+        self.at, self.one, self.weight, self.seen, below = {}, {}, {}, {}, None
+        for d in range(depth, 1, -1):
+            number, first, at = np.unique(np.concatenate([nodes(codes, d, k) for k in range(8)]), return_index=True, return_inverse=True)
+            zeros, ones = (np.bincount(at, weights=np.where(bits.ravel() == b, count, 0), minlength=len(number)) for b in (0, 1))
+            own = estimate(zeros, ones)
+            weighted, weight = (own, np.ones(len(own))) if below is None else weigh(own, np.bincount(at[below[0]], weights=below[1], minlength=len(number)))
+            self.at[d], self.one[d], self.weight[d], self.seen[d] = at.reshape(8, -1), (ones + 0.5) / (zeros + ones + 1), weight, zeros + ones > 0
+            below = first, weighted
+            if d == 2:
+                #: Of the uppermost contexts: the last byte with the known bits, log of the weighted probability, counts.
+                self.top = (number & np.uint64(0xFFFF)).astype(np.int64), weighted, zeros, ones
+
+    def log10(self, top: Top) -> np.ndarray:
+        """Of each byte string, the log10 probability of its last byte after the others."""
+        one, seen = np.full(self.bits.shape, 0.5), np.zeros(self.bits.shape, bool)
+        steps = [(self.one[d][self.at[d]], self.weight[d][self.at[d]], self.seen[d][self.at[d]]) for d in range(self.depth, 1, -1)]
+        for d in (1, 0):
+            node = np.stack([nodes(self.codes, d, k) for k in range(8)]).astype(np.int64)
+            steps.append((top.one[d][node], top.weight[d][node], top.seen[d][node]))
+        for own, w, here in steps:
+            one = np.where(here, np.where(seen, w * own + (1 - w) * one, own), one)
+            seen |= here
+        return np.log10(np.where(self.bits, one, 1 - one)).sum(0)
+
+
+class Top:
+    """The contexts of one byte and of none."""
+
+    def __init__(self, node: np.ndarray, below: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        """Of each context of one byte: its number, the sum of its children's log probabilities, its counts."""
+        self.one, self.weight, self.seen = [np.full(1 << s, 0.5) for s in (8, 16)], [np.ones(1 << s) for s in (8, 16)], [np.zeros(1 << s, bool) for s in (8, 16)]
+        for d in (1, 0):
+            weighted, self.weight[d][node] = weigh(estimate(zeros, ones), below)
+            self.one[d][node], self.seen[d][node] = (ones + 0.5) / (zeros + ones + 1), zeros + ones > 0
+            if d:
+                node, at = np.unique(node & 255, return_inverse=True)
+                below, zeros, ones = (np.bincount(at, weights=x, minlength=len(node)) for x in (weighted, zeros, ones))
+
+
+def _subtrees(depth: int, then):
+    """What `then` makes of each subtree, from rows of code and n that come in the order of their last bytes."""
 
     def run(batches):
+        held, rows, width = [], 0, 0
+
+        def made(table: pa.Table):
+            codes = table.column("code").to_numpy().view(np.uint64)
+            n = table.column("n").to_numpy()
+            end = codes >> np.uint64(8) & np.uint64(0xFFFF)
+            cut = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1], [True]]))
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                yield then(Subtree(codes[lo:hi], n[lo:hi], depth))
+
         for batch in batches:
-            codes = batch.column("code").to_numpy().view(np.uint64)
-            n = batch.column("n").to_numpy()
-            for d in range(depth + 1):
-                all_nodes, all_n, all_bits = [], [], []
-                for k in range(8):
-                    all_nodes.append(nodes(codes, d, k))
-                    all_bits.append((codes >> np.uint64(7 - k) & np.uint64(1)).astype(bool))
-                    all_n.append(n)
-                node, bit, count = np.concatenate(all_nodes), np.concatenate(all_bits), np.concatenate(all_n)
-                distinct, inverse = np.unique(node, return_inverse=True)
-                ones = np.bincount(inverse, weights=np.where(bit, count, 0), minlength=len(distinct)).astype(np.int64)
-                zeros = np.bincount(inverse, weights=np.where(bit, 0, count), minlength=len(distinct)).astype(np.int64)
-                yield pa.record_batch([pa.array(distinct.view(np.int64)), pa.array(zeros), pa.array(ones), pa.array(slot(distinct, slots))], names=["node", "zeros", "ones", "slot"])
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > 2 * width:
+                table = pa.Table.from_batches(held).combine_chunks()
+                end = table.column("code").to_numpy() >> 8 & 0xFFFF
+                last = int(np.flatnonzero(end == end[-1])[0])
+                yield from made(table.slice(0, last)) if last else ()
+                table = table.slice(last)
+                held, rows, width = table.to_batches(), table.num_rows, table.num_rows
+        if held:
+            yield from made(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    shift = np.zeros_like(x)
-    for j in range(8):
-        shift += np.log(x + j)
-    y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+def _tops(tree: Subtree) -> pa.RecordBatch:
+    return pa.record_batch(list(map(pa.array, tree.top)), names=["node", "below", "zeros", "ones"])
 
 
-class Tree:
-    """Estimate and own weight of each slot; the weight of an empty slot is -1."""
-
-    def __init__(self, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, depth: int, size: int):
-        """Of each slot's context: its number, and the zeros and ones that followed it."""
-        n, step = len(node), 1 << 18
-        node = node.view(np.uint64)
-        slots, level = np.empty(n, np.int32), np.empty(n, np.uint8)
-        own, weight, below = np.empty(n), np.ones(n, np.float32), np.zeros(size)
-        self.one, self.weight, self.tag = np.full(size, 0.5, np.float32), np.full(size, -1, np.float32), np.zeros(size, np.uint8)
-        self.depth, self.size = depth, size
-        for lo in range(0, n, step):
-            part = slice(lo, lo + step)
-            z, o = zeros[part].astype(np.float64), ones[part].astype(np.float64)
-            own[part] = log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1) - np.log(np.pi)
-            slots[part], level[part] = slot(node[part], size), node[part] >> np.uint64(56)
-            self.one[slots[part]] = (o + 0.5) / (z + o + 1)
-            self.tag[slots[part]] = tags(node[part])
-        for d in range(depth, -1, -1):
-            at_level = np.flatnonzero(level == d)
-            above = np.zeros(size) if d else None
-            for lo in range(0, len(at_level), step):
-                here = at_level[lo : lo + step]
-                weighted = own[here]
-                if d < depth:
-                    weighted = np.logaddexp(own[here], below[slots[here]]) - np.log(2)
-                    weight[here] = np.exp(own[here] - np.log(2) - weighted)
-                if d:
-                    context = (node[here] >> np.uint64(8)) & np.uint64((1 << (8 * (d - 1))) - 1)
-                    parent = np.uint64((d - 1) << 56) | context << np.uint64(8) | node[here] & np.uint64(255)
-                    np.add.at(above, slot(parent, size), weighted)
-            below = above
-        self.weight[slots] = weight
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """Of each byte string, the log10 probability of its last byte after the others."""
-        total = np.zeros(len(codes))
-        for k in range(8):
-            one, seen = np.full(len(codes), 0.5), np.zeros(len(codes), bool)
-            for d in range(self.depth, -1, -1):
-                node = nodes(codes, d, k)
-                at = slot(node, self.size)
-                own, w = self.one[at].astype(np.float64), self.weight[at].astype(np.float64)
-                here = (w >= 0) & (self.tag[at] == tags(node))
-                one = np.where(here, np.where(seen, w * own + (1 - w) * one, own), one)
-                seen |= here
-            bit = (codes >> np.uint64(7 - k) & np.uint64(1)).astype(bool)
-            total += np.log10(np.where(bit, one, 1 - one))
-        return total
-
-
-class Cached:
-    """log10 of the tree, kept by byte string in a table of fixed size."""
-
-    def __init__(self, tree: Tree):
-        self.tree, self.keys, self.values = tree, np.full(_CACHE, 1 << 63, np.uint64), np.zeros(_CACHE)
+def _answers(top_of):
+    def then(tree: Subtree) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(tree.codes.view(np.int64)), pa.array(tree.log10(top_of.value).astype(np.float32))], names=["code", "log10"])
+
+    return then
+
+
+class Part:
+    """log10 probabilities by byte string, those last asked for in a table of fixed size."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        order = np.argsort(codes.view(np.uint64))
+        self.codes, self.values = codes.view(np.uint64)[order], values[order]
+        self.keys, self.cached = None, None
 
     def __call__(self, codes: np.ndarray) -> np.ndarray:
+        """0 for strings of another part."""
+        if self.keys is None:
+            self.keys, self.cached = np.full(_CACHE, 1 << 63, np.uint64), np.zeros(_CACHE, np.float32)
         at = (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-        hit = self.keys[at] == codes
-        out = self.values[at]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
+        out = self.cached[at]
+        miss = np.flatnonzero(self.keys[at] != codes)
+        if len(miss) and len(self.codes):
             distinct, inverse = np.unique(codes[miss], return_inverse=True)
-            found = self.tree.log10(distinct)
+            place = np.minimum(np.searchsorted(self.codes, distinct), len(self.codes) - 1)
+            found = np.where(self.codes[place] == distinct, self.values[place], np.float32(0))
             out[miss] = found[inverse]
-            self.keys[at[miss]], self.values[at[miss]] = codes[miss], out[miss]
+            self.keys[at[miss]], self.cached[at[miss]] = codes[miss], out[miss]
         return out
 
 
@@ -249,17 +279,32 @@ class Head:
         return np.log10((counts + 0.5) / self.divisor)
 
 
-def _score(tree_of, head_of, names: list[str]):
+def _more(part_of, depth: int, names: list[str]):
+    """The rows, with what the byte strings of one part add to their scores."""
+
     def run(batches):
-        cached, head = Cached(tree_of.value), head_of.value
+        part = part_of.value
         for batch in batches:
-            parts = []
+            score = batch.column("score").to_numpy().copy()
+            for lo, hi, data, offsets in chunks(batch.column("text")):
+                data, offsets = stream(data, offsets)
+                score[lo:hi] += np.add.reduceat(part(grams(data, offsets, depth)).astype(np.float64), offsets[:-1])
+            yield pa.record_batch([*(batch.column(c) for c in names), batch.column("text"), pa.array(score)], names=[*names, "text", "score"])
+
+    return run
+
+
+def _score(part_of, depth: int, head_of, names: list[str]):
+    """The carried columns, the score with what the last part adds, and what the base needs."""
+
+    def run(batches):
+        part, head = part_of.value, head_of.value
+        for batch in batches:
+            parts, before = [], batch.column("score").to_numpy()
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 n = hi - lo
                 data, offsets = stream(data, offsets)
-                logs = cached(grams(data, offsets, cached.tree.depth))
-                row = np.repeat(np.arange(n), np.diff(offsets))
-                score = np.bincount(row, weights=logs, minlength=n)
+                score = before[lo:hi] + np.add.reduceat(part(grams(data, offsets, depth)).astype(np.float64), offsets[:-1])
                 w = Words(data, offsets, INK)
                 n_words = np.diff(w.first)
                 maybe = np.flatnonzero(head.known[w.hash >> np.uint64(40)])
@@ -284,45 +329,57 @@ def _score(tree_of, head_of, names: list[str]):
 _SCORED = ["words", "known", "base", "score", "n_bytes", "rare"]
 
 
-def score_texts(docs: DataFrame, training: DataFrame, *, text_col: str = "text", carry: list[str], depth: int = DEPTH, slots: int = SLOTS, head: int = HEAD) -> DataFrame:
+def _frequent(words: DataFrame, head: int) -> tuple[int, int]:
+    """Distinct words, and the least count of the frequent ones, of which there are `head` at most.
+
+    Words are told apart by their counts as far as 1,024, by powers of two beyond.
+    """
+    n = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
+    distinct, held, least = 0, 0, None
+    for r in words.groupBy(n.alias("from")).agg(F.count("*").alias("words")).orderBy(F.desc("from")).collect():
+        distinct, held = distinct + r["words"], held + r["words"]
+        if held <= head:
+            least = r["from"]
+    return distinct, 1 << 62 if least is None else least
+
+
+def score_texts(docs: DataFrame, learn: Column, *, text_col: str = "text", carry: list[str], depth: int = DEPTH, head: int = HEAD, part: int = PART) -> DataFrame:
     """The carried columns, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of each row of docs.
 
-    Null and empty texts have one token, the end, and a stream of one byte. Rows that repeat get equal scores. Without
-    training texts every token is unknown and every bit has probability one half. Carried columns are renamed while
-    they travel, so their names may be anything.
+    learn: which of the rows teach (null: not). Null and empty texts have one token, the end, and a stream of one byte.
+    Rows that repeat get equal scores. Without training texts every token is unknown and every bit has probability one
+    half. Carried columns are renamed while they travel, so their names may be anything.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    texts = training.select(F.col(text_col).alias("text"))
+    texts = docs.select(F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     counted = texts.transform(in_batches).mapInArrow(_counts(depth), "kind int, word binary, code bigint, n bigint")
     counted = scratch.keep(counted.groupBy("kind", "word", "code").agg(F.sum("n").alias("n")), "counts")
     words = counted.where("kind = 0")
-    spread = words.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words"), F.sum(F.col("n")).alias("tokens")).orderBy(F.desc("n")).collect()
     n_docs = counted.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    distinct, least = sum(r["words"] for r in spread), 1
+    distinct, least = _frequent(words, head)
     total = (words.agg(F.sum("n")).first()[0] or 0) + n_docs
-    held = 0
-    for r in spread:
-        held += r["words"]
-        if held > head:
-            least = r["n"] + 1
-            break
     frequent = words.where(F.col("n") >= least).select("code", "n").toArrow()
     head_of = Head(frequent.column("code").to_numpy(), frequent.column("n").to_numpy(), total, distinct + (n_docs > 0))
-    codes = counted.where("kind = 1").select("code", "n")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")  # rows of two numbers
-    contexts = codes.mapInArrow(_contexts(depth, slots), "node bigint, zeros bigint, ones bigint, slot bigint")
-    contexts = contexts.groupBy("node", "slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    # of equally frequent contexts, their own bits decide
-    often = (F.col("zeros") + F.col("ones")) * 65536 + F.pmod(F.xxhash64("node"), F.lit(65536))
-    counts = [F.least(F.max_by(c, often), F.lit(2**31 - 1)).cast("int").alias(c) for c in ("zeros", "ones")]
-    model = contexts.groupBy("slot").agg(F.max_by("node", often).alias("node"), *counts).drop("slot").toArrow()
-    tree = Tree(*(model.column(c).to_numpy() for c in ("node", "zeros", "ones")), depth, slots)
-    del model, frequent
+    del frequent
+    end_bytes = F.shiftrightunsigned("code", 8).bitwiseAND(F.lit(0xFFFF))
+    dealt = counted.where("kind = 1").select("code", "n").repartition(end_bytes).sortWithinPartitions(end_bytes)
+    tops = dealt.mapInArrow(_subtrees(depth, _tops), "node bigint, below double, zeros double, ones double")
+    tops = tops.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("below", "zeros", "ones")]).orderBy("node").toArrow()
+    top = spark.sparkContext.broadcast(Top(*(tops.column(c).to_numpy() for c in ("node", "below", "zeros", "ones"))))
+    answers = scratch.keep(dealt.mapInArrow(_subtrees(depth, _answers(top)), "code bigint, log10 float"), "answers")
     names = [f"c{k}" for k in range(len(carry))]
-    inner = docs.select(*[F.col(c).alias(k) for c, k in zip(carry, names, strict=True)], F.col(text_col).alias("text"))
     fields = "".join(f"{k} {docs.schema[c].dataType.simpleString()}, " for c, k in zip(carry, names, strict=True))
-    scored = inner.transform(in_batches).mapInArrow(_score(spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(head_of), names), f"{fields}words bigint, known bigint, base double, score double, n_bytes bigint, rare array<binary>")
+    now = docs.select(*[F.col(c).alias(k) for c, k in zip(carry, names, strict=True)], F.col(text_col).alias("text"), F.lit(0.0).alias("score"))
+    parts = max(1, -(-answers.count() // part))
+    for k in range(parts):
+        mine = answers.where(F.pmod(F.xxhash64("code"), F.lit(parts)) == k).toArrow()
+        part_of = spark.sparkContext.broadcast(Part(mine.column("code").to_numpy(), mine.column("log10").to_numpy()))
+        del mine
+        if k < parts - 1:
+            now = scratch.keep(now.transform(in_batches).mapInArrow(_more(part_of, depth, names), f"{fields}text string, score double"), f"part-{k}")
+            scratch.drop(f"part-{k - 1}")
+    scored = now.transform(in_batches).mapInArrow(_score(part_of, depth, spark.sparkContext.broadcast(head_of), names), f"{fields}words bigint, known bigint, base double, score double, n_bytes bigint, rare array<binary>")
     scored = scratch.keep(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     divisor = float(head_of.divisor)
     count = F.coalesce("n", F.lit(0))
@@ -346,5 +403,4 @@ def score_texts(docs: DataFrame, training: DataFrame, *, text_col: str = "text",
 def op10(docs: DataFrame) -> DataFrame:
     """One row per document; those whose id's crc32 leaves 1 modulo 5 are held out."""
     held = id_mod("doc_id", 5) == 1
-    rows = docs.select("doc_id", held.alias("held_out"), "text")
-    return score_texts(rows, rows.where("not held_out"), carry=["doc_id", "held_out"])
+    return score_texts(docs.select("doc_id", held.alias("held_out"), "text"), ~F.col("held_out"), carry=["doc_id", "held_out"])

@@ -98,7 +98,7 @@ def test_repeated_lines_go_but_for_the_first(spark):
     assert got[1].text == f"{b}\nshort line" and got[3].text == "short line"
     assert got[2].text == f"{text(3, 20)}\n{a}!" and got[2].n_lines_removed == 1
     assert got[None].emptied and got[7].text is None and got[8].text == "" and not got[8].emptied
-    assert got[9].text in ("", almost)  # linked only if the word's bits let the SimHashes meet
+    assert got[9].text == ""
     assert set(lines.drop_repeats(df).columns) == set(df.columns)
 
 
@@ -263,20 +263,61 @@ def test_language_model_base_equals_brute_force(spark, docs, driver):
         assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
-def test_context_tree_is_a_probability():
-    import numpy as np
+def weighted_tree(taught, scored, depth):
+    """log10 probabilities of byte streams by a context tree of dictionaries, bit by bit."""
+    counts = {}
+
+    def steps(data):
+        padded = b"\n" * depth + data
+        for k, byte in enumerate(data):
+            for bit in range(8):
+                known = (1 << bit) | byte >> (8 - bit)
+                yield padded[k : k + depth], known, byte >> (7 - bit) & 1
+
+    for data in taught:
+        for before, known, bit in steps(data):
+            for d in range(depth + 1):
+                counts.setdefault((before[depth - d :], known), [0, 0])[bit] += 1
+    own = {k: math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - math.log(math.pi) for k, (z, o) in counts.items()}
+    below, weight = Counter(), {}
+    for key in sorted(own, key=lambda k: -len(k[0])):
+        weighted, weight[key] = own[key], 1.0
+        if len(key[0]) < depth:
+            top = max(own[key], below[key])
+            weighted = top + math.log(math.exp(own[key] - top) + math.exp(below[key] - top)) - math.log(2)
+            weight[key] = math.exp(own[key] - math.log(2) - weighted)
+        if key[0]:
+            below[(key[0][1:], key[1])] += weighted
+    out = []
+    for data in scored:
+        total = 0.0
+        for before, known, bit in steps(data):
+            one = None
+            for d in range(depth, -1, -1):
+                key = (before[depth - d :], known)
+                if key in counts:
+                    z, o = counts[key]
+                    p = (o + 0.5) / (z + o + 1)
+                    one = p if one is None else weight[key] * p + (1 - weight[key]) * one
+            one = 0.5 if one is None else one
+            total += math.log10(one if bit else 1 - one)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize(("depth", "part"), [(2, 1 << 24), (5, 300)])
+def test_scores_equal_a_brute_force_context_tree(spark, depth, part):
+    from pyspark.sql import functions as F
 
-    data = np.frombuffer(b"abracadabra abracadabra\n", np.uint8)
-    codes, n = np.unique(lm.grams(data, np.array([0, len(data)]), 4), return_counts=True)
-    parts = []
-    for b in lm._contexts(4, 1 << 16)([__import__("pyarrow").record_batch([codes.view(np.int64), n], names=["code", "n"])]):
-        parts.append([b.column(c).to_numpy() for c in ("slot", "zeros", "ones", "node")])
-    slot, zeros, ones, node = (np.concatenate(x) for x in zip(*parts, strict=True))
-    keep = np.unique(slot, return_index=True)[1]
-    tree = lm.Tree(node[keep], zeros[keep], ones[keep], 4, 1 << 16)
-    context = int.from_bytes(b"abra", "big") << 8
-    total = (10 ** tree.log10(np.arange(256, dtype=np.uint64) + np.uint64(context))).sum()
-    assert abs(total - 1) < 1e-6
+    rows = [(k, " ".join(text(k % 7 + 10 * (k % 2), 12).split() + ["The", "end"])) for k in range(24)] + [(30, ""), (31, None), (32, "ünïcode ✓ ünïcode"), (33, "zz\n\n\tzz")]
+    held = {i for i, _ in rows if i % 4 == 1}
+    streams = {i: b" ".join(x.encode() for x in ink(low(t))) + b"\n" for i, t in rows}
+    want = dict(zip(streams, weighted_tree([s for i, s in streams.items() if i not in held], streams.values(), depth), strict=True))
+    df = spark.createDataFrame(rows, "c0 int, text string")
+    got = lm.score_texts(df, F.col("c0") % 4 != 1, carry=["c0"], depth=depth, part=part, head=5).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert abs(r.score - want[r.c0]) < 1e-4 * max(1, abs(want[r.c0])) and r.n_bytes == len(streams[r.c0])
 
 
 def test_chat_reads_back_and_escapes(spark):
