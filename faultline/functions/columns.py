@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,10 +66,19 @@ def precedence(categories: Column) -> Column:
     return F.coalesce(F.try_element_at(ranks, found.cast("int")), F.lit("UNKNOWN"))
 
 
-def reasons(*named: tuple[str | Column, Column]) -> Column:
+def reasons(*named: tuple[str | Column, Column], between: str = ",") -> Column:
     """The texts whose conditions hold, in order, joined by commas."""
-    return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(t) if isinstance(t, str) else t) for t, c in named])), ",")
+    return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(t) if isinstance(t, str) else t) for t, c in named])), between)
+
+
+def is_sha(value: Column) -> Column:
+    return F.coalesce(value.rlike(P.SHA), F.lit(False))
+
+
+def is_repository(value: Column) -> Column:
+    """owner/name, both of letters, digits, dots, dashes and underscores, neither of dots alone."""
+    return F.coalesce(value.rlike(P.REPOSITORY), F.lit(False))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def has_text_suffix(path: Column) -> Column:
+    return F.coalesce(path.rlike(P.TEXT_SUFFIX), F.lit(False))

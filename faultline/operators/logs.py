@@ -11,7 +11,7 @@ from faultline.functions import patterns as P
 def lines_of(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos (from 0), text: the lines of a text without a byte-order mark; a last empty line isn't one."""
     clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^﻿", "")
-    parts = F.split(clean, r"\r\n|\r|\n")
+    parts = F.split(clean, P.LINE_END)
     parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return texts.select(key, F.posexplode(parts).alias("pos", "text"))
 
@@ -54,35 +54,39 @@ def step_slice(parsed: DataFrame, steps: DataFrame, key: str, tail_lines: int =
     return cut.withColumn("end", end).where(F.col("pos") <= F.col("end")).select(key, "pos", "text", "method")
 
 
-def excerpt(lines: DataFrame, key: str, most: int, head: int) -> DataFrame:
-    """key, excerpt, truncated: all lines, or the first `head` and as many of the last as the budget of characters holds."""
-    size = F.length("text") + 1
-    after = Window.partitionBy(key).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(key)
-    place = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    marked = lines.withColumns({"place": place, "from_end": F.sum(size).over(after), "total": F.sum(size).over(whole) - 1, "n": F.count("*").over(whole)})
-    marked = marked.withColumn("head_chars", F.sum(F.when(F.col("place") <= head, size)).over(whole) - 1)
-    fits = F.col("from_end") <= most - F.col("head_chars") - 64
-    kept = marked.where((F.col("total") <= most) | (F.col("place") <= head) | fits)
-    parts = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("all"), F.first("total").alias("total"), F.first("n").alias("n"), F.count("*").alias("kept"))
-    text = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), "\n")
-    first, last = F.filter("all", lambda x: x["place"] <= head), F.filter("all", lambda x: x["place"] > head)
-    cut = F.concat(text(first), F.lit("\n... ["), (F.col("n") - F.col("kept")).cast("string"), F.lit(" lines omitted] ...\n"), text(last))
-    return parts.select(key, F.when(F.col("total") <= most, text(F.col("all"))).otherwise(cut).alias("excerpt"), (F.col("total") > most).alias("truncated"))
+def excerpt(texts: DataFrame, key: str, text: str, most: int, head: int) -> DataFrame:
+    """key, excerpt, truncated: all lines, or the first `head` and as many of the last as the budget of characters holds.
+
+    A fold over the array of one row's lines, from the last; rows stay where they are.
+    """
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), P.LINE_END)
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    cut = texts.select(key, lines.alias("lines")).withColumn("whole", F.array_join("lines", "\n"))
+    cut = cut.withColumns({"n": F.size("lines"), "first": F.array_join(F.slice("lines", 1, head), "\n"), "rest": F.reverse(F.slice("lines", head + 1, F.greatest(F.size("lines"), F.lit(1))))})
+    room = f"{most} - length(first) - 64"
+    fits = f"aggregate(rest, struct(0 AS used, 0 AS n, true AS open), (s, x) -> CASE WHEN s.open AND s.used + length(x) + 1 <= {room} THEN struct(s.used + length(x) + 1 AS used, s.n + 1 AS n, true AS open) ELSE struct(s.used AS used, s.n AS n, false AS open) END).n"
+    long = F.length("whole") > most
+    cut = cut.withColumn("kept", F.when(long, F.expr(fits)))
+    last = F.array_join(F.reverse(F.slice("rest", F.lit(1), F.col("kept"))), "\n")
+    short = F.concat("first", F.lit("\n... ["), (F.col("n") - head - F.col("kept")).cast("string"), F.lit(" lines omitted] ...\n"), last)
+    return cut.select(key, F.when(long, short).otherwise(F.col("whole")).alias("excerpt"), long.alias("truncated"))
+
+
+def stripped(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
 
 
 def error_lines(lines: DataFrame, key: str, most: int = 50) -> DataFrame:
-    """key, rank, line: distinct stripped lines that report an error, by first place, cut to 500 characters."""
-    stripped = F.substring(F.regexp_replace("text", r"^\s+|\s+$", ""), 1, 500)
-    found = lines.where(F.col("text").rlike(P.ERROR_LINE)).groupBy(key, stripped.alias("line")).agg(F.min("pos").alias("pos"))
+    """key, rank, line: distinct stripped lines that report an error, by first place, each cut to 500 characters."""
+    found = stripped(lines).where(F.col("text").rlike(P.ERROR_LINE)).groupBy(key, "text").agg(F.min("pos").alias("pos"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "rank", "line")
+    return found.withColumn("rank", rank).where(F.col("rank") <= most).select(key, "rank", F.substring("text", 1, 500).alias("line"))
 
 
 def failing_tests(lines: DataFrame, key: str) -> DataFrame:
     """key, tests: names of failing tests, first seen first, joined by commas."""
     name = F.regexp_extract("text", P.FAILING_TEST, 1)
-    found = lines.where(F.col("text").rlike(P.FAILING_TEST)).groupBy(key, name.alias("name")).agg(F.min("pos").alias("pos"))
+    found = stripped(lines).where(F.col("text").rlike(P.FAILING_TEST)).groupBy(key, name.alias("name")).agg(F.min("pos").alias("pos"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"])
     return found.groupBy(key).agg(F.array_join(ordered, ",").alias("tests"))
 
@@ -98,11 +102,41 @@ def error_signature(lines: DataFrame, key: str) -> DataFrame:
     return best.select(key, F.col("best.exception").alias("exception"), F.col("best.message").alias("message"))
 
 
-def changed_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, path, changed: lines added or removed in each file of a unified diff."""
+def diff_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, path, text of the lines of unified diffs; path is that of the file they belong to, null outside of any."""
     rows = lines_of(diffs, key, text)
-    path = F.when(F.col("text").startswith("+++ b/"), F.substring(F.col("text"), 7, 4096))
+    path = F.when(F.col("text").startswith("+++ b/"), F.substring(F.col("text"), 7, 4096)).when(F.col("text").startswith("+++ "), "")
     current = F.last(path, ignorenulls=True).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("path", F.nullif(current, F.lit(""))).select(key, "pos", "path", "text")
+
+
+def changed_text(diffs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, path, line: the lines that a diff adds or removes, without their signs."""
     counted = F.substring("text", 1, 1).isin("+", "-") & ~F.col("text").startswith("+++ ") & ~F.col("text").startswith("---")
-    rows = rows.withColumn("path", current).where(counted & F.col("path").isNotNull())
-    return rows.groupBy(key, "path").agg(F.count("*").alias("changed"))
+    rows = diff_lines(diffs, key, text).where(counted & F.col("path").isNotNull())
+    return rows.select(key, "pos", "path", F.substring(F.col("text"), 2, 1 << 30).alias("line"))
+
+
+def changed_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, path, changed: lines added or removed in each file of a unified diff."""
+    return changed_text(diffs, key, text).groupBy(key, "path").agg(F.count("*").alias("changed"))
+
+
+def hunks(diffs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, rank, hunk: headers of hunks with their paths, in order."""
+    rows = diff_lines(diffs, key, text).where(F.col("text").startswith("@@") & F.col("path").isNotNull())
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
+    return rows.select(key, rank.alias("rank"), F.concat_ws(" ", "path", "text").alias("hunk"))
+
+
+def diff_section(diffs: DataFrame, key: str, text: str, path: str, most: int = 20) -> DataFrame:
+    """key, section: the first lines of a path's (a column's) part of a diff; empty if it has none."""
+    lines = F.split(F.col(text), P.LINE_END)
+    heads = lambda x: x.startswith("diff --git ")
+    mine = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda k: heads(F.element_at(lines, k)) & F.endswith(F.element_at(lines, k), F.concat(F.lit(" b/"), F.col(path))))
+    start = F.get(mine, F.lit(0))
+    follow = F.slice(lines, F.coalesce(start + 1, F.lit(1)), F.lit(most))
+    stop = F.get(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: F.coalesce(heads(F.try_element_at(follow, k)), F.lit(False))), F.lit(0))
+    last = F.when(F.try_element_at(follow, F.lit(-1)) == "", F.size(follow) - 1).otherwise(F.size(follow))
+    section = F.slice(follow, F.lit(1), F.coalesce(stop - 1, last))
+    return diffs.select(key, F.when(start.isNull(), "").otherwise(F.array_join(section, "\n")).alias("section"))

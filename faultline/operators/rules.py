@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import patterns as P
-from faultline.functions.columns import reasons
+from faultline.functions.columns import first_match, reasons, stage
 
 
 def _matched(lines: DataFrame, text: str, rules) -> DataFrame:
@@ -15,28 +15,56 @@ def _matched(lines: DataFrame, text: str, rules) -> DataFrame:
     return lines.withColumn("rank", F.explode(ranks))
 
 
-def classify(lines: DataFrame, key: str = "id", text: str = "text", pos: str = "pos") -> DataFrame:
-    """key, rule, category, confidence, line: the first rule that any line matches, with its first line.
+def classify(lines: DataFrame, cases: DataFrame, key: str = "id", pos: str = "pos") -> DataFrame:
+    """key, rule, category, confidence, line of every case: the first rule that any line matches, with its first line.
 
-    Rules come before lines: the best row by (rule, line), a partial aggregate before the shuffle.
+    Rules come before lines: the best row by (rule, line), a partial aggregate before the shuffle. Where no rule matches,
+    failing tests decide, then what the step is called, else it is unknown. cases: key, step, job, tests (boolean).
     """
     rules = [r[3] for r in P.CLASSIFY_RULES]
-    stripped = lines.withColumn("line", F.regexp_replace(text, r"^\s+|\s+$", "")).where("line <> ''")
-    best = _matched(stripped, "line", rules).groupBy(key).agg(F.min(F.struct("rank", pos, "line")).alias("best"))
-    at = F.col("best.rank") + 1
-    pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in P.CLASSIFY_RULES]), at)
-    return best.select(key, pick(0).alias("rule"), pick(1).alias("category"), pick(2).alias("confidence"), F.col("best.line").alias("line"))
-
-
-def log_signal(lines: DataFrame, key: str = "id", text: str = "text", pos: str = "pos") -> DataFrame:
-    """key, category, rule: of the categories that lines match, the one of highest precedence, with its first line's rule."""
-    matched = _matched(lines, text, [r[2] for r in P.LOG_RULES])
-    category = F.element_at(F.array(*[F.lit(r[1]) for r in P.LOG_RULES]), F.col("rank") + 1)
-    rule = F.element_at(F.array(*[F.lit(r[0]) for r in P.LOG_RULES]), F.col("rank") + 1)
-    first = matched.select(key, pos, "rank", category.alias("category"), rule.alias("rule")).groupBy(key, "category").agg(F.min(F.struct(pos, "rank", "rule")).alias("first"))
+    clean = lines.withColumn("line", F.regexp_replace("text", r"^\s+|\s+$", "")).where("line <> ''")
+    best = _matched(clean, "line", rules).groupBy(key).agg(F.min(F.struct("rank", pos, "line")).alias("best"))
+    pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in P.CLASSIFY_RULES]), F.col("best.rank") + 1)
+    hint = first_match(F.concat_ws(" ", F.coalesce("step", F.lit("")), "job"), P.STEP_HINTS, None)
+    matched, tests = F.col("best").isNotNull(), F.coalesce("tests", F.lit(False))
+    rule = F.when(matched, pick(0)).when(tests, "failing_tests").when(hint.isNotNull(), "step_name_hint").otherwise("no_rule")
+    category = F.when(matched, pick(1)).when(tests, "TEST_FAILURE").otherwise(F.coalesce(hint, F.lit("UNKNOWN")))
+    confidence = F.when(matched, pick(2)).when(tests, 0.6).when(hint.isNotNull(), 0.3).otherwise(0.1)
+    return cases.join(best, key, "left").select(key, rule.alias("rule"), category.alias("category"), confidence.alias("confidence"), F.col("best.line").alias("line"))
+
+
+def log_signal(lines: DataFrame, cases: DataFrame, key: str = "id", pos: str = "pos") -> DataFrame:
+    """key, category, rule of every case: of the categories that its lines match, that of highest precedence.
+
+    A category's rule is that of its first line. Failing tests count as a match of their own. Without any match a hook's
+    failure decides, then the stage, else it is unknown. cases: key, step, job, tests (boolean).
+    """
+    clean = lines.withColumn("line", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    every = (*P.LOG_RULES, P.FALLBACK_RULE)
+    matched = _matched(clean, "line", [r[2] for r in every])
+    rule, category = (F.element_at(F.array(*[F.lit(r[k]) for r in every]), F.col("rank") + 1) for k in (0, 1))
+    told = matched.select(key, pos, "rank", category.alias("category"), rule.alias("rule"), (F.col("rank") == len(P.LOG_RULES)).alias("hook"))
+    tests = cases.where("tests").select(key, F.lit(1 << 30).alias(pos), F.lit(-1).alias("rank"), F.lit("TEST_FAILURE").alias("category"), F.lit("pytest_failed_tests").alias("rule"), F.lit(False).alias("hook"))
+    first = told.unionByName(tests).groupBy(key, "hook", "category").agg(F.min(F.struct(pos, "rank", "rule")).alias("first"))
     order = F.array_position(F.array(*map(F.lit, P.PRECEDENCE)), F.col("category"))
-    best = first.groupBy(key).agg(F.min(F.struct(order.alias("order"), "category", "first")).alias("best"))
-    return best.select(key, F.col("best.category").alias("category"), F.col("best.first.rule").alias("rule"))
+    best = first.groupBy(key).agg(F.min(F.struct("hook", order.alias("order"), "category", "first")).alias("best"))
+    at = stage(F.coalesce("step", F.lit("")), F.coalesce("job", F.lit("")))
+    by_stage = F.element_at(F.create_map(*[F.lit(x) for pair in P.STAGE_FALLBACK.items() for x in pair]), at)
+    found = cases.join(best, key, "left").select(key, "best", by_stage.alias("by_stage"), at.alias("stage"))
+    said = F.coalesce("best.first.rule", F.when(F.col("by_stage").isNotNull(), F.concat(F.lit("stage_fallback:"), F.col("stage"))), F.lit("no_rule_matched"))
+    return found.select(key, F.coalesce("best.category", "by_stage", F.lit("UNKNOWN")).alias("category"), said.alias("rule"))
+
+
+def diagnose(classified: DataFrame, top: DataFrame, key: str = "id") -> DataFrame:
+    """key, failure_type, confidence, root_cause: a template over what classify() says and the top suspect (key, path, reasons).
+
+    Without a suspect the confidence is a fifth less; a policy check is nobody's file.
+    """
+    words = F.element_at(F.create_map(*[F.lit(x) for pair in P.WHAT_FAILED.items() for x in pair]), F.col("category"))
+    said = F.concat(F.lit("("), F.substring("line", 1, 200), F.lit(")"))
+    file = F.when(F.col("category") != "POLICY_CHECK_FAILURE", F.concat(F.lit("Most suspicious file: "), F.col("path"), F.lit(" ["), F.replace("reasons", F.lit(","), F.lit(", ")), F.lit("].")))
+    confidence = F.round(F.when(F.col("path").isNull(), F.col("confidence") * 0.8).otherwise(F.col("confidence")), 3)
+    return classified.join(top, key, "left").select(key, F.col("category").alias("failure_type"), confidence.alias("confidence"), F.concat_ws(" ", words, said, file).alias("root_cause"))
 
 
 def combine(signals: DataFrame) -> DataFrame:
@@ -68,7 +96,8 @@ def combine(signals: DataFrame) -> DataFrame:
 def score_fix(evidence: DataFrame) -> DataFrame:
     """evidence with status, confidence, reasons.
 
-    has_green, relation, n_commits, n_files, max_commits, job_passed (may be null), docs_only, overlaps, reverts.
+    has_green, relation, n_commits, n_files, max_commits, job_passed (may be null), docs_only, overlaps, reverts; a
+    candidate, if there is one (see fixes.fix_evidence), stays only where the window is looked at.
     """
     near = F.col("relation").isin("ahead", "amend")
     n = F.col("n_commits")
@@ -100,4 +129,6 @@ def score_fix(evidence: DataFrame) -> DataFrame:
         ("fix_overlaps_log_referenced_files", go & F.col("overlaps")),
         ("revert_of_breaking_commit", go & F.col("reverts")),
     )
+    if "candidate" in evidence.columns:
+        evidence = evidence.withColumn("candidate", F.when(left.isNull() & early.isNull(), F.col("candidate")))
     return evidence.withColumns({"left": left, "early": early}).withColumn("confidence", confidence).withColumns({"status": status, "reasons": said}).drop("left", "early")

@@ -38,8 +38,9 @@ def rankings(ranked: DataFrame, key: str, gold: str, answers: str) -> DataFrame:
 
 def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     """what, value, n of every column, counted in one pass over the rows by grouping sets."""
-    told = F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in columns])).alias("t")
-    return rows.select(told).groupBy("t.what", "t.value").agg(F.count("*").alias("n"))
+    counted = rows.groupingSets([[F.col(c)] for c in columns], *map(F.col, columns)).agg(F.count("*").alias("n"), *[F.grouping(c).alias(f"without_{c}") for c in columns])
+    told = F.coalesce(*[F.when(F.col(f"without_{c}") == 0, F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value"))) for c in columns])
+    return counted.select(told.alias("t"), "n").select("t.what", "t.value", "n")
 
 
 def counts_in_all(rows: DataFrame, by: str, values: list[str], also: str) -> DataFrame:
@@ -59,21 +60,26 @@ def upsert(kept: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return kept.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
-def grounded(texts: DataFrame, quotes: DataFrame, key: str, quote_key: str, text: str, quote: str) -> DataFrame:
-    """key, quote_key of each text that holds a quote letter by letter.
-
-    The side of quotes is broadcast behind a check of its size in the caller; words shared are not enough, so this is
-    a contains() over each text and quote, and quotes must be few.
-    """
-    held = texts.join(F.broadcast(quotes), F.contains(F.col(text), F.col(quote)))
-    return held.select(key, quote_key)
+#: Classes of values of a group between which the percentile's own class is told apart.
+CLASSES = 1024
 
 
 def totals(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """by, n, total, mean, p95: nearest-rank percentile, exactly."""
-    p95 = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})")
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 6).alias("mean"), p95.alias("p95"))
+    """by, n, total, mean, p95: nearest-rank percentile, exactly.
 
-
-def first_in_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return rows.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__k = 1").drop("__k")
+    Values are first counted by class, between the group's extremes; only the class that holds the rank is then ranked
+    value by value, so no task gets all values of a group.
+    """
+    name = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
+    rows = rows.withColumn("g", F.struct(*[F.col(c) for c in by], F.hash(*name).alias("h")) if by else F.struct(F.lit(0).alias("h")))
+    ends = rows.groupBy("g").agg(F.count(value).alias("known"), F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"), F.round(F.avg(value), 6).alias("mean"))
+    share = F.when(F.col("high") > F.col("low"), F.floor((F.col(value) - F.col("low")) / (F.col("high") - F.col("low")) * (CLASSES - 1))).otherwise(0)
+    held = rows.where(F.col(value).isNotNull()).select("g", value).join(ends.select("g", "known", "low", "high"), "g")
+    counted = held.groupBy("g", share.alias("class"), value).agg(F.count("*").alias("m"), F.first("known").alias("known"))
+    classes = counted.groupBy("g", "class").agg(F.sum("m").alias("m"), F.first("known").alias("known"))
+    rank = F.ceil(F.col("known") * 0.95)
+    upto = F.sum("m").over(Window.partitionBy("g").orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
+    mine = classes.withColumn("upto", upto).where((F.col("upto") >= rank) & (F.col("upto") - F.col("m") < rank)).select("g", "class", (F.col("upto") - F.col("m")).alias("before"))
+    place = F.sum("m").over(Window.partitionBy("g").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    p95 = counted.join(mine, ["g", "class"]).withColumn("place", place).where(F.col("place") >= rank).groupBy("g").agg(F.min(value).alias("p95"))
+    return ends.join(p95, "g", "left").select(*[F.col(f"g.{c}").alias(c) for c in by], "n", "total", "mean", "p95")

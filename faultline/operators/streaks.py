@@ -38,10 +38,16 @@ def breaking_base(streaks: DataFrame, firsts: DataFrame, keys: list[str]) -> Dat
 
 
 def first_failed(steps: DataFrame, job: str, failed: Column, order: list[str], value: str) -> DataFrame:
-    """job, first_failed, n_failed, others: a job's failed steps in order, the first and up to twenty that follow."""
-    rows = steps.where(failed).groupBy(job).agg(F.array_sort(F.collect_list(F.struct(*order, value))).alias("all"))
+    """job, first_failed, n_failed, others: a job's failed steps in order, the first and up to twenty that follow.
+
+    Steps are ranked before they are gathered, so that a job's list holds 21 at most; the others are only counted.
+    """
+    mine = steps.where(failed).select(job, *order, value)
+    rank = F.row_number().over(Window.partitionBy(job).orderBy(*order, value))
+    few = mine.withColumn("k", rank).where("k <= 21").groupBy(job).agg(F.array_sort(F.collect_list(F.struct("k", value))).alias("all"))
+    counted = mine.groupBy(job).agg(F.count("*").alias("n_failed"))
     names = F.transform("all", lambda s: s[value].cast("string"))
-    return rows.select(job, F.col("all")[0][value].alias("first_failed"), F.size("all").cast("long").alias("n_failed"), F.array_join(F.slice(names, 2, 20), ",").alias("others"))
+    return few.join(counted, job).select(job, F.col("all")[0][value].alias("first_failed"), "n_failed", F.array_join(F.slice(names, 2, 20), ",").alias("others"))
 
 
 def passed_in(failed: DataFrame, green: DataFrame, on: list[str], success: Column) -> DataFrame:

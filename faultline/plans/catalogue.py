@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,25 +10,9 @@ from pyspark.sql import functions as F
 from faultline.functions import columns as C
 from faultline.functions import patterns as P
 from faultline.operators import logs, references, rules, scoring, streaks
+from faultline.plans import cases, evaluations  # noqa: F401  they register their queries
 from faultline.plans import inline as I
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from faultline.plans.registry import QUERIES, SQL, query, read  # noqa: F401
 
 def log_lines(s: SparkSession) -> DataFrame:
     return logs.lines_of(I.table(s, I.LOGS.items(), "id int, text string"), "id", "text")
@@ -39,10 +22,27 @@ def log_bodies(s: SparkSession) -> DataFrame:
     return logs.parse(log_lines(s), "id")
 
 
-# lines of the inline logs in DuckDB: id, pos, text
+def every_line(s: SparkSession, d: str) -> DataFrame:
+    """id, pos, text of the inline logs (negative ids) and of all documents."""
+    inline = log_bodies(s).select((-F.col("id")).cast("long").alias("id"), "pos", "text")
+    return inline.unionAll(logs.lines_of(read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "text"))
+
+
+def every_case(s: SparkSession, d: str) -> DataFrame:
+    """id, step, job, tests: what the rules fall back on; a document's step is its source, its job its language."""
+    inline = I.table(s, [(-k, *v) for k, v in I.CASES.items()], "id bigint, step string, job string, tests boolean")
+    return inline.unionAll(read(s, d, "documents").select("doc_id", "source", "lang", F.lit(False)))
+
+
+# lines of the inline logs in DuckDB: id, pos, text; and of all texts that the rules see, stripped
+_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 LINES = f"""raw AS (SELECT id, string_split(regexp_replace(text, '\\r?\\n$', ''), chr(10)) AS parts FROM {I.LOG_VALUES} WHERE text <> ''),
 lines AS (SELECT id, unnest(range(len(parts)))::INT AS pos, unnest(parts) AS text FROM raw),
 body AS (SELECT id, pos, regexp_replace(CASE WHEN regexp_matches(text, '{P.LOG_TIME}') THEN regexp_extract(text, '{P.LOG_TIME}', 2) ELSE text END, '{P.TERMINAL}', '', 'g') AS text FROM lines)"""
+EVERY = f"""{LINES}, docs AS (SELECT doc_id AS id, string_split_regex(text, '{_ENDS}') AS parts FROM documents),
+told AS (SELECT -id AS id, pos, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS line FROM body
+  UNION ALL SELECT id, unnest(range(len(parts)))::INT, regexp_replace(unnest(parts), '^\\s+|\\s+$', '', 'g') FROM docs),
+every AS (SELECT * FROM {I.CASE_VALUES} UNION ALL SELECT doc_id, source, lang, 'n' FROM documents)"""
 
 RED, GREEN = "event_type = 'error'", "event_type IN ('purchase', 'signup')"
 
@@ -105,14 +105,14 @@ def log_parse(s, d):
     return logs.parse(log_lines(s), "id")
 
 
-@query(f"WITH {LINES} SELECT id, string_agg(name, ',' ORDER BY p) AS tests FROM (SELECT id, regexp_extract(text, '{P.FAILING_TEST}', 1) AS name, min(pos) AS p FROM body WHERE regexp_matches(text, '{P.FAILING_TEST}') GROUP BY ALL) GROUP BY 1")
+@query(f"WITH {EVERY} SELECT id, string_agg(name, ',' ORDER BY p) AS tests FROM (SELECT id, regexp_extract(line, '{P.FAILING_TEST}', 1) AS name, min(pos) AS p FROM told WHERE regexp_matches(line, '{P.FAILING_TEST}') GROUP BY ALL) GROUP BY 1")
 def failing_tests(s, d):
-    return logs.failing_tests(log_bodies(s), "id")
+    return logs.failing_tests(every_line(s, d), "id")
 
 
-@query(f"WITH {LINES} SELECT id, row_number() OVER (PARTITION BY id ORDER BY p)::INT AS rank, line FROM (SELECT id, substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 500) AS line, min(pos) AS p FROM body WHERE regexp_matches(text, '{P.ERROR_LINE}') GROUP BY ALL)")
+@query(f"WITH {EVERY} SELECT id, row_number() OVER (PARTITION BY id ORDER BY p)::INT AS rank, substr(line, 1, 500) AS line FROM (SELECT id, line, min(pos) AS p FROM told WHERE regexp_matches(line, '{P.ERROR_LINE}') GROUP BY ALL) QUALIFY rank <= 50")
 def error_lines_distinct(s, d):
-    return logs.error_lines(log_bodies(s), "id")
+    return logs.error_lines(every_line(s, d), "id")
 
 
 @query("SELECT * FROM (VALUES (1, 'AssertionError', 'assert 1 == 2'), (3, 'ValueError', 'bad value'), (4, 'KeyError', '''k''')) AS v(id, exception, message)")
@@ -136,17 +136,40 @@ def infer_stage(s, d):
     return I.table(s, [(k, *n) for k, n in enumerate(I.NAMES)], "id int, step string, job string").select("id", C.stage(F.col("step"), F.col("job")).alias("stage"))
 
 
-@query(f"""WITH {LINES}, m AS (SELECT id, pos, rank, rule, category, confidence, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS line FROM body JOIN {I.CLASSIFY_VALUES} ON regexp_matches(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), pattern))
-SELECT id, rule, category, confidence::DOUBLE AS confidence, line FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, pos) = 1""")
+_HINT = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(step, '') || ' ' || job, '{p}') THEN '{c}'" for c, p in P.STEP_HINTS) + " END"
+_STAGE = "coalesce(" + ", ".join("CASE " + " ".join(f"WHEN regexp_matches(lower({c}), '{p}') THEN '{n}'" for n, p in P.STAGES) + " END" for c in ("step", "job")) + ", 'other')"
+
+
+@query(f"""WITH {EVERY}, m AS (SELECT id, rule, category, confidence, line FROM told JOIN {I.CLASSIFY_VALUES} ON line <> '' AND regexp_matches(line, pattern) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, pos) = 1),
+h AS (SELECT *, {_HINT} AS hint FROM every)
+SELECT h.id, coalesce(rule, CASE WHEN tests = 'y' THEN 'failing_tests' WHEN hint IS NOT NULL THEN 'step_name_hint' ELSE 'no_rule' END) AS rule,
+  coalesce(category, CASE WHEN tests = 'y' THEN 'TEST_FAILURE' ELSE coalesce(hint, 'UNKNOWN') END) AS category,
+  coalesce(confidence, CASE WHEN tests = 'y' THEN 0.6 WHEN hint IS NOT NULL THEN 0.3 ELSE 0.1 END)::DOUBLE AS confidence, line FROM h LEFT JOIN m ON h.id = m.id""")
 def baseline_classify(s, d):
-    return rules.classify(log_bodies(s))
+    return rules.classify(every_line(s, d), every_case(s, d))
 
 
-@query(f"""WITH {LINES}, m AS (SELECT id, pos, rank, rule, category FROM body JOIN {I.SIGNAL_VALUES} ON regexp_matches(text, pattern)),
-f AS (SELECT id, category, rule FROM m QUALIFY row_number() OVER (PARTITION BY id, category ORDER BY pos, rank) = 1)
-SELECT id, f.category, rule FROM f JOIN (SELECT * FROM {I.PRECEDENCE_VALUES}) p ON p.category = f.category QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1""")
+@query(f"""WITH {EVERY}, m AS (SELECT id, pos, rank, rule, category FROM told JOIN {I.SIGNAL_VALUES} ON regexp_matches(line, pattern) UNION ALL SELECT id, 1 << 30, -1, 'pytest_failed_tests', 'TEST_FAILURE' FROM every WHERE tests = 'y'),
+f AS (SELECT id, category, rule FROM m QUALIFY row_number() OVER (PARTITION BY id, category ORDER BY pos, rank) = 1),
+b AS (SELECT id, f.category, rule FROM f JOIN (SELECT * FROM {I.PRECEDENCE_VALUES}) p ON p.category = f.category QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1),
+k AS (SELECT DISTINCT id, 'LINT_FAILURE' AS category, 'precommit_hook_failed' AS rule FROM told WHERE regexp_matches(line, '{P.FALLBACK_RULE[2]}')),
+g AS (SELECT id, {_STAGE} AS stage FROM every), t AS (SELECT * FROM {I.values(P.STAGE_FALLBACK.items(), 'stage, category')})
+SELECT g.id, coalesce(b.category, k.category, t.category, 'UNKNOWN') AS category, coalesce(b.rule, k.rule, 'stage_fallback:' || t.stage, 'no_rule_matched') AS rule
+FROM g LEFT JOIN b ON b.id = g.id LEFT JOIN k ON k.id = g.id LEFT JOIN t ON t.stage = g.stage""")
 def log_signal(s, d):
-    return rules.log_signal(log_bodies(s))
+    return rules.log_signal(every_line(s, d), every_case(s, d))
+
+
+_WHAT = I.values(P.WHAT_FAILED.items(), "category, words")
+_TOP = [(-1, "src/app.py", "log_reference,failing_test_file"), (-9, "src/b.py", "log_reference"), (-7, "src/c.py", "changed_before_failure")]
+
+
+@query(f"""WITH c AS ({SQL["baseline_classify"]}) SELECT c.id, c.category AS failure_type, round(CASE WHEN path IS NULL THEN confidence * 0.8 ELSE confidence END, 3) AS confidence,
+ concat_ws(' ', words, '(' || substr(line, 1, 200) || ')', CASE WHEN c.category <> 'POLICY_CHECK_FAILURE' THEN 'Most suspicious file: ' || path || ' [' || replace(reasons, ',', ', ') || '].' END) AS root_cause
+FROM c JOIN {_WHAT.replace('AS v(', 'AS w(')} ON w.category = c.category LEFT JOIN {I.values(_TOP, 'id, path, reasons').replace('AS v(', 'AS t(')} ON t.id = c.id""")
+def baseline_diagnosis(s, d):
+    top = I.table(s, _TOP, "id bigint, path string, reasons string")
+    return rules.diagnose(baseline_classify(s, d), top).select("id", "failure_type", "confidence", "root_cause")
 
 
 _KINDS = f"""CASE WHEN path LIKE '.github/%' THEN 'ci' WHEN regexp_matches(path, '{P.DOC_PATH}') THEN 'doc'
@@ -176,11 +199,6 @@ def safe_path(s, d):
     return I.table(s, [(p,) for p in I.RAW_PATHS], "raw string").select("raw", path.alias("path"), problem.alias("problem"))
 
 
-@query("SELECT * FROM (VALUES (1, 'x.py', 3), (1, 'y.py', 2)) AS v(id, path, changed)")
-def diff_changed_lines(s, d):
-    return logs.changed_lines(I.table(s, I.DIFFS.items(), "id int, text string"), "id", "text").withColumn("changed", F.col("changed").cast("int"))
-
-
 _LOG_CATS, _FIX_CATS = ["TEST_FAILURE", "TYPE_ERROR", "UNKNOWN", None], ["TYPE_ERROR", "FLAKY", None]
 _SIGNALS = [(k, *r) for k, r in enumerate(product(_LOG_CATS, ["x", "stage_fallback:test", "no_rule_matched"], _FIX_CATS, ["fix_a", "fix_mixed_change_kinds"], ["TEST_FAILURE,UNKNOWN", "LINT_FAILURE"], ["y", "n"], ["y", "n"]))]
 
@@ -310,39 +328,16 @@ def sanitize_text(s, d):
     return read(s, d, "pages").select("page_id", F.regexp_replace(tags, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ").alias("text"))
 
 
-@query("SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY r, l_partkey) AS suspects FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY q DESC, l_partkey) AS r FROM (SELECT l_orderkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY ALL)) WHERE r <= 3 GROUP BY 1")
-def suspect_ranking(s, d):
-    summed = read(s, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q"))
-    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("q")).alias("q"), "l_partkey"))), 1, 3)
-    return summed.groupBy("l_orderkey").agg(F.array_join(F.transform(ranked, lambda x: x["l_partkey"].cast("string")), ",").alias("suspects"))
-
-
-_GRAPH = I.values(I.COMMITS, "sha, parent")
-
-
-@query(f"WITH RECURSIVE g AS (SELECT * FROM {_GRAPH}), up AS (SELECT DISTINCT sha, sha AS ancestor FROM g UNION SELECT up.sha, g.parent FROM up JOIN g ON g.sha = up.ancestor WHERE g.parent IS NOT NULL) SELECT sha, ancestor FROM up")
-def commit_ancestors(s, d):
-    I.table(s, I.COMMITS, "sha string, parent string").createOrReplaceTempView("commit_edges")
-    return s.sql("WITH RECURSIVE up(sha, ancestor) AS (SELECT DISTINCT sha, sha FROM commit_edges UNION ALL SELECT up.sha, g.parent FROM up JOIN commit_edges g ON g.sha = up.ancestor WHERE g.parent IS NOT NULL) SELECT DISTINCT sha, ancestor FROM up")
-
-
-_RANKED = [(1, "b,z", "a,b,c"), (2, "a", "a"), (3, "q", "a,b"), (4, "a,b", "c,c,d,a,e,b")]
-
-
-@query("SELECT * FROM (VALUES (1, 0, 1, 0.5, 0.5), (2, 1, 1, 1.0, 1.0), (3, 0, 0, 0.0, 0.0), (4, 0, 0, 0.25, 0.5)) AS v(id, hit1, hit3, reciprocal, recall5)".replace("0.5, 0.5)", "0.5::DOUBLE, 0.5::DOUBLE)", 1))
-def localization_scores(s, d):
-    rows = I.table(s, _RANKED, "id int, gold string, answers string").select("id", F.split("gold", ",").alias("gold"), F.split("answers", ",").alias("answers"))
-    return scoring.rankings(rows, "id", "gold", "answers")
-
-
-@query("SELECT doc_id, length(text) <= 500 AS whole, length(text) AS chars FROM documents")
+@query(f"""WITH l AS (SELECT doc_id, string_split_regex(text, '{_ENDS}') AS p FROM documents), q AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM l),
+r AS (SELECT doc_id, len(p) AS n, length(array_to_string(p, chr(10))) AS size, array_to_string(p, chr(10)) AS whole, array_to_string(p[:2], chr(10)) AS head, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS k FROM q),
+u AS (SELECT *, sum(CASE WHEN k > 2 THEN length(x) + 1 END) OVER (PARTITION BY doc_id ORDER BY k DESC) AS used FROM r),
+t AS (SELECT doc_id, count(*) FILTER (k > 2 AND used <= 500 - length(head) - 64) AS kept, string_agg(x, chr(10) ORDER BY k) FILTER (k > 2 AND used <= 500 - length(head) - 64) AS last, any_value(n) AS n, any_value(size) AS size, any_value(whole) AS whole, any_value(head) AS head FROM u GROUP BY 1)
+SELECT q.doc_id, coalesce(size, 0) > 500 AS truncated, CASE WHEN size > 500 THEN head || chr(10) || '... [' || (n - 2 - kept) || ' lines omitted] ...' || chr(10) || coalesce(last, '') ELSE coalesce(whole, '') END AS excerpt FROM q LEFT JOIN t ON t.doc_id = q.doc_id""")
 def excerpt_head_tail(s, d):
-    docs = read(s, d, "documents").select("doc_id", "text")
-    cut = logs.excerpt(logs.lines_of(docs, "doc_id", "text"), "doc_id", 500, 2)
-    return docs.join(cut, "doc_id", "left").select("doc_id", (~F.coalesce("truncated", F.lit(False))).alias("whole"), F.length("text").cast("long").alias("chars"))
+    return logs.excerpt(read(s, d, "documents"), "doc_id", "text", 500, 2)
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'tests/test_a.py'), (2, 0, 'src/app.py'), (3, 0, 'src/app.py')) AS v(id, rank, path)")
+@query("SELECT * FROM (VALUES (1, 0, 'tests/test_a.py'), (2, 0, 'src/app.py'), (3, 0, 'src/app.py'), (6, 0, 'tests/test_c.py')) AS v(id, rank, path)")
 def file_references(s, d):
     return references.file_references(log_bodies(s), "id")
 
@@ -356,7 +351,7 @@ t AS (SELECT id, path, CASE WHEN contains(path, 'site-packages/') THEN regexp_ex
   WHEN NOT starts_with(path, '/') AND NOT list_has_any(string_split(path, '/'), [{_DIRS}]) THEN path END AS tail FROM c),
 r AS (SELECT id, coalesce((SELECT file FROM f WHERE file = path), (SELECT file FROM f WHERE file = tail), CASE WHEN contains(tail, '/') AND (SELECT count(*) FROM f WHERE ends_with(file, '/' || tail)) = 1 THEN (SELECT min(file) FROM f WHERE ends_with(file, '/' || tail)) END) AS path FROM t)
 SELECT id, path FROM r WHERE path IS NOT NULL""")
-def path_resolution(s, d):
+def path_suffix_resolve(s, d):
     files = I.table(s, [(p,) for p in I.FILES], "path string")
     return references.resolve_paths(I.table(s, enumerate(I.NAMED_PATHS), "id int, raw string"), files, "id")
 

@@ -81,3 +81,72 @@ def test_streaming_streaks_equal_batch(spark, tmp_path):
     batch = catalogue.red_streaks(spark, DATA).where("next_green IS NOT NULL")
     columns = ["user_id", "streak_length", "first_red", "last_red", "prev_green", "next_green"]
     assert sorted(map(tuple, spark.table("closed").select(columns).collect()), key=repr) == sorted(map(tuple, batch.select(columns).collect()), key=repr)
+
+
+def test_kinds_of_python_changes():
+    from faultline.operators.fixes import change_kind
+    from faultline.plans.inline import PYTHON_CHANGES
+
+    kinds = ["format", "noqa", "types", "coverage", "types", "types", "semantic", "semantic", "semantic"]
+    assert [change_kind(*c) for c in PYTHON_CHANGES] == kinds
+    assert change_kind("if TYPE_CHECKING:\n    import a\nx = 1\n", "x = 1\n") == "types"
+    assert change_kind("x: int\ny = 1\n", "y = 1\n") == "types"
+
+
+def test_fix_evidence_finds_reverts_and_candidates(spark):
+    from pyspark.sql import functions as F
+
+    from faultline.operators import fixes, rules
+
+    rows = [
+        (1, [("c1", "tidy")], ["src/a.py"], ["src/a.py"], ["abcdef1234567"]),
+        (2, [("c1", "tidy"), ("c2", "This reverts commit abcdef1.")], ["docs/a.md"], [], ["abcdef1234567"]),
+        (3, [("c1", None), ("c2", "x")], ["src/a.py"], [], []),
+        (4, [], ["src/a.py"], [], []),
+    ]
+    df = spark.createDataFrame(rows, "id int, commits array<struct<sha:string,message:string>>, fix_files array<string>, log_files array<string>, breaking array<string>")
+    df = df.withColumns({"has_green": F.lit(True), "relation": F.lit("ahead"), "max_commits": F.lit(8), "job_passed": F.lit(True)})
+    got = {r.id: (r.status, r.confidence, r.candidate, r.reasons) for r in rules.score_fix(fixes.fix_evidence(df)).collect()}
+    assert got[1] == ("matched", "high", "c1", "relation_ahead,window_commits_1,fix_overlaps_log_referenced_files")
+    assert got[2] == ("matched", "medium", "c2", "relation_ahead,window_commits_2,fix_touches_only_docs,revert_of_breaking_commit")
+    assert got[3] == ("matched", "medium", None, "relation_ahead,window_commits_2")
+    assert got[4] == ("ambiguous", "low", None, "relation_ahead,window_commits_0,empty_fix_window")
+
+
+def test_kinds_of_a_fix(spark):
+    from faultline.operators.fixes import fix_kinds
+
+    files = spark.createDataFrame([(1, "pyproject.toml"), (1, "docs/a.md"), (2, "src/a.py"), (2, "tests/test_a.py")], "id int, path string")
+    changed = spark.createDataFrame([(1, "pyproject.toml", "numpy>=2"), (2, "src/a.py", "x = 1")], "id int, path string, line string")
+    assert {r.id: (r.kinds, r.dep_change) for r in fix_kinds(files, changed, "id").collect()} == {1: (["dep"], True), 2: (["source", "test"], False)}
+
+
+def test_cases_without_prediction_or_of_two_systems_are_refused(spark):
+    from faultline.operators import evaluation
+
+    cases = spark.createDataFrame([(1,), (2,)], "id int")
+    one = spark.createDataFrame([(1, "a"), (2, "a")], "id int, system string")
+    assert evaluation.with_predictions(cases, one, "id").count() == 2
+    for bad in ([(1, "a")], [(1, "a"), (2, "b")]):
+        with pytest.raises(Exception, match="prediction"):
+            evaluation.with_predictions(cases, spark.createDataFrame(bad, "id int, system string"), "id").collect()
+    with pytest.raises(Exception, match="unknown case id"):
+        evaluation.selected(cases, spark.createDataFrame([(3,)], "id int"), "id").collect()
+
+
+def test_records_are_read_and_written(spark, tmp_path):
+    from faultline.sources import records
+
+    raw = spark.createDataFrame([(7, 1, None, None, "push", ("o/r",), None, "s", "failure", "t", 0, None)], "id bigint, workflow_id bigint, name string, path string, event string, head_repository struct<full_name:string>, head_branch string, head_sha string, conclusion string, created_at string, run_attempt int, html_url string")
+    run = records.runs(raw).first()
+    assert (run.run_id, run.workflow_name, run.head_repo, run.head_branch, run.run_attempt) == (7, "", "o/r", "", 1)
+    cases = spark.createDataFrame([(1, None), (2, "no_green"), (3, "no_green")], "case_id int, reason string")
+    records.write_outcomes(cases, str(tmp_path / "yes"), str(tmp_path / "no"))
+    assert spark.read.json(str(tmp_path / "yes")).count() == 1 and spark.read.json(str(tmp_path / "no")).count() == 2
+    assert records.funnel(cases).first().report == '{"seen":3,"outcomes":{"accepted":1,"no_green":2}}'
+    for k in "ab":
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "report.json").write_text('{\n "system": "%s",\n "cases": 3\n}' % k)
+    got = records.read_reports(spark, f"{tmp_path}/[ab]/report.json", "system string, cases int")
+    assert sorted((r.path.split("/")[-2], r.system, r.cases) for r in got.collect()) == [("a", "a", 3), ("b", "b", 3)]
+    assert records.read_predictions(spark, str(tmp_path / "yes")).columns[0] == "case_id"
