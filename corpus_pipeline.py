@@ -41,11 +41,12 @@ STAGES = [
     ("mixing", mixed),
 ]
 
-#: SQL expresses neither the SimHash groups nor the classes of near duplicates; the tests hold each stage against brute force.
+#: SQL expresses neither the SimHash groups nor the classes of near duplicates; the tests hold its stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: each stage reads what the one before it has written."""
     scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:

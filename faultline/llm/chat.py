@@ -27,8 +27,6 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "[ANS]", "[SYS]", "[/SYS]", "[ROLE]", "[/ROLE]", "[END]")
 #: What opens and closes the turns of these roles. A turn of another role is [ROLE] role [/ROLE] text [END].
 TURNS = {"user": ("[INST]", "[/INST]"), "assistant": ("[ANS]", "</s>"), "system": ("[SYS]", "[/SYS]")}
-#: Code points of one piece that the tokenizer gets at once: bounds its work on long texts without blanks.
-PIECE = 2000
 
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)) + r"|\\")
 _ESCAPED = re.compile(r"\\(?:\\|c(\d+);)")
@@ -40,6 +38,7 @@ def escape(text: str) -> str:
 
 
 def unescape(text: str) -> str:
+    """The text that escape() was given."""
     return _ESCAPED.sub(lambda m: "\\" if m[1] is None else CONTROL[int(m[1])], text)
 
 
@@ -54,7 +53,7 @@ class Codec:
         self.base = max(ranks.values()) + 1
 
     def encode(self, text: str) -> list[int]:
-        return [i for k in range(0, len(text), PIECE) for i in self.encoding.encode_ordinary(text[k : k + PIECE])]
+        return self.encoding.encode_ordinary(text)
 
     def control(self, name: str) -> int:
         return self.base + CONTROL.index(name)

@@ -58,6 +58,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def aliased(docs: DataFrame, asked: set[str]) -> tuple[DataFrame, list]:
+    """docs with all columns but those asked for renamed, so that none clashes on its way, and the columns that undo it."""
+    names = {c: c if c in asked else f"carried_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def in_batches(df: DataFrame) -> DataFrame:
     """df, whose Python tasks now get a thousand rows at a time: whole texts need more room than the usual rows."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -10,7 +10,6 @@ is shuffled. The benchmark travels in blocks of bounded size; a larger benchmark
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import ALNUM, LOWER, Words, chunks, in_batches
+from faultline.llm.common import ALNUM, LOWER, Scratch, Words, aliased, chunks, in_batches
 
 WINDOW = 13
 #: Bytes of benchmark text in one broadcast block.
@@ -191,6 +190,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
+    scratch = Scratch(spark, "benchmark")
     out = docs.select(*names, text_col, F.lit(None).cast(MATCH_DDL).alias("__matches"))
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)
@@ -199,6 +199,10 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "t
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema]
         fields += ["n_words bigint, n_hit bigint, n_items bigint, items array<string>, contaminated boolean, longest bigint", f"matches {MATCH_DDL}"] if last else [f"`{text_col}` string", f"__matches {MATCH_DDL}"]
         out = out.transform(in_batches).mapInArrow(_pass(block, window, names, text_col, text_col, last), ", ".join(fields))
+        if not last:
+            # each block has a stage of its own: an executor holds one at a time
+            out = scratch.keep(out, f"pass-{b}")
+            scratch.drop(f"pass-{b - 1}")
     return out
 
 
@@ -208,13 +212,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     Documents are joined to their verdicts by nothing: the verdict is made in the same pass that carries the text.
     """
     text = options.get("text_col", "text")
-    carried = docs.withColumn("__text", F.col(text))
-    kept = match_benchmark(carried, benchmark, **options).where("not contaminated")
-    return kept.select(*[F.col("__text").alias(c) if c == text else F.col(c) for c in docs.columns])
-
-
-def items_digest(items) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    inner, back = aliased(docs, {text})
+    kept = match_benchmark(inner.withColumn("carried_text", F.col(text)), benchmark, **options).where("not contaminated")
+    return kept.withColumnRenamed("carried_text", text).select(*back)
 
 
 def op2(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -101,7 +101,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents that the mix takes, with their columns, and taken: their words in it, repeats counted.
 
-    A row of the mix stands for all rows of its id, source and size, which leave together.
+    A row of the mix stands for all rows of its id, source and size, which leave together. A column taken of the
+    documents' own is left out.
     """
     plan = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
     plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).distinct()

@@ -31,7 +31,6 @@ _SHAPE[48:58] = ord("0")
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, term and number of occurrences, by row and term."""
-    rows = len(offsets) - 1
     w, t = Words(LOWER[data], offsets, ALNUM), Words(data, offsets, INK)
     shaped = _SHAPE[data]
     keep = np.ones(len(data), bool)
@@ -53,7 +52,6 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     key = np.concatenate([key, np.flatnonzero(lines) * TERMS + TERMS - 1])
     n = np.concatenate([n, 20 * lines[lines > 0]])
     order = np.argsort(key, kind="stable")
-    del rows
     return key[order] // TERMS, key[order] % TERMS, n[order]
 
 
@@ -140,9 +138,11 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, learn, id_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    taught = rows.join(F.broadcast(sample_labels(labels, id_col, label_col, learn, sample)), F.col("id") == F.col("sampled")).select("label", "text")
+    taught = rows.join(F.broadcast(sample_labels(labels, id_col, label_col, learn, sample)), F.col("id") == F.col("sampled"))
+    # of texts that share an id one teaches, so that no more come back than were sampled
+    taught = taught.groupBy("sampled", "label").agg(F.min("text").alias("text"))
     found = taught.transform(in_batches).mapInArrow(_terms, "label double, terms binary, counts binary").toArrow().to_pylist()
-    found = sorted(found, key=lambda r: (r["terms"], r["counts"], r["label"]))[: 2 * sample]
+    found = sorted(found, key=lambda r: (r["terms"], r["counts"], r["label"]))
     texts = [(np.frombuffer(r["terms"], np.int32), np.frombuffer(r["counts"], np.int64)) for r in found]
     space = spark.sparkContext.broadcast(Space(texts, np.array([r["label"] for r in found]), dimensions))
     kind = rows.schema["id"].dataType.simpleString()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import ALNUM, INK, LOWER, Words, chunks, in_batches, mix, prefix_hash, span_hash
+from faultline.llm.common import ALNUM, INK, LOWER, Words, aliased, chunks, in_batches, mix, prefix_hash, span_hash
 
 #: Character classes by the first byte of a character: small and capital ASCII letters, digits, blanks, punctuation of
 #: prose, other signs, other letters. Continuation bytes have none.
@@ -232,11 +232,12 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", ca
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that judge() keeps, with their columns, text included."""
-    text = options.get("text_col", "text")
-    carried = docs.withColumn("__kept_text", F.col(text))
-    kept = judge(carried, carry=[*[c for c in docs.columns if c != text], "__kept_text"], **options).where("kept")
-    return kept.select(*[F.col("__kept_text").alias(c) if c == text else F.col(c) for c in docs.columns])
+    """The documents that judge() keeps, with their columns, text included, whatever their names."""
+    text, lang = options.get("text_col", "text"), options.get("lang_col", "lang")
+    inner, back = aliased(docs, {text, lang})
+    # the text is carried beside the one that is judged, as judge() returns what it carries alone
+    kept = judge(inner.withColumn("carried_text", F.col(text)), carry=[*[c for c in inner.columns if c != text], "carried_text"], **options).where("kept")
+    return kept.withColumnRenamed("carried_text", text).select(*back)
 
 
 def op4(docs: DataFrame) -> DataFrame:

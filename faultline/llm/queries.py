@@ -11,6 +11,7 @@ from faultline.llm.common import read
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The query of each operator, by name."""
     return {
         "op1_chat_formatting": lambda s, d: chat.op1(read(s, d, "conversations")),
         "op2_decontamination": lambda s, d: decontaminate.op2(read(s, d, "documents"), read(s, d, "benchmark")),
@@ -26,4 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """The SQL of those that SQL can express."""
     return {"op1_chat_formatting": chat.OP1_SQL, "op8_mixing": mixing.OP8_SQL, "op9_warc": warc.OP9_SQL}

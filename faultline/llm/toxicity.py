@@ -160,8 +160,10 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, *, learn, id_col: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    taught = rows.join(F.broadcast(sample_labels(labels, id_col, label_col, learn, sample)), F.col("id") == F.col("sampled")).select("label", "text")
-    found = sorted(taught.transform(in_batches).mapInArrow(_present, "label double, bins binary").toArrow().to_pylist(), key=lambda r: (r["bins"], r["label"]))[: 2 * sample]
+    taught = rows.join(F.broadcast(sample_labels(labels, id_col, label_col, learn, sample)), F.col("id") == F.col("sampled"))
+    # of texts that share an id one teaches, so that no more come back than were sampled
+    taught = taught.groupBy("sampled", "label").agg(F.min("text").alias("text"))
+    found = sorted(taught.transform(in_batches).mapInArrow(_present, "label double, bins binary").toArrow().to_pylist(), key=lambda r: (r["bins"], r["label"]))
     model = Classifier([np.frombuffer(r["bins"], np.int32) for r in found], np.array([r["label"] for r in found]), identities, counterfactual)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.transform(in_batches).mapInArrow(_score(spark.sparkContext.broadcast(model)), f"id {kind}, score double").withColumnRenamed("id", id_col)

@@ -53,9 +53,9 @@ def record(page_id, url: str | None, payload: bytes, refers_to, digest: str, rev
 
 
 def parse(data: bytes) -> dict:
+    """The fields of a record, and its payload."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    fields = {k: v for k, v in fields.items()}
     block = rest[: int(fields["Content-Length"])]
     fields["payload"] = block.partition(b"\r\n\r\n")[2]
     return fields
@@ -73,6 +73,7 @@ def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 
 
 def pack(records: list[bytes], dictionary: bytes) -> list[bytes]:
+    """The records, each a frame of its own."""
     import zstandard
 
     made = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
@@ -98,7 +99,7 @@ def unpack(archive: bytes):
 
 
 def _write(folder: str):
-    """Writes files under a name of the attempt, renames them when whole: a lost or repeated task leaves no half file."""
+    """Writes files under names of the attempt. Only the rows of attempts that Spark accepts name files to be read."""
 
     def run(batches):
         from pyarrow import fs
@@ -117,12 +118,11 @@ def _write(folder: str):
                 sample.append(r)
                 n += len(r)
             dictionary = build_dictionary(sample)
-            name, temporary = f"{root}/part-{part:06d}-{number:05d}.warc.zst", f"{root}/_temporary-{part}-{number}-{attempt}"
-            with store.open_output_stream(temporary) as out:
+            name = f"part-{part:06d}-{attempt}-{number:05d}.warc.zst"
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
                 out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
                 for frame in pack(held, dictionary):
                     out.write(frame)
-            store.move(temporary, name)
             done = (name, len(held))
             held, size, number = [], 0, number + 1
             return done
@@ -138,7 +138,8 @@ def _write(folder: str):
                     files.append(flush())
         if held:
             files.append(flush())
-        yield pa.record_batch([pa.array([f[0] for f in files], pa.string()), pa.array([f[1] for f in files], pa.int64())], names=["file", "records"])
+        if files:
+            yield pa.record_batch([pa.array([f[0] for f in files], pa.string()), pa.array([f[1] for f in files], pa.int64())], names=["file", "records"])
 
     return run
 
@@ -153,18 +154,24 @@ def plan_records(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("key", F.when(F.length("payload") >= REVISIT_BYTES, F.sha2("payload", 256)))
     largest = rows.where("key is not null").groupBy("key").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1").select("key", "largest")
-    joined = rows.join(largest, "key", "left")
+    # pages without a key are dealt out by their own bits, not all to one task
+    rows = rows.withColumn("dealt", F.coalesce("key", F.concat_ws(":", "digest", F.xxhash64("page_id", "url").cast("string"))))
+    joined = rows.join(largest.withColumnRenamed("key", "dealt"), "dealt", "left")
     revisit = F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     return joined.select("page_id", "url", "payload", "digest", revisit.alias("revisit"), F.when(revisit, F.col("largest")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes the pages to *.warc.zst under the folder (a URI that all executors share); one row per file: file, records."""
+    """Writes the pages to *.warc.zst under the folder (a URI that all executors share); one row per file: file, records.
+
+    The result is kept as a table beside the archives: it lists the files that count. Those of lost or repeated attempts
+    may lie beside them.
+    """
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    return plan_records(pages).transform(in_batches).mapInArrow(_write(folder), "file string, records bigint")
+    return Scratch(pages.sparkSession, "warc-files").keep(plan_records(pages).transform(in_batches).mapInArrow(_write(folder), "file string, records bigint"), "files")
 
 
 def _read(batches):
@@ -192,20 +199,24 @@ def _records(rows):
     return pa.record_batch([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_TYPES)], names=[n for n, _ in _TYPES])
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to of each record."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.transform(in_batches).mapInArrow(_read, "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+def read_archives(spark: SparkSession, folder: str, written: DataFrame) -> DataFrame:
+    """page_id, url, payload (null for revisits), payload_bytes, payload_digest, record_type, refers_to of each record.
+
+    written: the files that count, by name, as write_archives returns them.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(written.select("file"), "file", "left_semi")
+    return files.select("content").transform(in_batches).mapInArrow(_read, "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def op9(pages: DataFrame) -> DataFrame:
     """Writes the pages' archives to the shared folder, reads them back, and returns one row per page."""
     spark = pages.sparkSession
     folder = f"{Scratch(spark, 'warc').path}-{uuid.uuid4().hex[:8]}"
-    written = write_archives(pages, folder).agg(F.sum("records")).first()[0]
-    if not written:
+    written = write_archives(pages, folder)
+    if written.isEmpty():
         return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
-    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, folder, written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP9_SQL = """

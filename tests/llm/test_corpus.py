@@ -238,8 +238,12 @@ def test_archives_round_trip(spark, tmp_path):
     rows = [(1, "http://a/ü", big), (5, None, big), (5, "http://b", "tiny"), (None, "u", None), (3, "http://c", text(6, 200)), (2, "x", big)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     folder = f"file://{tmp_path}/warc"
-    assert warc.write_archives(pages, folder).agg({"records": "sum"}).first()[0] == len(rows)
-    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes, r.payload_digest, (r.payload or b"").decode()) for r in warc.read_archives(spark, folder).collect())
+    written = warc.write_archives(pages, folder)
+    assert written.agg({"records": "sum"}).first()[0] == len(rows)
+    # what a lost attempt has left isn't read
+    first = written.first().file
+    (tmp_path / "warc" / f"part-999999-{first}").write_bytes((tmp_path / "warc" / first).read_bytes())
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes, r.payload_digest, (r.payload or b"").decode()) for r in warc.read_archives(spark, folder, written).collect())
     want = []
     for i, _, h in rows:
         h = h or ""
@@ -333,6 +337,37 @@ def test_chat_reads_back_and_escapes(spark):
     assert chat.unescape(chat.escape(said)) == said and not any(c in chat.escape(said) for c in chat.CONTROL)
 
 
+def test_pipeline_stages_equal_brute_force(spark):
+    import corpus_pipeline
+
+    passage, long = text(900, 60), [text(700 + k, 80) for k in range(8)]
+    rows = [(k, t) for k, t in enumerate(long)]
+    rows += [(20, text(720, 5)), (21, " ".join([text(721, 8)] * 10))]  # too short; repeats itself
+    rows += [(22, f"{text(722, 60)}\n{long[1]}\nend of it"), (23, f"{long[1]}!")]  # a line of 1; nothing but a line of 1
+    w = long[2].split()
+    rows += [(24, "\n".join([" ".join([*w[:20]]), " ".join(w[20:])])), (25, f"{text(725, 60)} {passage}")]  # near copy of 2 in other lines; benchmark
+    rows += [(26, None), (27, ""), (26, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t or ""), "own", i) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, n_hit bigint")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_rules", "line_dedup", "minhash_near_dedup", "decontamination", "mixing"]
+    quality = stages["quality_rules"](spark, docs, DATA)
+    assert quality.columns == docs.columns
+    assert {r.doc_id for r in quality.collect()} == {*range(8), 22, 23, 24, 25}
+    assert all(r.kept == "own" and r.n_hit == r.doc_id for r in quality.collect())
+    lines_left = stages["line_dedup"](spark, quality, DATA)
+    seen = {r.doc_id: r.text for r in lines_left.collect()}
+    assert set(seen) == {*range(8), 22, 24, 25} and seen[22] == f"{text(722, 60)}\nend of it" and lines_left.columns == docs.columns
+    near = stages["minhash_near_dedup"](spark, lines_left, DATA)
+    assert {r.doc_id for r in near.collect()} == {*range(8), 22, 25} and near.columns == docs.columns
+    benchmark = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    clean = decontaminate.decontaminate(near, benchmark)
+    assert {r.doc_id for r in clean.collect()} == {*range(8), 22} and clean.columns == docs.columns
+    assert all(r.kept == "own" and r.n_hit == r.doc_id for r in clean.collect())
+    mixed = stages["mixing"](spark, clean, DATA)
+    want = {r.doc_id: r.taken for r in mixing.op8(clean).collect() if r.taken}
+    assert {r.doc_id: r.taken for r in mixed.collect()} == want and mixed.columns == [*docs.columns, "taken"]
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
