@@ -151,8 +151,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Bytes on disk of a written table that is broadcast, at most: some 20 MB in memory.
-SMALL_BYTES = 1 << 20
+#: Bytes on disk of a written table that is broadcast, at most.
+SMALL_BYTES = 12 << 20
 
 
 class Scratch:

@@ -23,8 +23,6 @@ from faultline.llm.common import Scratch, mix
 
 #: Items and payload bytes of a block, about; a task holds two blocks at once.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
-#: Bytes on disk of the keys of buckets that are broadcast, at most.
-KEY_BYTES = 12 << 20
 #: Rounds in which each item goes to one block: the first one of all items, further ones only of buckets of several blocks.
 ROUNDS = 3
 #: Rows that a task gathers before it looks at them, and pairs that it looks at together.
@@ -173,8 +171,7 @@ def link(rows: DataFrame, payload: Callable[[DataFrame, str], DataFrame], make:
     half = F.col("node").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
     buckets = rows.groupBy("key").agg(F.min(half).alias("low"), F.max(half).alias("high")).where("low <> high").select("key")
     buckets = scratch.keep(buckets, "buckets")
-    # a number a row: as many bytes hold more rows here than elsewhere, and spare the larger side a shuffle
-    shared = scratch.keep(rows.join(scratch.hint(buckets, "buckets", KEY_BYTES), "key").groupBy("key", "node").agg(F.max("size").alias("size")), "shared")
+    shared = scratch.keep(rows.join(scratch.hint(buckets, "buckets"), "key").groupBy("key", "node").agg(F.max("size").alias("size")), "shared")
     scratch.drop("buckets")
 
     def cut(shared: DataFrame, name: str) -> DataFrame:
@@ -188,8 +185,8 @@ def link(rows: DataFrame, payload: Callable[[DataFrame, str], DataFrame], make:
     now = cut(shared, "now-0")
     scratch.drop("shared")
     if sieve is not None:
-        groups = scratch.keep(_all_blocks(now), "sieved-groups")
-        full = sketches.join(scratch.hint(groups, "sieved-groups"), "node").repartition("group").sortWithinPartitions("group")
+        # both sides grow with the items, so they are shuffled whatever their size
+        full = sketches.join(_all_blocks(now), "node").repartition("group").sortWithinPartitions("group")
         near = scratch.keep(full.mapInArrow(_by_group(_partners, sieve), "key bigint, node bigint").distinct(), "sieved")
         now = cut(now.select("key", "node", "size").join(scratch.hint(near, "sieved"), ["key", "node"]), "now-sieved")
         scratch.drop("now-0")
