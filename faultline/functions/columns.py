@@ -82,3 +82,24 @@ def is_repository(value: Column) -> Column:
 
 def has_text_suffix(path: Column) -> Column:
     return F.coalesce(path.rlike(P.TEXT_SUFFIX), F.lit(False))
+
+
+def sanitized(text: Column) -> Column:
+    """The text without tags, and with blanks for control characters other than tabs and line ends."""
+    return F.regexp_replace(F.regexp_replace(text, "</?[A-Za-z][^<>]*>", "[tag removed]"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
+
+
+def bounded(result: Column, reads_file: Column) -> Column:
+    """A tool's result, sanitized, and cut where it is longer than its tool may be; file reads have more room."""
+    clean, most = sanitized(result), F.when(reads_file, P.MAX_READ).otherwise(P.MAX_RESULT)
+    return F.when(F.length(clean) > most, F.concat(F.substring(clean, F.lit(1), most), F.lit(P.RESULT_CUT))).otherwise(clean)
+
+
+def packed_paths(evidence: Column) -> Column:
+    """Paths whose contents an evidence text carries, each once, in order; null has none."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(evidence, F.lit("")), F.lit(P.PACKED_FILE), F.lit(1))))
+
+
+def grounding_corpus(log: Column, errors: Column, message: Column, diff: Column, messages: Column, contents: Column) -> Column:
+    """All text that an investigator was given, a part a line; absent parts leave no line, empty ones an empty line."""
+    return F.concat_ws("\n", log, errors, message, diff, messages, contents)

@@ -103,6 +103,9 @@ MAX_SUSPECTS = 10
 BUCKETS = ("hit", "reasoning", "name_only", "blind", "impossible")
 MAX_EVIDENCE, MAX_FILES, MAX_EXCERPT = 6, 10, 1000
 MAX_LISTED, MAX_READ, MAX_LINES, MIN_PATTERN = 60, 6000, 200, 3
+MAX_RESULT, RESULT_CUT = 2500, "\n[... result truncated ...]"
+PACKED_FILE = r"(?dm)^## file (.+) \(at the failed commit\)$"
+MAX_ERROR = 500
 INSTRUCTION_MARKERS = ("untrusted_evidence", "Security rules", "system prompt")
 
 # Patterns of log lines and paths.

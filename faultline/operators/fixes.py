@@ -10,7 +10,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from faultline.functions import patterns as P
 from faultline.functions.columns import file_kind
@@ -97,6 +97,13 @@ def change_kind(old: str | None, new: str | None) -> str:
     return next((kind for kind, marks in P.REMARK_KINDS if any(m in added for m in marks)), "format")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def added_remarks(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Comments of the new source beyond those of the old one, as often as they exceed them, in order."""
+    text = lambda x: x if isinstance(x, str) else ""
+    return pd.Series([sorted((_remarks(text(b)) - _remarks(text(a))).elements()) for a, b in zip(old, new, strict=True)], dtype=object)
+
+
 @F.pandas_udf(StringType())
 def python_change_kind(old: pd.Series, new: pd.Series) -> pd.Series:
     """change_kind of each pair of sources; the syntax tree is the one thing here that the JVM can't see."""

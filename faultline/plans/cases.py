@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as C
 from faultline.functions import patterns as P
-from faultline.operators import answers, fixes, history, localize, logs, trees
+from faultline.operators import answers, fixes, history, localize, logs, systems, trees
 from faultline.plans import inline as I
 from faultline.plans.registry import query, read
 
@@ -263,3 +263,55 @@ def text_suffix(s, d):
 def log_forward_fill(s, d):
     known = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return read(s, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("turn") % 3 == 0, F.col("role")), ignorenulls=True).over(known).alias("role"))
+
+
+@query("""WITH c AS (SELECT doc_id, coalesce(lang = 'en', false) AS file, regexp_replace(regexp_replace(text, '</?[A-Za-z][^<>]*>', '[tag removed]', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g') AS t FROM documents),
+b AS (SELECT doc_id, CASE WHEN length(t) > CASE WHEN file THEN 6000 ELSE 2500 END THEN substring(t, 1, CASE WHEN file THEN 6000 ELSE 2500 END) || chr(10) || '[... result truncated ...]' ELSE t END AS t FROM c)
+SELECT doc_id, length(t)::INT AS chars, md5(t) AS digest FROM b""")
+def bounded_results(s, d):
+    bounded = C.bounded(F.col("text"), F.col("lang") == "en")
+    return read(s, d, "documents").select("doc_id", bounded.alias("t")).select("doc_id", F.length("t").alias("chars"), F.md5(F.encode("t", "utf-8")).alias("digest"))
+
+
+_EVIDENCE = "concat('## file ', coalesce(source, 'x'), '.py (at the failed commit)', chr(10), coalesce(text, ''), chr(10), '## file ', coalesce(lang, 'x'), '/a b.py (at the failed commit)', chr(10), '## log', chr(10), ' ## file no.py (at the failed commit)', chr(10), '## file ', coalesce(source, 'x'), '.py (at the failed commit)')"
+
+
+@query(f"WITH e AS (SELECT doc_id, unnest(regexp_extract_all({_EVIDENCE}, '(?m)^## file (.+) \\(at the failed commit\\)$', 1)) AS p FROM documents) SELECT doc_id, string_agg(DISTINCT p, ',' ORDER BY p) AS paths FROM e GROUP BY 1")
+def packed_paths(s, d):
+    return read(s, d, "documents").select("doc_id", F.array_join(C.packed_paths(F.expr(_EVIDENCE)), ",").alias("paths"))
+
+
+@query("""SELECT doc_id, md5(array_to_string(list_concat([text], string_split(text, chr(10))[:3], [''], [CASE WHEN lang = 'en' THEN source END], [source, lang], CASE WHEN n_chars > 500 THEN [text] ELSE [] END), chr(10))) AS digest FROM documents WHERE text IS NOT NULL""")
+def grounding_corpus(s, d):
+    rows = read(s, d, "documents").where("text IS NOT NULL")
+    none = F.array().cast("array<string>")
+    corpus = C.grounding_corpus(F.col("text"), F.slice(F.split("text", "\n"), 1, 3), F.lit(""), F.when(F.col("lang") == "en", F.col("source")), F.array("source", "lang"), F.when(F.col("n_chars") > 500, F.array("text")).otherwise(none))
+    return rows.select("doc_id", F.md5(F.encode(corpus, "utf-8")).alias("digest"))
+
+
+_REMARKED = [(k, a or "", b) for k, (a, b) in enumerate([*I.PYTHON_CHANGES, ("a = 1  # x\n# y\n", "a = 1  # x\n# x\n# x\n"), ("# y\n", "b = 1\n")])]
+
+
+@query(f"WITH v AS (SELECT * FROM {I.values(_REMARKED, 'id, old, new')}) SELECT id, unnest(regexp_extract_all(new, '#[^\n]*')) AS remark FROM v EXCEPT ALL SELECT id, unnest(regexp_extract_all(old, '#[^\n]*')) FROM v")
+def added_remarks(s, d):
+    rows = I.table(s, _REMARKED, "id int, old string, new string")
+    return rows.select("id", F.explode(fixes.added_remarks("old", "new")).alias("remark"))
+
+
+def _by_length():
+    """A system for the query below: fails on short texts, else tells by the length."""
+
+    def diagnose(case: dict) -> dict:
+        if (case["n_chars"] or 0) < 300:
+            raise ValueError("too short")
+        return {"failure_type": "TEST_FAILURE" if case["n_chars"] > 1000 else "UNKNOWN", "root_cause": case["lang"], "confidence": 0.5, "affected_files": [case["source"]], "tool_calls": 1}
+
+    return diagnose
+
+
+@query("""SELECT doc_id::VARCHAR AS case_id, 'by_length' AS system, CASE WHEN n_chars >= 300 THEN CASE WHEN n_chars > 1000 THEN 'TEST_FAILURE' ELSE 'UNKNOWN' END END AS failure_type,
+CASE WHEN n_chars >= 300 THEN lang END AS root_cause, CASE WHEN coalesce(n_chars, 0) < 300 THEN 'ValueError: too short' END AS error, CASE WHEN n_chars >= 300 THEN 1 ELSE 0 END AS tool_calls FROM documents""")
+def system_predictions(s, d):
+    visible = read(s, d, "documents").select(F.col("doc_id").cast("string").alias("case_id"), "lang", "source", "n_chars")
+    told = systems.predictions(visible, "by_length", _by_length)
+    return told.select("case_id", "system", "diagnosis.failure_type", "diagnosis.root_cause", "error", "tool_calls")

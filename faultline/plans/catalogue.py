@@ -324,8 +324,7 @@ def json_props_extract(s, d):
 
 @query("SELECT page_id, regexp_replace(regexp_replace(html, '</?[A-Za-z][^<>]*>', '[tag removed]', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g') AS text FROM pages")
 def sanitize_text(s, d):
-    tags = F.regexp_replace("html", "</?[A-Za-z][^<>]*>", "[tag removed]")
-    return read(s, d, "pages").select("page_id", F.regexp_replace(tags, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ").alias("text"))
+    return read(s, d, "pages").select("page_id", C.sanitized(F.col("html")).alias("text"))
 
 
 @query(f"""WITH l AS (SELECT doc_id, string_split_regex(text, '{_ENDS}') AS p FROM documents), q AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:-2] ELSE p END AS p FROM l),

@@ -83,6 +83,36 @@ def test_streaming_streaks_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("closed").select(columns).collect()), key=repr) == sorted(map(tuple, batch.select(columns).collect()), key=repr)
 
 
+def test_streaks_of_runs_out_of_order_equal_batch(spark, tmp_path):
+    import random
+
+    from faultline.streaming.streaks import closed_streaks_out_of_order
+
+    start = datetime.datetime(2024, 1, 1)
+    draw = random.Random(5)
+    rows = [(draw.randrange(4), start + datetime.timedelta(minutes=k), k, draw.random() < 0.6) for k in range(400)]
+    late = sorted(rows, key=lambda r: r[2] + draw.randrange(60))
+    end = [(9, start + datetime.timedelta(days=9), 999, False)]
+    schema = "user_id bigint, ts timestamp, event_id bigint, red boolean"
+    for n, part in enumerate([late[:130], late[130:260], late[260:], end, end]):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    run = closed_streaks_out_of_order(stream, "2 hours").writeStream.format("memory").queryName("ordered").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    expected = []
+    for user in range(4):
+        green, reds = None, []
+        for _, _, event, red in (r for r in rows if r[0] == user):
+            if red:
+                reds.append(event)
+                continue
+            if reds:
+                expected.append((user, len(reds), reds[0], reds[-1], green, event))
+            green, reds = event, []
+    found = spark.table("ordered").select("user_id", "streak_length", "first_red", "last_red", "prev_green", "next_green").collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+
+
 def test_kinds_of_python_changes():
     from faultline.operators.fixes import change_kind
     from faultline.plans.inline import PYTHON_CHANGES
