@@ -273,12 +273,12 @@ def bounded_results(s, d):
     return read(s, d, "documents").select("doc_id", bounded.alias("t")).select("doc_id", F.length("t").alias("chars"), F.md5(F.encode("t", "utf-8")).alias("digest"))
 
 
-_EVIDENCE = "concat('## file ', coalesce(source, 'x'), '.py (at the failed commit)', chr(10), coalesce(text, ''), chr(10), '## file ', coalesce(lang, 'x'), '/a b.py (at the failed commit)', chr(10), '## log', chr(10), ' ## file no.py (at the failed commit)', chr(10), '## file ', coalesce(source, 'x'), '.py (at the failed commit)')"
+_SECTIONS = "concat('## file ', coalesce(source, 'x'), '.py (at the failed commit)', chr(10), coalesce(text, ''), chr(10), '## file ', coalesce(lang, 'x'), '/a b.py (at the failed commit)', chr(10), '## log', chr(10), ' ## file no.py (at the failed commit)', chr(10), '## file ', coalesce(source, 'x'), '.py (at the failed commit)')"
 
 
-@query(f"WITH e AS (SELECT doc_id, unnest(regexp_extract_all({_EVIDENCE}, '(?m)^## file (.+) \\(at the failed commit\\)$', 1)) AS p FROM documents) SELECT doc_id, string_agg(DISTINCT p, ',' ORDER BY p) AS paths FROM e GROUP BY 1")
+@query(f"WITH e AS (SELECT doc_id, unnest(regexp_extract_all({_SECTIONS}, '(?m)^## file (.+) \\(at the failed commit\\)$', 1)) AS p FROM documents) SELECT doc_id, string_agg(DISTINCT p, ',' ORDER BY p) AS paths FROM e GROUP BY 1")
 def packed_paths(s, d):
-    return read(s, d, "documents").select("doc_id", F.array_join(C.packed_paths(F.expr(_EVIDENCE)), ",").alias("paths"))
+    return read(s, d, "documents").select("doc_id", F.array_join(C.packed_paths(F.expr(_SECTIONS)), ",").alias("paths"))
 
 
 @query("""SELECT doc_id, md5(array_to_string(list_concat([text], string_split(text, chr(10))[:3], [''], [CASE WHEN lang = 'en' THEN source END], [source, lang], CASE WHEN n_chars > 500 THEN [text] ELSE [] END), chr(10))) AS digest FROM documents WHERE text IS NOT NULL""")
