@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import chat, decontaminate, lines, lm, minhash, mixing, quality_classifier, quality_rules, toxicity, warc
+from faultline.llm import chat, codes, decontaminate, lines, lm, minhash, mixing, projections, quality_classifier, quality_rules, toxicity, trie, warc
 from faultline.llm.common import read
 
 
@@ -23,9 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": lambda s, d: mixing.op8(read(s, d, "documents")),
         "op9_warc": lambda s, d: warc.op9(read(s, d, "pages")),
         "op10_lm_scoring": lambda s, d: lm.op10(read(s, d, "documents")),
+        "op11_embedding_near_dedup": lambda s, d: projections.op11(read(s, d, "embeddings")),
+        "op12_vector_codes": lambda s, d: codes.op12(read(s, d, "embeddings")),
+        "op13_prefix_trie": lambda s, d: trie.op13(read(s, d, "conversations")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The SQL of those that SQL can express."""
-    return {"op1_chat_formatting": chat.OP1_SQL, "op8_mixing": mixing.OP8_SQL, "op9_warc": warc.OP9_SQL}
+    return {"op1_chat_formatting": chat.OP1_SQL, "op8_mixing": mixing.OP8_SQL, "op9_warc": warc.OP9_SQL, "op11_embedding_near_dedup": projections.OP11_SQL, "op12_vector_codes": codes.OP12_SQL, "op13_prefix_trie": trie.OP13_SQL}
