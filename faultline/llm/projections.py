@@ -159,13 +159,22 @@ def _windows(width: int, least: float, kind: pa.DataType):
     return run
 
 
+def _thinned(borders: list[int], width: int) -> np.ndarray:
+    """Some of the borders: each of the others is less than width behind one of them."""
+    out: list[int] = []
+    for b in borders:
+        if not out or b >= out[-1] + width:
+            out.append(b)
+    return np.array(out, np.int64)
+
+
 def _to_borders(starts: dict[int, int], borders: np.ndarray, width: int):
-    """Rows near borders, once for each border that they are near to, as its group."""
+    """Rows of which a window may reach over one of the borders or those close behind it, with it as their group: few times each."""
 
     def run(batches):
         for batch in batches:
             place = np.array([starts[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("place").to_numpy()
-            lo, hi = np.searchsorted(borders, place - width, "right"), np.searchsorted(borders, place + width, "right")
+            lo, hi = np.searchsorted(borders, place - 2 * width, "right"), np.searchsorted(borders, place + width, "right")
             rows = np.repeat(np.arange(len(place)), hi - lo)
             group = borders[np.arange(len(rows)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
             taken = batch.take(pa.array(rows))
@@ -174,16 +183,17 @@ def _to_borders(starts: dict[int, int], borders: np.ndarray, width: int):
     return run
 
 
-def _over_border(width: int, least: float):
+def _over_borders(borders: np.ndarray, width: int, least: float):
     def then(table: pa.Table, _) -> pa.RecordBatch:
         group, place, nodes = (table.column(c).to_numpy() for c in ("group", "place", "node"))
         found = []
         for _, rows, x in unit_rows(table.column("vector")):
             cut = np.flatnonzero(np.concatenate([[True], group[rows][1:] != group[rows][:-1], [True]]))
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                at, border = place[rows[lo:hi]], group[rows[lo]]
+                at = place[rows[lo:hi]]
+                part = np.searchsorted(borders, at, "right")
                 i, j = np.nonzero(x[lo:hi] @ x[lo:hi].T >= least)
-                over = (at[i] < border) & (at[j] >= border) & (at[j] - at[i] <= width)
+                over = (part[i] < part[j]) & (at[j] - at[i] <= width)
                 if over.any():
                     found.append(_stars(nodes[rows[lo:hi]], i[over], j[over]))
         a, b = (np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
@@ -204,9 +214,9 @@ def _one_pass(keyed: DataFrame, k: int, scratch: Scratch, width: int, least: flo
     starts, at = {}, 0
     for part in sorted(sizes):
         starts[part], at = at, at + sizes[part]
-    borders = np.array(sorted(starts.values())[1:], np.int64)
-    near = seen.where("part is not null").select("a", "part", "place", "vector").mapInArrow(_to_borders(starts, borders, width), f"group bigint, place bigint, node bigint, vector array<{kind.simpleString()}>")
-    over = near.repartition("group").sortWithinPartitions("group", "place").mapInArrow(_by_group(_over_border(width, least), None), "a bigint, b bigint")
+    borders = sorted(starts.values())[1:]
+    near = seen.where("part is not null").select("a", "part", "place", "vector").mapInArrow(_to_borders(starts, _thinned(borders, width), width), f"group bigint, place bigint, node bigint, vector array<{kind.simpleString()}>")
+    over = near.repartition("group").sortWithinPartitions("group", "place").mapInArrow(_by_group(_over_borders(np.array(borders, np.int64), width, least), None), "a bigint, b bigint")
     return links.unionAll(scratch.keep(over, f"over-{k}"))
 
 
