@@ -129,7 +129,7 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    shift = np.zeros_like(x)
+    shift = np.zeros(len(x))
     for j in range(8):
         shift += np.log(x + j)
     y = x + 8
@@ -197,7 +197,7 @@ class Top:
             self.one[d][node], self.seen[d][node] = (ones + 0.5) / (zeros + ones + 1), zeros + ones > 0
             if d:
                 node, at = np.unique(node & 255, return_inverse=True)
-                below, zeros, ones = (np.bincount(at, weights=x, minlength=len(node)) for x in (weighted, zeros, ones))
+                below, zeros, ones = (np.bincount(at, weights=x, minlength=len(node)).astype(np.float64) for x in (weighted, zeros, ones))
 
 
 def _subtrees(depth: int, then):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.common import INK, LOWER, Scratch, Words, chunks, in_batches, mix, powers
+from faultline.llm.common import INK, LOWER, Scratch, Words, aliased, chunks, in_batches, mix, powers
 from faultline.llm.linking import link
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -241,7 +241,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     id stay only where their class has no other. Texts meet no shuffle unless the rows that go are many.
     """
     scratch = Scratch(docs.sparkSession, "one")
-    found = scratch.keep(_classes(docs, scratch, id_col, text_col, size, least, bands, rows, far).groupBy("root", "id", "said").agg(F.count("*").alias("n")), "found")
+    inner, back = aliased(docs, {id_col, text_col})
+    found = scratch.keep(_classes(inner, scratch, id_col, text_col, size, least, bands, rows, far).groupBy("root", "id", "said").agg(F.count("*").alias("n")), "found")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "said")).alias("best")
     # a class of one row stays as it is
     best = scratch.keep(found.groupBy("root").agg(best, F.sum("n").alias("rows")).where("rows > 1").drop("rows"), "best")
@@ -249,12 +250,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("said") == F.col("best.said"))
     marked = scratch.keep(marked.select(F.col("id").alias("__id"), F.col("said").alias("__said"), stays.alias("stays"), "n").where("not stays or n > 1"), "marked")
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__said"))
-    left = docs.join(scratch.hint(marked.where("not stays").select("__id", "__said"), "marked"), same, "left_anti")
+    left = inner.join(scratch.hint(marked.where("not stays").select("__id", "__said"), "marked"), same, "left_anti")
     repeated = marked.where("stays").select("__id", "__said")
     if repeated.isEmpty():
-        return left
-    once = left.join(scratch.hint(repeated, "marked"), same).dropDuplicates(["__id", "__said"]).select(*[left[c] for c in docs.columns])
-    return left.join(scratch.hint(repeated, "marked"), same, "left_anti").unionByName(once)
+        return left.select(*back)
+    once = left.join(scratch.hint(repeated, "marked"), same).dropDuplicates(["__id", "__said"]).select(*inner.columns)
+    return left.join(scratch.hint(repeated, "marked"), same, "left_anti").unionByName(once).select(*back)
 
 
 def op5(docs: DataFrame) -> DataFrame:

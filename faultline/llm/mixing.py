@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.common import Scratch
+from faultline.llm.common import Scratch, aliased
 
 WEIGHTS = (5, 2, 1)
 SHARE, REPEATS = 1.5, 2
@@ -106,9 +106,10 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     plan = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
     plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).distinct()
+    inner, back = aliased(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "taken"]), {id_col, text_col, source_col})
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (size == F.col("__size"))
-    return docs.join(plan, same).select(*[docs[c] for c in docs.columns if c != "taken"], F.col("__taken").alias("taken"))
+    return inner.join(plan, same).select(*back, F.col("__taken").alias("taken"))
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ REVISIT_BYTES = 1000
 #: Bytes of records in one file, records' bytes that a dictionary is built from, and of the dictionary.
 FILE_BYTES, SAMPLE_BYTES, DICTIONARY_BYTES = 32 << 20, 4 << 20, 64 << 10
 SKIPPABLE = 0x184D2A5D
+#: Bytes that the reader hands on first of what may hold several records.
+PIECE_BYTES = 4096
 DATE = "2020-01-01T00:00:00Z"
 LEVEL = 6
 
@@ -92,10 +94,15 @@ def unpack(archive: bytes):
     dictionary, at = archive[8 : 8 + size], 8 + size
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     while at < len(archive):
-        frame = reader.decompressobj()
-        data = frame.decompress(memoryview(archive)[at:])
-        at = len(archive) - len(frame.unused_data)
-        yield data
+        # fed in growing pieces: what is left of a piece is copied, never the rest of the file
+        frame, data, piece = reader.decompressobj(), [], PIECE_BYTES
+        while not frame.eof and at < len(archive):
+            data.append(frame.decompress(archive[at : at + piece]))
+            at, piece = min(len(archive), at + piece), 2 * piece
+        if not frame.eof:
+            raise ValueError("the file ends within a record")
+        at -= len(frame.unused_data)
+        yield b"".join(data)
 
 
 def _write(folder: str):

@@ -5,10 +5,13 @@ import math
 import os
 import random
 import re
+import struct
+import time
 import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from faultline.llm import chat, decontaminate, lines, lm, minhash, mixing, quality_classifier, quality_rules, toxicity, warc
 
@@ -375,11 +378,40 @@ def test_pipeline_runs(spark):
     assert "taken" in out.columns and 0 < out.count() <= spark.read.parquet(f"{DATA}/documents.parquet").count()
 
 
-@pytest.mark.parametrize("op", [minhash.op5, lines.op7, quality_rules.op4, mixing.op8, lm.op10])
+@pytest.mark.parametrize("op", [minhash.op5, lines.op7, quality_rules.op4, mixing.op8, lm.op10, minhash.keep_one, lines.drop_repeats, quality_rules.keep_good, mixing.mixed_documents])
 def test_empty_tables(docs, op):
     assert op(docs.limit(0)).count() == 0
 
 
+def test_other_empty_tables(spark, docs):
+    benchmark = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.op2(docs.limit(0), benchmark).count() == 0 and decontaminate.decontaminate(docs.limit(0), benchmark).count() == 0
+    assert decontaminate.op2(docs, benchmark).where("n_hit = 0 and n_items = 0").count() == docs.count()
+    assert warc.op9(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    own = chat.op1(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"))
+    assert [r.conv_id for r in own.collect()] == [-1]
+
+
+@pytest.mark.parametrize("stage", [minhash.keep_one, mixing.mixed_documents, lines.drop_repeats, quality_rules.keep_good])
+def test_columns_of_clashing_names_come_through(spark, docs, stage):
+    clashing = ["__id", "__said", "__source", "__size", "__taken", "__lang", "root", "node", "stays", "carried_3", "size", "id"]
+    more = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in clashing])
+    got = stage(more)
+    assert [c for c in got.columns if c != "taken"] == more.columns
+    rows = got.collect()
+    assert rows and all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in rows for c in clashing)
+
+
+def test_a_large_archive_is_read_in_time_that_follows_its_size():
+    records = [text(k, 40).encode() * (1 + k % 7) for k in range(4000)]
+    archive = struct.pack("<II", warc.SKIPPABLE, 0) + b"".join(warc.pack(records, b""))
+    began = time.process_time()
+    assert list(warc.unpack(archive)) == records
+    assert time.process_time() - began < 2
+    with pytest.raises(ValueError, match="within a record"):
+        list(warc.unpack(archive[:-3]))
+
+
 def test_no_import_from_outside():
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for folder, _, names in os.walk(f"{top}/faultline"):
