@@ -1,23 +1,31 @@
-"""Commit graphs: ancestors, how two commits relate, and what lies between them; filters over run histories."""
+"""Commit graphs: an index of what reaches what, ancestors, how two commits relate, and what lies between them; filters over run histories."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder that all executors share; a session of one machine may lack one and gets its own."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a session of one machine may lack one and gets its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='faultline-')}")
-    return df.checkpoint()
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there: what made it is computed once, and lost executors take nothing with them."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -35,23 +43,96 @@ def ancestors(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return known
 
 
+def _asof(asked: DataFrame, hops: DataFrame) -> DataFrame:
+    """asked (chain, place, to_chain and more) with far: the furthest place of to_chain that hops lead to from place or before."""
+    more = [c for c in asked.columns if c not in ("chain", "place", "to_chain")]
+    rows = hops.select("chain", "place", "to_chain", "to_place", F.lit(0).alias("asks"), *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in more])
+    rows = rows.unionAll(asked.select("chain", "place", "to_chain", F.lit(None).cast("long"), F.lit(1), *more))
+    upto = Window.partitionBy("chain", "to_chain").orderBy("place", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("far", F.max("to_place").over(upto)).where("asks = 1").drop("asks", "to_place")
+
+
+def _furthest(hops: DataFrame) -> DataFrame:
+    """The hops that lead further than all of the same two chains from their place or before."""
+    best = hops.groupBy("chain", "place", "to_chain").agg(F.max("to_place").alias("to_place"))
+    before = Window.partitionBy("chain", "to_chain").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return best.withColumn("before", F.max("to_place").over(before)).where("before is null or to_place > before").drop("before")
+
+
+def reach_index(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What tells whether a commit reaches another: sha, chain, place of each; and chain, place, to_chain, to_place of hops.
+
+    A commit carries on the chain of one of its parents, which it alone does; places count from the chain's first commit.
+    From a place of a chain on, a hop reaches a place of another one and all before it. So a history in one line has one
+    chain and no hops, and no history has more than its merges times its chains; the pairs of commits are never made.
+    edges: sha, parent (null at a root) and, if the parents have an order, ord: chains go on along first parents, which
+    keeps them few. Unknown parents are roots.
+    """
+    ord_ = F.col("ord") if "ord" in edges.columns else F.lit(0)
+    edges = cut(edges.where("sha is not null").groupBy("sha", "parent").agg(F.min(ord_).alias("ord")))
+    main = edges.where("parent is not null").groupBy("sha").agg(F.min(F.struct("ord", "parent"))["parent"].alias("parent"))
+    carried = main.groupBy("parent").agg(F.min("sha").alias("sha")).select("sha", F.col("parent").alias("to"))
+    nodes = edges.select("sha").unionAll(edges.where("parent is not null").select("parent")).distinct()
+    at = cut(nodes.join(carried, "sha", "left").select("sha", F.coalesce("to", "sha").alias("to"), F.col("to").isNotNull().cast("long").alias("steps"), F.col("to").isNotNull().alias("open")))
+    while not at.where("open").isEmpty():
+        ahead = at.select(F.col("sha").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("open").alias("further"))
+        moved = at.where("open").join(ahead, "to").select("sha", F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("further").alias("open"))
+        at = cut(at.where("not open").unionAll(moved))
+    places = at.select("sha", F.col("to").alias("chain"), F.col("steps").alias("place"))
+    to = places.select(F.col("sha").alias("parent"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))
+    crossing = edges.where("parent is not null").join(places, "sha").join(to, "parent").where("chain <> to_chain").select("chain", "place", "to_chain", "to_place")
+    base = known = frontier = cut(_furthest(crossing))
+    targets = base.select(F.col("chain").alias("c"), F.col("to_chain").alias("t")).distinct()
+    while not frontier.isEmpty():
+        # each new hop goes on with the hops of the chain that it leads to, from there or before
+        asked = frontier.join(targets, F.col("to_chain") == F.col("c")).where("t <> chain")
+        asked = asked.select(F.col("c").alias("chain"), F.col("to_place").alias("place"), F.col("t").alias("to_chain"), F.col("chain").alias("origin"), F.col("place").alias("origin_place"))
+        found = _asof(asked, base).where("far is not null").select(F.col("origin").alias("chain"), F.col("origin_place").alias("place"), "to_chain", F.col("far").alias("to_place"))
+        more = cut(_furthest(known.unionAll(found)))
+        frontier = cut(more.join(known, ["chain", "place", "to_chain", "to_place"], "left_anti"))
+        known = more
+    return places, known
+
+
+def reaches(pairs: DataFrame, index: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """pairs (red, green) with ahead: whether green reaches red; a commit reaches itself, unknown ones nothing."""
+    places, hops = index
+    of = lambda c: places.select(F.col("sha").alias(c), F.col("chain").alias(f"{c}_chain"), F.col("place").alias(f"{c}_place"))
+    placed = pairs.join(of("red"), "red", "left").join(of("green"), "green", "left")
+    mine = F.coalesce((F.col("red_chain") == F.col("green_chain")) & (F.col("red_place") <= F.col("green_place")), F.lit(False))
+    apart = F.coalesce(F.col("red_chain") != F.col("green_chain"), F.lit(False))
+    asked = placed.where(apart).select(*pairs.columns, "red_place", F.col("green_chain").alias("chain"), F.col("green_place").alias("place"), F.col("red_chain").alias("to_chain"))
+    met = _asof(asked, hops).select(*pairs.columns, F.coalesce(F.col("far") >= F.col("red_place"), F.lit(False)).alias("ahead"))
+    return placed.where(~apart).select(*pairs.columns, mine.alias("ahead")).unionAll(met)
+
+
 def relation(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """red, green, relation of each pair of commits: identical, ahead, amend, unknown or diverged."""
-    up = ancestors(edges, pairs.select(F.col("green").alias("sha"))).select(F.col("sha").alias("green"), F.col("ancestor").alias("red"), F.lit(True).alias("ahead"))
+    known = reaches(pairs.select("red", "green"), reach_index(edges))
     parents = edges.groupBy("sha").agg(F.array_join(F.sort_array(F.collect_set("parent")), ",").alias("parents"))
     of = lambda c: parents.select(F.col("sha").alias(c), F.col("parents").alias(f"{c}_parents"))
-    joined = pairs.join(up, ["red", "green"], "left").join(of("red"), "red", "left").join(of("green"), "green", "left")
+    joined = known.join(of("red"), "red", "left").join(of("green"), "green", "left")
     red, green = (F.coalesce(f"{c}_parents", F.lit("")) for c in ("red", "green"))
     kind = F.when(F.col("red") == F.col("green"), "identical").when(F.col("ahead"), "ahead").when((red != "") & (red == green), "amend").when((red == "") | (green == ""), "unknown").otherwise("diverged")
     return joined.select("red", "green", kind.alias("relation"))
 
 
 def commits_between(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """base, head, sha of the commits that head reaches and base doesn't."""
-    asked = pairs.select(F.col("base").alias("sha")).unionAll(pairs.select("head"))
-    up = ancestors(edges, asked)
-    reached = pairs.join(up.withColumnRenamed("sha", "head"), "head")
-    return reached.join(up.withColumnRenamed("sha", "base"), ["base", "ancestor"], "left_anti").select("base", "head", F.col("ancestor").alias("sha"))
+    """base, head, sha of the commits that head reaches and base doesn't: of each chain those of a span of places."""
+    places, hops = reach_index(edges)
+    at = lambda c: places.select(F.col("sha").alias(c), F.col("chain").alias(f"{c}_chain"), F.col("place").alias(f"{c}_place"))
+    placed = pairs.select("base", "head").distinct().join(at("head"), "head").join(at("base"), "base", "left")
+    keys = ["base", "head", "base_chain", "base_place"]
+    targets = hops.select("chain", F.col("to_chain").alias("t")).distinct()
+    asked = placed.join(targets, F.col("head_chain") == F.col("chain")).select(*keys, "chain", F.col("head_place").alias("place"), F.col("t").alias("to_chain"))
+    spans = _asof(asked, hops).where("far is not null").select(*keys, "to_chain", F.col("far").alias("last"))
+    spans = cut(spans.unionAll(placed.select(*keys, F.col("head_chain").alias("to_chain"), F.col("head_place").alias("last"))))
+    apart = F.coalesce(F.col("base_chain") != F.col("to_chain"), F.lit(False))
+    theirs = _asof(spans.where(apart).select("base", "head", "last", F.col("base_chain").alias("chain"), F.col("base_place").alias("place"), "to_chain"), hops)
+    theirs = theirs.select("base", "head", "to_chain", F.coalesce("far", F.lit(-1).cast("long")).alias("first"), "last")
+    both = theirs.unionAll(spans.where(~apart).select("base", "head", "to_chain", F.coalesce("base_place", F.lit(-1).cast("long")), "last"))
+    each = both.where("first < last").select("base", "head", F.col("to_chain").alias("chain"), F.explode(F.sequence(F.col("first") + 1, "last")).alias("place"))
+    return each.join(places, ["chain", "place"]).select("base", "head", "sha")
 
 
 def watched_runs(runs: DataFrame, event: Column, branch: Column, events: list[str], since: Column | None = None) -> tuple[DataFrame, DataFrame]:

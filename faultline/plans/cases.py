@@ -213,29 +213,52 @@ def multiset_except_all(s, d):
     return rows.where("l_returnflag = 'R'").select("l_partkey").exceptAll(rows.where("l_returnflag = 'A'").select("l_partkey"))
 
 
-_EDGES = f"g AS (SELECT * FROM {I.values(I.COMMITS, 'sha, parent')}), up AS (SELECT DISTINCT sha, sha AS ancestor FROM g UNION SELECT up.sha, g.parent FROM up JOIN g ON g.sha = up.ancestor WHERE g.parent IS NOT NULL)"
-_PAIRS = list(product("abcdefx", "abcdefx"))
+# A history made of the events: of a user's events each is the parent of the next, and a purchase also has the last event
+# before it of the user with the number below as a parent, but for every tenth user.
+_EDGES = """own AS (SELECT event_id AS sha, user_id AS u, ts, event_type AS kind, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS parent FROM events),
+g AS (SELECT sha, parent FROM own UNION ALL SELECT a.sha, b.sha FROM own a ASOF JOIN own b ON a.u - 1 = b.u AND a.ts > b.ts WHERE a.kind = 'purchase' AND a.u % 10 <> 0)"""
+_UP = "up AS (SELECT DISTINCT sha, sha AS ancestor FROM g UNION SELECT up.sha, g.parent FROM up JOIN g ON g.sha = up.ancestor WHERE g.parent IS NOT NULL)"
 
 
-def _edges(s):
-    return I.table(s, I.COMMITS, "sha string, parent string")
+def _edges(s, d):
+    rows = read(s, d, "events").select("event_id", "user_id", "ts", "event_type")
+    own = rows.select(F.col("event_id").alias("sha"), F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("parent"), F.lit(0).alias("ord"))
+    asks = (F.col("event_type") == "purchase") & (F.col("user_id") % 10 != 0)
+    met = rows.select("user_id", "ts", "event_id", F.lit(None).cast("bigint").alias("sha")).unionAll(rows.where(asks).select(F.col("user_id") - 1, "ts", F.lit(None).cast("bigint"), "event_id"))
+    before = Window.partitionBy("user_id").orderBy("ts", F.col("sha").isNull(), "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = met.select("sha", F.last("event_id", ignorenulls=True).over(before).alias("parent"), F.lit(1).alias("ord")).where("sha is not null and parent is not null")
+    return own.unionAll(merged)
 
 
-@query(f"WITH RECURSIVE {_EDGES} SELECT sha, ancestor FROM up")
+@query(f"WITH RECURSIVE {_EDGES}, {_UP} SELECT sha, ancestor FROM up WHERE sha % 50 = 0")
 def commit_ancestors(s, d):
-    return history.ancestors(_edges(s))
+    edges = _edges(s, d)
+    return history.ancestors(edges, edges.where("sha % 50 = 0").select("sha"))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, p AS (SELECT sha, string_agg(DISTINCT parent, ',' ORDER BY parent) AS ps FROM g GROUP BY 1)
-SELECT red, green, CASE WHEN red = green THEN 'identical' WHEN EXISTS (SELECT 1 FROM up WHERE sha = green AND ancestor = red) THEN 'ahead' WHEN r.ps = q.ps THEN 'amend' WHEN r.ps IS NULL OR q.ps IS NULL THEN 'unknown' ELSE 'diverged' END AS relation
-FROM {I.values(_PAIRS, 'red, green')} LEFT JOIN p r ON r.sha = red LEFT JOIN p q ON q.sha = green""")
+_PAIRS = "pairs AS (SELECT lag(sha, 3) OVER (PARTITION BY u ORDER BY ts, sha) AS red, sha AS green FROM own UNION ALL SELECT sha - 5, sha FROM own UNION ALL SELECT sha, sha - 7 FROM own)"
+
+
+def _pairs(s, d):
+    rows = read(s, d, "events")
+    own = rows.select(F.lag("event_id", 3).over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("red"), F.col("event_id").alias("green"))
+    return own.unionAll(rows.select(F.col("event_id") - 5, "event_id")).unionAll(rows.select("event_id", F.col("event_id") - 7))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, {_UP}, p AS (SELECT sha, string_agg(DISTINCT parent::VARCHAR, ',' ORDER BY parent::VARCHAR) AS ps FROM g GROUP BY 1), {_PAIRS}
+SELECT red, green, CASE WHEN red = green THEN 'identical' WHEN up.sha IS NOT NULL THEN 'ahead' WHEN r.ps = q.ps THEN 'amend' WHEN r.ps IS NULL OR q.ps IS NULL THEN 'unknown' ELSE 'diverged' END AS relation
+FROM pairs LEFT JOIN up ON up.sha = green AND up.ancestor = red LEFT JOIN p r ON r.sha = red LEFT JOIN p q ON q.sha = green""")
 def commit_relation(s, d):
-    return history.relation(I.table(s, _PAIRS, "red string, green string"), _edges(s))
+    return history.relation(_pairs(s, d), _edges(s, d))
 
 
-@query(f"WITH RECURSIVE {_EDGES} SELECT base, head, h.ancestor AS sha FROM {I.values(_PAIRS, 'base, head')} JOIN up h ON h.sha = head WHERE NOT EXISTS (SELECT 1 FROM up b WHERE b.sha = base AND b.ancestor = h.ancestor)")
+@query(f"""WITH RECURSIVE {_EDGES}, {_UP}, b AS (SELECT sha AS head, lag(sha, 4) OVER (PARTITION BY u ORDER BY ts, sha) AS base, kind FROM own)
+SELECT base, head, h.ancestor AS sha FROM b JOIN up h ON h.sha = head WHERE kind = 'error' AND base IS NOT NULL AND NOT EXISTS (SELECT 1 FROM up x WHERE x.sha = base AND x.ancestor = h.ancestor)""")
 def commits_between(s, d):
-    return history.commits_between(I.table(s, _PAIRS, "base string, head string"), _edges(s))
+    rows = read(s, d, "events")
+    base = F.lag("event_id", 4).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    pairs = rows.select(F.col("event_id").alias("head"), base.alias("base"), "event_type").where("event_type = 'error' and base is not null")
+    return history.commits_between(pairs, _edges(s, d))
 
 
 @query("WITH r AS (SELECT * FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY) SELECT count(*) AS seen, count(*) FILTER (NOT coalesce(event_type IN ('error', 'purchase') AND props <> '', false)) AS skipped FROM r")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions import columns as C
 from faultline.functions import patterns as P
 from faultline.operators import logs, references, rules, scoring, streaks
-from faultline.plans import cases, evaluations  # noqa: F401  they register their queries
+from faultline.plans import cases, evaluations, flows  # noqa: F401  they register their queries
 from faultline.plans import inline as I
 from faultline.plans.registry import QUERIES, SQL, query, read  # noqa: F401
 
@@ -303,13 +303,6 @@ def upsert_predictions(s, d):
     return scoring.upsert(kept, read(s, d, "labels").where("toxic = 1").select("doc_id", F.lit("fresh").alias("system")), "doc_id")
 
 
-@query("""SELECT d.doc_id, coalesce(CASE WHEN quality = 1 AND l.toxic = 1 THEN 'low' END, CASE WHEN l.doc_id IS NULL THEN 'needs_review' ELSE 'verified' END) AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
-def apply_reviews_merge(s, d):
-    labels = read(s, d, "labels").withColumn("known", F.lit(True))
-    status = F.when((F.col("quality") == 1) & (F.col("toxic") == 1), "low").when(F.col("known").isNull(), "needs_review").otherwise("verified")
-    return read(s, d, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", status.alias("status"))
-
-
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'no label' WHEN toxic = 1 THEN 'toxic' WHEN n_chars < 200 THEN 'too short' ELSE 'eligible' END AS why FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def localization_eligibility(s, d):
     labels = read(s, d, "labels").withColumn("known", F.lit(True))
