@@ -76,7 +76,7 @@ def is_sha(value: Column) -> Column:
 
 
 def is_repository(value: Column) -> Column:
-    """owner/name, both of letters, digits, dots, dashes and underscores, neither of dots alone."""
+    """owner/name: neither is empty, and there is no other slash."""
     return F.coalesce(value.rlike(P.REPOSITORY), F.lit(False))
 
 

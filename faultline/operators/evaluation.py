@@ -21,11 +21,16 @@ def eligibility(fix_status: Column, category: Column, files: Column) -> tuple[Co
     return F.when(why == "eligible", code), why
 
 
-def with_predictions(cases: DataFrame, predictions: DataFrame, key: str) -> DataFrame:
+def with_predictions(cases: DataFrame, predictions: DataFrame, key: str, order: str | list[str] | None = None) -> DataFrame:
     """Cases with their predictions; a case without one, or predictions of several systems, is an error when it is read.
 
-    predictions: key, system and further columns. The systems are counted beside the join, in one row.
+    predictions: key, system and further columns; with `order`, a column or several, the last one of a case by them counts,
+    else a case may have only one. The systems are counted beside the join, in one row.
     """
+    if order:
+        by = [order] if isinstance(order, str) else list(order)
+        others = [c for c in predictions.columns if c != key]
+        predictions = predictions.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*by)).alias("last")).select(key, "last.*")
     systems = predictions.agg(F.countDistinct("system").alias("systems"))
     joined = cases.join(predictions.withColumn("predicted", F.lit(True)), key, "left").join(F.broadcast(systems))
     checked = F.when(F.col("systems") > 1, F.raise_error(F.lit("predictions come from more than one system"))).when(F.col("predicted").isNull(), F.raise_error(F.concat(F.lit("no prediction for "), F.col(key).cast("string"))))

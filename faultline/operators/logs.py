@@ -10,10 +10,10 @@ from faultline.functions import patterns as P
 
 def lines_of(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos (from 0), text: the lines of a text without a byte-order mark; a last empty line isn't one."""
-    clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^﻿", "")
-    parts = F.split(clean, P.LINE_END)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return texts.select(key, F.posexplode(parts).alias("pos", "text"))
+    clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^\ufeff", "")
+    cut = texts.select(key, F.split(clean, P.LINE_END).alias("parts"))
+    kept = F.when(F.element_at("parts", -1) == "", F.slice("parts", 1, F.size("parts") - 1)).otherwise(F.col("parts"))
+    return cut.select(key, F.posexplode(kept).alias("pos", "text"))
 
 
 def parse(lines: DataFrame, key: str) -> DataFrame:
@@ -112,7 +112,7 @@ def diff_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:
 
 def changed_text(diffs: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, path, line: the lines that a diff adds or removes, without their signs."""
-    counted = F.substring("text", 1, 1).isin("+", "-") & ~F.col("text").startswith("+++ ") & ~F.col("text").startswith("---")
+    counted = F.substring("text", 1, 1).isin("+", "-") & ~F.col("text").startswith("+++ ") & ~F.col("text").startswith("--- ")
     rows = diff_lines(diffs, key, text).where(counted & F.col("path").isNotNull())
     return rows.select(key, "pos", "path", F.substring(F.col("text"), 2, 1 << 30).alias("line"))
 

@@ -7,12 +7,29 @@ from pyspark.sql import functions as F
 
 from faultline.functions import patterns as P
 from faultline.functions.columns import first_match, reasons, stage
+from faultline.functions.factors import may_match
 
 
 def _matched(lines: DataFrame, text: str, rules) -> DataFrame:
-    """lines, once for each rule that their text matches, with the rule's rank. Only lines that match leave the scan."""
-    ranks = F.array_compact(F.array(*[F.when(F.col(text).rlike(p), F.lit(k)) for k, p in enumerate(rules)]))
-    return lines.withColumn("rank", F.explode(ranks))
+    """lines with line, the stripped text, once for each rule that matches it, with the rule's rank. Only lines that match leave the scan.
+
+    Factors are looked for in the text as it is: Spark would strip it anew for each of them.
+    """
+    maybe = lines.where(may_match(F.col(text), list(rules))).withColumn("line", F.regexp_replace(text, r"^\s+|\s+$", ""))
+    ranks = F.array_compact(F.array(*[F.when(may_match(F.col(text), [p]) & F.col("line").rlike(p), F.lit(k)) for k, p in enumerate(rules)]))
+    return maybe.withColumn("rank", F.explode(ranks))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, where they come in fewer parts than that: a table of one row group is one task else."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def told(texts: DataFrame, text: str) -> DataFrame:
+    """The texts that any rule on lines may match, before they are cut into lines."""
+    patterns = [*[r[3] for r in P.CLASSIFY_RULES], *[r[2] for r in P.LOG_RULES], P.FALLBACK_RULE[2]]
+    return spread(texts).where(may_match(F.col(text), patterns))
 
 
 def classify(lines: DataFrame, cases: DataFrame, key: str = "id", pos: str = "pos") -> DataFrame:
@@ -22,8 +39,7 @@ def classify(lines: DataFrame, cases: DataFrame, key: str = "id", pos: str = "po
     failing tests decide, then what the step is called, else it is unknown. cases: key, step, job, tests (boolean).
     """
     rules = [r[3] for r in P.CLASSIFY_RULES]
-    clean = lines.withColumn("line", F.regexp_replace("text", r"^\s+|\s+$", "")).where("line <> ''")
-    best = _matched(clean, "line", rules).groupBy(key).agg(F.min(F.struct("rank", pos, "line")).alias("best"))
+    best = _matched(lines, "text", rules).groupBy(key).agg(F.min(F.struct("rank", pos, "line")).alias("best"))
     pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in P.CLASSIFY_RULES]), F.col("best.rank") + 1)
     hint = first_match(F.concat_ws(" ", F.coalesce("step", F.lit("")), "job"), P.STEP_HINTS, None)
     matched, tests = F.col("best").isNotNull(), F.coalesce("tests", F.lit(False))
@@ -39,9 +55,8 @@ def log_signal(lines: DataFrame, cases: DataFrame, key: str = "id", pos: str = "
     A category's rule is that of its first line. Failing tests count as a match of their own. Without any match a hook's
     failure decides, then the stage, else it is unknown. cases: key, step, job, tests (boolean).
     """
-    clean = lines.withColumn("line", F.regexp_replace("text", r"^\s+|\s+$", ""))
     every = (*P.LOG_RULES, P.FALLBACK_RULE)
-    matched = _matched(clean, "line", [r[2] for r in every])
+    matched = _matched(lines, "text", [r[2] for r in every])
     rule, category = (F.element_at(F.array(*[F.lit(r[k]) for r in every]), F.col("rank") + 1) for k in (0, 1))
     told = matched.select(key, pos, "rank", category.alias("category"), rule.alias("rule"), (F.col("rank") == len(P.LOG_RULES)).alias("hook"))
     tests = cases.where("tests").select(key, F.lit(1 << 30).alias(pos), F.lit(-1).alias("rank"), F.lit("TEST_FAILURE").alias("category"), F.lit("pytest_failed_tests").alias("rule"), F.lit(False).alias("hook"))

@@ -70,12 +70,12 @@ def _diffs(s):
     return I.table(s, I.DIFFS.items(), "id int, text string")
 
 
-@query(f"WITH {_DIFF_LINES} SELECT id, path, count(*) AS changed FROM c WHERE text[1] IN ('+', '-') AND NOT starts_with(text, '+++ ') AND NOT starts_with(text, '---') AND path IS NOT NULL GROUP BY ALL")
+@query(f"WITH {_DIFF_LINES} SELECT id, path, count(*) AS changed FROM c WHERE text[1] IN ('+', '-') AND NOT starts_with(text, '+++ ') AND NOT starts_with(text, '--- ') AND path IS NOT NULL GROUP BY ALL")
 def diff_changed_lines(s, d):
     return logs.changed_lines(_diffs(s), "id", "text")
 
 
-@query(f"WITH {_DIFF_LINES} SELECT id, pos, path, substr(text, 2) AS line FROM c WHERE text[1] IN ('+', '-') AND NOT starts_with(text, '+++ ') AND NOT starts_with(text, '---') AND path IS NOT NULL")
+@query(f"WITH {_DIFF_LINES} SELECT id, pos, path, substr(text, 2) AS line FROM c WHERE text[1] IN ('+', '-') AND NOT starts_with(text, '+++ ') AND NOT starts_with(text, '--- ') AND path IS NOT NULL")
 def diff_changed_text(s, d):
     return logs.changed_text(_diffs(s), "id", "text")
 
@@ -118,10 +118,9 @@ def _answers(s):
     return rows.select("id", "failure_type", "root_cause", many("q", r"\|").alias("quotes"), many("f", ",").alias("files"), F.array(F.lit(_KNOWN)).alias("known"), F.lit(_EVIDENCE).alias("evidence"), F.col("conf").cast("double").alias("confidence"))
 
 
-@query(f"""WITH {_A} SELECT id, concat_ws('; ', CASE WHEN NOT coalesce(failure_type IN ({_CATS}), false) THEN 'failure_type ' || coalesce('''' || failure_type || '''', 'None') || ' is not one of the allowed categories' END,
- CASE WHEN cause = '' THEN 'root_cause is empty' END, CASE WHEN contains(cause, 'system prompt') THEN 'root_cause repeats the instructions instead of describing the failure' END,
- CASE WHEN len(qs) = 0 AND failure_type IS DISTINCT FROM 'UNKNOWN' THEN 'evidence is empty: quote at least one line from the evidence block' WHEN len(qs) > 0 AND len(loose) = len(qs) THEN 'none of the quotes appear verbatim in the evidence; the first was ''' || loose[1] || ''''
-  WHEN len(loose) > 0 THEN len(loose) || ' quote(s) are not verbatim, e.g. ''' || loose[1] || '''' END, CASE WHEN len(invented) > 0 THEN 'these file paths do not appear in the evidence: ' || array_to_string(invented[:3], ' ') END) AS problems FROM b""")
+@query(f"""WITH {_A} SELECT id, concat_ws('; ', CASE WHEN NOT coalesce(failure_type IN ({_CATS}), false) THEN 'unknown category ' || coalesce('''' || failure_type || '''', 'None') END,
+ CASE WHEN cause = '' THEN 'no cause is named' END, CASE WHEN contains(cause, 'system prompt') THEN 'the cause repeats the instructions' END,
+ CASE WHEN len(qs) = 0 AND failure_type IS DISTINCT FROM 'UNKNOWN' THEN 'no line of the evidence is quoted' WHEN len(loose) > 0 THEN len(loose) || ' of ' || len(qs) || ' quotes not verbatim, first: ''' || loose[1] || '''' END, CASE WHEN len(invented) > 0 THEN 'files that do not appear in the evidence: ' || array_to_string(invented[:3], ' ') END) AS problems FROM b""")
 def validate_answer(s, d):
     return answers.problems(_answers(s)).select("id", "problems")
 
@@ -272,7 +271,7 @@ def run_filter(s, d):
 _IDS = ["a" * 40, "A" * 40, "abc", None, "owner/name", "own.er/na-me_1", "a/b/c", "../x", "./.", "/x", "x/"]
 
 
-@query(f"SELECT id, coalesce(regexp_matches(id, '^[0-9a-f]{{40}}$'), false) AS sha, coalesce(regexp_matches(id, '^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$') AND regexp_matches(id, '^[^/]*[^./]') AND regexp_matches(id, '/[^/]*[^./]'), false) AS repository FROM {I.values([(x,) for x in _IDS], 'id')}")
+@query(f"SELECT id, coalesce(regexp_matches(id, '^[0-9a-f]{{40}}$'), false) AS sha, coalesce(regexp_matches(id, '^[^/]+/[^/]+$'), false) AS repository FROM {I.values([(x,) for x in _IDS], 'id')}")
 def id_checks(s, d):
     return I.table(s, [(x,) for x in _IDS], "id string").select("id", C.is_sha(F.col("id")).alias("sha"), C.is_repository(F.col("id")).alias("repository"))
 

@@ -28,6 +28,12 @@ def every_line(s: SparkSession, d: str) -> DataFrame:
     return inline.unionAll(logs.lines_of(read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "text"))
 
 
+def every_telling_line(s: SparkSession, d: str) -> DataFrame:
+    """every_line, of those documents only that a rule may match at all."""
+    inline = log_bodies(s).select((-F.col("id")).cast("long").alias("id"), "pos", "text")
+    return inline.unionAll(logs.lines_of(rules.told(read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text"), "id", "text"))
+
+
 def every_case(s: SparkSession, d: str) -> DataFrame:
     """id, step, job, tests: what the rules fall back on; a document's step is its source, its job its language."""
     inline = I.table(s, [(-k, *v) for k, v in I.CASES.items()], "id bigint, step string, job string, tests boolean")
@@ -146,7 +152,7 @@ SELECT h.id, coalesce(rule, CASE WHEN tests = 'y' THEN 'failing_tests' WHEN hint
   coalesce(category, CASE WHEN tests = 'y' THEN 'TEST_FAILURE' ELSE coalesce(hint, 'UNKNOWN') END) AS category,
   coalesce(confidence, CASE WHEN tests = 'y' THEN 0.6 WHEN hint IS NOT NULL THEN 0.3 ELSE 0.1 END)::DOUBLE AS confidence, line FROM h LEFT JOIN m ON h.id = m.id""")
 def baseline_classify(s, d):
-    return rules.classify(every_line(s, d), every_case(s, d))
+    return rules.classify(every_telling_line(s, d), every_case(s, d))
 
 
 @query(f"""WITH {EVERY}, m AS (SELECT id, pos, rank, rule, category FROM told JOIN {I.SIGNAL_VALUES} ON regexp_matches(line, pattern) UNION ALL SELECT id, 1 << 30, -1, 'pytest_failed_tests', 'TEST_FAILURE' FROM every WHERE tests = 'y'),
@@ -157,7 +163,7 @@ g AS (SELECT id, {_STAGE} AS stage FROM every), t AS (SELECT * FROM {I.values(P.
 SELECT g.id, coalesce(b.category, k.category, t.category, 'UNKNOWN') AS category, coalesce(b.rule, k.rule, 'stage_fallback:' || t.stage, 'no_rule_matched') AS rule
 FROM g LEFT JOIN b ON b.id = g.id LEFT JOIN k ON k.id = g.id LEFT JOIN t ON t.stage = g.stage""")
 def log_signal(s, d):
-    return rules.log_signal(every_line(s, d), every_case(s, d))
+    return rules.log_signal(every_telling_line(s, d), every_case(s, d))
 
 
 _WHAT = I.values(P.WHAT_FAILED.items(), "category, words")
