@@ -93,3 +93,20 @@ def selected(cases: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     found = wanted.distinct().join(cases.withColumn("known", F.lit(True)), key, "left")
     missing = F.when(F.col("known").isNull(), F.raise_error(F.concat(F.lit("unknown case id "), F.col(key).cast("string"))))
     return found.withColumn(key, F.coalesce(missing.cast(dict(cases.dtypes)[key]), F.col(key))).drop("known")
+
+
+def leaked(cases: DataFrame, seen: str, future: list[str], own: str) -> DataFrame:
+    """cases with leaked: the identities of what came later that stand anywhere in the struct `seen`, in order.
+
+    future: columns of identities or of arrays of them. The case's own identity (a column) is never one; a null isn't either.
+    """
+    every = F.flatten(F.array(*[F.when(F.col(c).isNotNull(), F.col(c) if dict(cases.dtypes)[c].startswith("array") else F.array(c)).otherwise(F.array().cast("array<string>")) for c in future]))
+    held = cases.withColumns({"seen_text": F.to_json(seen), "later": F.array_sort(F.array_distinct(F.filter(every, lambda s: s.isNotNull() & ~s.eqNullSafe(F.col(own)))))})
+    return held.withColumn("leaked", F.filter("later", lambda s: F.contains("seen_text", s))).drop("seen_text", "later")
+
+
+def without_leaks(cases: DataFrame, seen: str, future: list[str], own: str, key: str) -> DataFrame:
+    """The cases as they are; one that tells what came later is an error when it is read."""
+    found = leaked(cases, seen, future, own)
+    told = F.when(F.size("leaked") > 0, F.raise_error(F.concat(F.lit("later commits are told in the input of "), F.col(key).cast("string"), F.lit(": "), F.array_join("leaked", ","))))
+    return found.withColumn(key, F.coalesce(told.cast(dict(cases.dtypes)[key]), F.col(key))).drop("leaked")

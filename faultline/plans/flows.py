@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import patterns as P
-from faultline.operators import history, investigate, reviews
+from faultline.operators import evaluation, history, investigate, reviews
 from faultline.plans.registry import query, read
-from faultline.sources import pages
+from faultline.sources import outputs, pages
 from faultline.streaming import sink
 
 
@@ -161,3 +161,36 @@ def investigation(s, d):
     tool = lambda asked: asked.withColumn("result", F.concat_ws(" ", F.lit("nothing found by"), F.col("request.name")))
     last = investigate.investigate(cases, investigate.scripted(_replies(s, d), "doc_id"), "doc_id", tool)
     return last.select("doc_id", "node", "answer_calls", "decide_calls", F.size("requests").alias("tools"), "budget", "shrunk", F.col("proposal.failure_type").alias("failure_type"), (F.col("problems") != "").alias("has_problems"))
+
+
+_CUTS = ["props", "substr(props, 1, length(props) - 1)", "substr(props, 1, cast(length(props) / 2 AS int))", "concat(props, ' x')", "concat('[', props, ']')", "'\"a {text\"'", "replace(props, '\"', '')", "''", "concat(' ', props, ' ')", "substr(props, 2)"]
+
+
+@query(f"""WITH c AS (SELECT event_id, unnest(range({len(_CUTS)}))::INT AS cut, unnest([{", ".join(_CUTS).replace("cast(length(props) / 2 AS int)", "length(props) // 2")}]) AS text FROM events),
+t AS (SELECT *, trim(coalesce(text, ''), ' ') AS said, regexp_replace(trim(coalesce(text, ''), ' '), '{outputs.STRING}', '', 'g') AS outside FROM c)
+SELECT event_id, cut, CASE WHEN said = '' THEN 'empty' WHEN json_valid(said) AND said[1] = '{{' THEN '' WHEN json_valid(said) THEN 'not_object'
+ WHEN contains(outside, '"') OR len(regexp_extract_all(outside, '{outputs.OPENS}')) > len(regexp_extract_all(outside, '{outputs.CLOSES}')) THEN 'truncated' ELSE 'malformed' END AS error_kind,
+ CASE WHEN json_valid(said) AND said[1] = '{{' THEN json_extract_string(said, '$.k')::BIGINT END AS k FROM t""")
+def output_kinds(s, d):
+    """Every event's properties as a model's output, whole and cut or spoilt in nine ways: what it holds or why it doesn't."""
+    cuts = F.posexplode(F.array(*map(F.expr, _CUTS))).alias("cut", "text")
+    rows = outputs.parsed(read(s, d, "events").select("event_id", cuts), "text", "k bigint")
+    return rows.select("event_id", "cut", "error_kind", "parsed.k")
+
+
+@query("""WITH e AS (SELECT event_id, md5(event_id::VARCHAR) AS sha, md5(lead(event_id) OVER w::VARCHAR) AS head, md5(lead(event_id, 2) OVER w::VARCHAR) AS later, md5(lag(event_id) OVER w::VARCHAR) AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT *, CASE WHEN event_id % 13 = 0 THEN sha ELSE head END AS green, CASE WHEN event_id % 7 = 0 THEN 'reverts ' || coalesce(head, '') WHEN event_id % 7 = 1 THEN 'see ' || sha ELSE 'tidy' END AS message, CASE WHEN event_id % 11 = 0 THEN [before, later] ELSE [before] END AS window_ FROM e),
+f AS (SELECT *, list_sort(list_distinct(list_filter([green, later, head], lambda x: x IS NOT NULL AND x <> sha))) AS future FROM c)
+SELECT event_id, array_to_string(list_filter(future, lambda x: contains(message, x) OR list_contains(window_, x)), ',') AS leaked FROM f""")
+def record_leaks(s, d):
+    """Cases made of the events, each with a nested input: which later events' hashes it tells."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    sha = lambda c: F.md5(c.cast("string").cast("binary"))
+    e = F.col("event_id")
+    rows = read(s, d, "events").select("event_id", sha(e).alias("sha"), sha(F.lead("event_id").over(w)).alias("head"), sha(F.lead("event_id", 2).over(w)).alias("later"), sha(F.lag("event_id").over(w)).alias("before"))
+    green = F.when(e % 13 == 0, F.col("sha")).otherwise(F.col("head"))
+    message = F.when(e % 7 == 0, F.concat(F.lit("reverts "), F.coalesce("head", F.lit("")))).when(e % 7 == 1, F.concat(F.lit("see "), F.col("sha"))).otherwise("tidy")
+    window = F.when(e % 11 == 0, F.array("before", "later")).otherwise(F.array("before"))
+    seen = F.struct(F.struct("sha", message.alias("message")).alias("failed_commit"), F.struct(window.alias("commits")).alias("breaking_window"))
+    cases = rows.select("event_id", "sha", green.alias("green"), F.array("later", "head").alias("commits"), seen.alias("input"))
+    return evaluation.leaked(cases, "input", ["green", "commits"], "sha").select("event_id", F.array_join("leaked", ",").alias("leaked"))

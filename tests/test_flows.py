@@ -218,3 +218,49 @@ def test_tools_are_bounded_and_repeats_end_them(spark):
     assert {k: (r.node, r.decide_calls, len(r.requests), r.answer_calls) for k, r in got.items()} == {1: ("finalize", 3, 3, 1), 2: ("finalize", 2, 2, 1), 3: ("finalize", 1, 0, 2), 4: ("finalize", 1, 0, 1), 5: ("finalize", 2, 1, 1)}
     assert got[1].results == ["found zz.py by read_file", "found zz.py by search_code", "found zz.py by list_files"] and got[1].problems == ""
     assert [r.name for r in run(spark, {1: ([said()], [read])}, investigate.no_tools)[1].requests] == ["read_file"]
+
+
+def test_outputs_are_told_apart(spark):
+    from faultline.sources import outputs
+
+    texts = {'{"k": 1}': "", ' {"k": 1, "z": [1]} ': "", '{"k": 1': "truncated", '{"k": "a': "truncated", '{"a": "}"': "truncated", '{"k": 1} extra': "malformed", '{"k": }': "malformed", "[1, 2]": "not_object", '"x"': "not_object", "3": "not_object", "null": "not_object", "": "empty", "  ": "empty", None: "empty", "hello": "malformed", "[{}": "truncated", "{'k': 1}": "malformed"}
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.text: (r.error_kind, r.parsed) for r in outputs.parsed(df, "text", "k int").collect()}
+    assert {t: kind for t, (kind, _) in got.items()} == texts
+    assert got['{"k": 1}'][1].k == 1 and all(p is None for k, p in got.values() if k)
+
+
+def test_what_came_later_must_not_be_told(spark):
+    from faultline.operators import evaluation
+
+    rows = [(1, ("see bbb", ["x"]), "aaa", ["bbb", "ccc"], "own"), (2, ("own", ["own"]), "own", [None, "ddd"], "own"), (3, (None, ["ccc1"]), None, ["ccc"], "own"), (4, ("quiet", []), "aaa", None, None)]
+    cases = spark.createDataFrame(rows, "id int, input struct<message:string,commits:array<string>>, head string, commits array<string>, sha string")
+    assert {r.id: r.leaked for r in evaluation.leaked(cases, "input", ["head", "commits"], "sha").collect()} == {1: ["bbb"], 2: [], 3: ["ccc"], 4: []}
+    assert evaluation.without_leaks(cases.where("id in (2, 4)"), "input", ["head", "commits"], "sha", "id").columns == cases.columns
+    with pytest.raises(Exception, match="input of 1: bbb"):
+        evaluation.without_leaks(cases.where("id = 1"), "input", ["head", "commits"], "sha", "id").collect()
+
+
+def test_the_last_prediction_of_a_case_counts(spark):
+    from faultline.operators import evaluation
+
+    cases = spark.createDataFrame([(1,), (2,)], "id int")
+    rows = spark.createDataFrame([(1, "a", "first", 1), (1, "a", "last", 2), (2, "a", "only", 1)], "id int, system string, said string, at int")
+    got = evaluation.with_predictions(cases, rows, "id", "at").collect()
+    assert sorted((r.id, r.said) for r in got) == [(1, "last"), (2, "only")]
+
+
+def test_every_match_holds_a_factor(spark):
+    from faultline.functions import factors
+    from faultline.functions import patterns as P
+
+    examples = {r"^E\s+assert |x?y{3,}z": ["E   assert a", "yyyyz", "xyyyz"], r"\b\d+ failed\b": ["12 failed"], r"(add|missing).{0,40}(CHANGES|news)": ["add to CHANGES", "missing news"], r"a(?:b|cd)*e+f": ["aef", "abcdeeef"], r"[ab]+|c": ["a", "c"], r"(?i)Word": ["wORD"]}
+    for pattern, texts in examples.items():
+        found = factors.factors(pattern)
+        assert found is None or all(any(f in t for f in found) for t in texts), (pattern, found)
+    assert factors.factors(r"[ab]+|c") is None and factors.factors(r"(?i)Word") is None
+    assert factors.factors(r"\b(SyntaxError|TabError): ") in ({"SyntaxError", "TabError"}, {": "})
+    rules = [r[3] for r in P.CLASSIFY_RULES]
+    lines = [("2 failed, 1 passed", True), ("all is well", False), ("mypy....Failed", True), (None, False)]
+    df = spark.createDataFrame(lines, "t string, want boolean")
+    assert all(r.got == r.want for r in df.withColumn("got", factors.may_match(F.col("t"), rules)).collect())
