@@ -418,3 +418,39 @@ def test_no_import_from_outside():
         if not folder.endswith("/llm"):
             for name in (n for n in names if n.endswith(".py")):
                 assert "faultline.llm" not in open(f"{folder}/{name}").read()
+
+
+def test_decontamination_of_repeated_words_stays_small(spark):
+    n = 200_000
+    d = spark.createDataFrame([(1, "word " * n), (2, f"{text(1, 30)} " + "word " * 12), (3, "word " * 13)], "doc_id bigint, text string")
+    b = spark.createDataFrame([(f"i{k:02d}", "Word " * n if k == 0 else f"{text(k, 5)} " + "word " * 20) for k in range(30)], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.op2(d, b).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].longest) == (n, 30, n)
+    assert (got[2].n_hit, got[2].n_items) == (0, 0) and (got[3].n_hit, got[3].n_items, got[3].longest) == (13, 30, 13)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_longest_matches_equal_brute_force(spark, block_bytes):
+    rng = random.Random(3)
+    vocabulary = ["aa", "b", "cc", "Dd"]
+    items = {f"i{k}": " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 20, 40]))) for k in range(12)}
+    docs = {k: " ".join(rng.choice(vocabulary) if rng.random() < 0.9 else "other" for _ in range(rng.randint(0, 80))) + " " + rng.choice([*items.values(), ""]) for k in range(30)}
+    got = decontaminate.match_benchmark(spark.createDataFrame([*docs.items()], "doc_id bigint, text string"), spark.createDataFrame([*items.items()], "item_id string, text string"), window=5, block_bytes=block_bytes)
+    for r in got.collect():
+        w, most, hit, named = low(docs[r.doc_id]).split(), 0, set(), set()
+        for name, t in items.items():
+            x = low(t).split()
+            size = min(5, len(x))
+            for a in range(len(x) - size + 1):
+                for p in range(len(w) - size + 1):
+                    k = 0
+                    while p + k < len(w) and a + k < len(x) and w[p + k] == x[a + k]:
+                        k += 1
+                    if k >= size:
+                        hit |= set(range(p, p + size))
+                        named.add(name)
+                        most = max(most, k)
+        assert (r.n_hit, set(r["items"]), r.longest) == (len(hit), named, most)
+        for m in r.matches:
+            x = low(items[m["item_id"]]).split()
+            assert w[m["doc_word"] : m["doc_word"] + m["words"]] == x[m["item_word"] : m["item_word"] + m["words"]]
