@@ -117,9 +117,9 @@ def relation(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("red", "green", kind.alias("relation"))
 
 
-def commits_between(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+def commits_between(pairs: DataFrame, edges: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """base, head, sha of the commits that head reaches and base doesn't: of each chain those of a span of places."""
-    places, hops = reach_index(edges)
+    places, hops = index or reach_index(edges)
     at = lambda c: places.select(F.col("sha").alias(c), F.col("chain").alias(f"{c}_chain"), F.col("place").alias(f"{c}_place"))
     placed = pairs.select("base", "head").distinct().join(at("head"), "head").join(at("base"), "base", "left")
     keys = ["base", "head", "base_chain", "base_place"]
@@ -140,3 +140,65 @@ def watched_runs(runs: DataFrame, event: Column, branch: Column, events: list[st
     recent = runs if since is None else runs.where(since)
     kept = F.coalesce(event.isin(*events) & (branch != ""), F.lit(False))
     return recent.where(kept), recent.agg(F.count("*").alias("seen"), F.count_if(~kept).alias("skipped"))
+
+
+def _reached(commits: DataFrame, index: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """sha, chain, place: of every chain that a commit (sha) reaches the furthest place, its own on its own chain."""
+    places, hops = index
+    at = commits.select("sha").distinct().join(places, "sha")
+    targets = hops.select(F.col("chain").alias("c"), F.col("to_chain").alias("t")).distinct()
+    asked = at.join(targets, F.col("chain") == F.col("c")).select("sha", "chain", "place", F.col("t").alias("to_chain"))
+    met = _asof(asked, hops).where("far is not null").select("sha", F.col("to_chain").alias("chain"), F.col("far").alias("place"))
+    return at.select("sha", "chain", "place").unionAll(met)
+
+
+def merge_bases(pairs: DataFrame, edges: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """red, main, base: the nearest commit that both reach, which no other commit that both reach does; the smallest of several.
+
+    Of a chain only the last commit that both reach can be it, so a pair has a row for each chain that both reach; rows
+    that another one's commit reaches go. Pairs that share no commit have no row. pairs: red, main.
+    """
+    index = index or reach_index(edges)
+    pairs = pairs.select("red", "main").where("red is not null and main is not null").distinct()
+    met = cut(_reached(pairs.select(F.col("red").alias("sha")).unionAll(pairs.select(F.col("main").alias("sha"))), index))
+    of = lambda c: met.select(F.col("sha").alias(c), "chain", F.col("place").alias(f"{c}_place"))
+    both = pairs.join(of("red"), "red").join(of("main"), ["main", "chain"])
+    last = cut(both.select("red", "main", "chain", F.least("red_place", "main_place").alias("place")).join(index[0], ["chain", "place"]))
+    # what the candidates reach on other chains, once for each pair and chain
+    further = _reached(last.select("sha"), index).join(index[0].select("sha", F.col("chain").alias("own")), "sha").where("chain <> own")
+    covered = last.select("red", "main", "sha").join(further.select("sha", "chain", F.col("place").alias("upto")), "sha").groupBy("red", "main", "chain").agg(F.max("upto").alias("upto"))
+    left = last.join(covered, ["red", "main", "chain"], "left").where("upto is null or upto < place")
+    return left.groupBy("red", "main").agg(F.min("sha").alias("base"))
+
+
+def window_base(windows: DataFrame, edges: DataFrame, available: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """windows with base and base_kind: what a failure is compared with, and why; both null if there is nothing to compare with.
+
+    The last green commit comes first; without one a pull request has its merge base with the main branch. Where neither
+    is there, or what was found isn't among the available commits (sha; None: all are), it is the red commit's first
+    parent, if that is available. A red commit isn't compared with itself. windows: red, prev_green, pull_request, main;
+    edges: sha, parent, ord of the parents.
+    """
+    asked = F.col("prev_green").isNull() & F.coalesce("pull_request", F.lit(False))
+    met = merge_bases(windows.where(asked), edges, index).select("red", "main", F.col("base").alias("met"), F.lit(True).alias("asked"))
+    first = edges.where("parent is not null").groupBy(F.col("sha").alias("red")).agg(F.min(F.struct("ord", "parent"))["parent"].alias("first_parent"))
+    rows = windows.withColumn("asked", asked).join(met, ["red", "main", "asked"], "left").join(first, "red", "left")
+    rows = rows.withColumn("wished", F.coalesce("prev_green", "met"))
+    for c in ("wished", "first_parent"):
+        if available is not None:
+            there = available.select(F.col("sha").alias(c)).distinct().withColumn("there", F.lit(True))
+            rows = rows.join(there, c, "left").withColumn(c, F.when(F.col("there"), F.col(c))).drop("there")
+    base = F.coalesce("wished", "first_parent")
+    kind = F.when(F.col("wished").isNull(), "first_parent").when(F.col("prev_green").isNotNull(), "last_green").otherwise("pr_merge_base")
+    apart = base.isNotNull() & (base != F.col("red"))
+    return rows.select(*windows.columns, F.when(apart, base).alias("base"), F.when(apart, kind).alias("base_kind"))
+
+
+def window_commits(based: DataFrame, edges: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """red, base, sha of the commits that may have broken red: those since the base, or red alone where it doesn't reach the base."""
+    pairs = based.where("base is not null").select("base", F.col("red").alias("head")).distinct()
+    index = index or reach_index(edges)
+    known = reaches(pairs.select(F.col("base").alias("red"), F.col("head").alias("green")), index)
+    ahead = known.where("ahead").select(F.col("red").alias("base"), F.col("green").alias("head"))
+    alone = known.where("not ahead").select(F.col("green").alias("red"), F.col("red").alias("base"), F.col("green").alias("sha"))
+    return commits_between(ahead, edges, index).select(F.col("head").alias("red"), "base", "sha").unionAll(alone)

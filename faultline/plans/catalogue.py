@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions import columns as C
 from faultline.functions import patterns as P
 from faultline.operators import logs, references, rules, scoring, streaks
-from faultline.plans import cases, evaluations, flows  # noqa: F401  they register their queries
+from faultline.plans import cases, changes, evaluations, flows  # noqa: F401  they register their queries
 from faultline.plans import inline as I
 from faultline.plans.registry import QUERIES, SQL, query, read  # noqa: F401
 
