@@ -118,8 +118,10 @@ def changed_text(diffs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def changed_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, path, changed: lines added or removed in each file of a unified diff."""
-    return changed_text(diffs, key, text).groupBy(key, "path").agg(F.count("*").alias("changed"))
+    """key, path, changed, pos: lines added or removed in each file of a unified diff, and where the first is; a line that begins with three minus signs is taken for a head."""
+    counted = F.substring("text", 1, 1).isin("+", "-") & ~F.col("text").startswith("+++ ") & ~F.col("text").startswith("---")
+    rows = diff_lines(diffs, key, text).where(counted & F.col("path").isNotNull())
+    return rows.groupBy(key, "path").agg(F.count("*").alias("changed"), F.min("pos").alias("pos"))
 
 
 def hunks(diffs: DataFrame, key: str, text: str) -> DataFrame:
@@ -131,12 +133,13 @@ def hunks(diffs: DataFrame, key: str, text: str) -> DataFrame:
 
 def diff_section(diffs: DataFrame, key: str, text: str, path: str, most: int = 20) -> DataFrame:
     """key, section: the first lines of a path's (a column's) part of a diff; empty if it has none."""
-    lines = F.split(F.col(text), P.LINE_END)
     heads = lambda x: x.startswith("diff --git ")
-    mine = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda k: heads(F.element_at(lines, k)) & F.endswith(F.element_at(lines, k), F.concat(F.lit(" b/"), F.col(path))))
-    start = F.get(mine, F.lit(0))
-    follow = F.slice(lines, F.coalesce(start + 1, F.lit(1)), F.lit(most))
-    stop = F.get(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: F.coalesce(heads(F.try_element_at(follow, k)), F.lit(False))), F.lit(0))
-    last = F.when(F.try_element_at(follow, F.lit(-1)) == "", F.size(follow) - 1).otherwise(F.size(follow))
-    section = F.slice(follow, F.lit(1), F.coalesce(stop - 1, last))
-    return diffs.select(key, F.when(start.isNull(), "").otherwise(F.array_join(section, "\n")).alias("section"))
+    # the lines are a column of their own: inside of a lambda the text would be split anew for every line
+    cut = diffs.select(key, F.col(path).alias("path"), F.split(F.col(text), P.LINE_END).alias("lines"))
+    mine = F.transform("lines", lambda x, k: F.when(heads(x) & F.endswith(x, F.concat(F.lit(" b/"), F.col("path"))), k + 1))
+    cut = cut.withColumn("start", F.array_min(mine))
+    cut = cut.select(key, "start", F.slice("lines", F.coalesce(F.col("start") + 1, F.lit(1)), F.lit(most)).alias("follow"))
+    stop = F.array_min(F.transform("follow", lambda x, k: F.when(heads(x), k + 1)))
+    last = F.when(F.try_element_at("follow", F.lit(-1)) == "", F.size("follow") - 1).otherwise(F.size("follow"))
+    section = F.slice("follow", F.lit(1), F.coalesce(stop - 1, last))
+    return cut.select(key, F.when(F.col("start").isNull(), "").otherwise(F.array_join(section, "\n")).alias("section"))

@@ -70,16 +70,61 @@ def log_signal(lines: DataFrame, cases: DataFrame, key: str = "id", pos: str = "
     return found.select(key, F.coalesce("best.category", "by_stage", F.lit("UNKNOWN")).alias("category"), said.alias("rule"))
 
 
-def diagnose(classified: DataFrame, top: DataFrame, key: str = "id") -> DataFrame:
+def searched(errors: DataFrame, excerpt: DataFrame, key: str = "id") -> DataFrame:
+    """key, pos, text of the lines in the order that rules search them: error lines (key, rank, line), then the excerpt (key, pos, text)."""
+    first = errors.select(key, (F.col("rank") - (1 << 30)).cast("int").alias("pos"), F.col("line").alias("text"))
+    return first.unionByName(excerpt.select(key, F.col("pos").cast("int").alias("pos"), "text"))
+
+
+def diagnose(classified: DataFrame, top: DataFrame, key: str = "id", signatures: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
     """key, failure_type, confidence, root_cause: a template over what classify() says and the top suspect (key, path, reasons).
 
-    Without a suspect the confidence is a fifth less; a policy check is nobody's file.
+    The root error (key, exception, message), if known, is said in place of the rule's line. Of a suspect that changed
+    before the failure the commit's subject (changes: key, path, subject) is told. Without a suspect the confidence is a
+    fifth less; a policy check is nobody's file.
     """
+    rows = classified.join(top, key, "left")
+    for more, on, names in ((signatures, [key], ["exception", "message"]), (changes, [key, "path"], ["subject"])):
+        rows = rows.join(more.select(*on, *names), on, "left") if more is not None else rows.select("*", *[F.lit(None).cast("string").alias(c) for c in names])
     words = F.element_at(F.create_map(*[F.lit(x) for pair in P.WHAT_FAILED.items() for x in pair]), F.col("category"))
-    said = F.concat(F.lit("("), F.substring("line", 1, 200), F.lit(")"))
-    file = F.when(F.col("category") != "POLICY_CHECK_FAILURE", F.concat(F.lit("Most suspicious file: "), F.col("path"), F.lit(" ["), F.replace("reasons", F.lit(","), F.lit(", ")), F.lit("].")))
+    root = F.concat(F.lit("("), F.col("exception"), F.lit(": "), F.substring(F.coalesce("message", F.lit("")), 1, 200), F.lit(")"))
+    said = F.coalesce(root, F.concat(F.lit("("), F.substring("line", 1, 200), F.lit(")")))
+    blamed = F.col("category") != "POLICY_CHECK_FAILURE"
+    file = F.when(blamed, F.concat(F.lit("Most suspicious file: "), F.col("path"), F.lit(" ["), F.replace("reasons", F.lit(","), F.lit(", ")), F.lit("].")))
+    before = F.when(blamed, F.concat(F.lit("It changed shortly before, in '"), F.substring("subject", 1, 100), F.lit("'.")))
     confidence = F.round(F.when(F.col("path").isNull(), F.col("confidence") * 0.8).otherwise(F.col("confidence")), 3)
-    return classified.join(top, key, "left").select(key, F.col("category").alias("failure_type"), confidence.alias("confidence"), F.concat_ws(" ", words, said, file).alias("root_cause"))
+    return rows.select(key, F.col("category").alias("failure_type"), confidence.alias("confidence"), F.concat_ws(" ", words, said, file, before).alias("root_cause"))
+
+
+def evidence_items(classified: DataFrame, lines: DataFrame, top: DataFrame, sections: DataFrame, cases: DataFrame, key: str = "id", pos: str = "pos") -> DataFrame:
+    """key, items of every case: at most four pieces of evidence (source, location, excerpt, explanation), in this order.
+
+    The line that the rule matched; the first other line that tells of a failed test; the top suspect's section of the
+    diff; the first line that names the top suspect. What isn't there is left out. classified as of classify(); lines:
+    key, pos, text of the excerpt; top: key, path; sections: key, section; cases: key, step, job. The lines are shuffled
+    once, for the join and the two minima.
+    """
+    asked = cases.select(key, F.coalesce(F.nullif("step", F.lit("")), F.col("job")).alias("stage")).join(classified.select(key, "rule", "category", "line"), key, "left")
+    asked = asked.join(top.select(key, "path"), key, "left").join(sections.select(key, "section"), key, "left")
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    told = lines.select(key, pos, "text").join(asked.select(key, "line", "path"), key)
+    failed = F.when(text.startswith("FAILED ") & ~text.eqNullSafe(F.col("line")), F.struct(pos, text.alias("text")))
+    naming = F.when(F.contains("text", F.col("path")), F.struct(pos, text.alias("text")))
+    firsts = told.groupBy(key).agg(F.min(failed)["text"].alias("failed"), F.min(naming)["text"].alias("naming"))
+    rows = asked.join(firsts, key, "left")
+
+    def item(there: str, source: str, location, explanation):
+        parts = F.struct(F.lit(source).alias("source"), location.alias("location"), F.substring(there, 1, P.MAX_EXCERPT).alias("excerpt"), explanation.alias("explanation"))
+        return F.when(F.col(there) != "", parts)
+
+    step = F.concat(F.lit("failed step: "), F.col("stage"))
+    items = F.array_compact(F.array(
+        item("line", "ci_log", step, F.concat(F.lit("rule "), F.col("rule"), F.lit(" takes it for "), F.col("category"))),
+        item("failed", "ci_log", step, F.lit("the first test that is said to fail")),
+        item("section", "git_diff", F.col("path"), F.lit("changed since the last green state")),
+        item("naming", "ci_log", step, F.concat(F.lit("the log names "), F.col("path"))),
+    ))
+    return rows.select(key, items.alias("items"))
 
 
 def combine(signals: DataFrame) -> DataFrame:

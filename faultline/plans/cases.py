@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions import columns as C
 from faultline.functions import patterns as P
 from faultline.operators import answers, fixes, history, localize, logs, systems, trees
+from faultline.plans import derived as D
 from faultline.plans import inline as I
 from faultline.plans.registry import query, read
 
@@ -62,33 +63,29 @@ def python_change_kind(s, d):
     return rows.select("id", fixes.python_change_kind("old", "new").alias("kind"))
 
 
-_DIFF_LINES = f"""d AS (SELECT id, string_split(text, chr(10)) AS p FROM {I.values(I.DIFFS.items(), 'id, text')}), l AS (SELECT id, len(p) AS n, unnest(range(len(p)))::INT AS pos, unnest(p) AS text FROM d),
-c AS (SELECT *, nullif(last_value(CASE WHEN starts_with(text, '+++ b/') THEN substr(text, 7) WHEN starts_with(text, '+++ ') THEN '' END IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING), '') AS path FROM l)"""
+_COUNTED = "text[1] IN ('+', '-') AND NOT starts_with(text, '+++ ') AND path IS NOT NULL"
 
 
-def _diffs(s):
-    return I.table(s, I.DIFFS.items(), "id int, text string")
-
-
-@query(f"WITH {_DIFF_LINES} SELECT id, path, count(*) AS changed FROM c WHERE text[1] IN ('+', '-') AND NOT starts_with(text, '+++ ') AND NOT starts_with(text, '--- ') AND path IS NOT NULL GROUP BY ALL")
+@query(f"WITH {D.DIFF_LINES} SELECT id, path, count(*) AS changed FROM c WHERE {_COUNTED} AND NOT starts_with(text, '---') GROUP BY ALL")
 def diff_changed_lines(s, d):
-    return logs.changed_lines(_diffs(s), "id", "text")
+    return logs.changed_lines(D.diff_texts(s, d), "id", "text").select("id", "path", "changed")
 
 
-@query(f"WITH {_DIFF_LINES} SELECT id, pos, path, substr(text, 2) AS line FROM c WHERE text[1] IN ('+', '-') AND NOT starts_with(text, '+++ ') AND NOT starts_with(text, '--- ') AND path IS NOT NULL")
+@query(f"WITH {D.DIFF_LINES} SELECT id, pos, path, substr(text, 2) AS line FROM c WHERE {_COUNTED} AND NOT starts_with(text, '--- ')")
 def diff_changed_text(s, d):
-    return logs.changed_text(_diffs(s), "id", "text")
+    return logs.changed_text(D.diff_texts(s, d), "id", "text")
 
 
-@query(f"WITH {_DIFF_LINES} SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos)::INT AS rank, path || ' ' || text AS hunk FROM c WHERE starts_with(text, '@@') AND path IS NOT NULL")
+@query(f"WITH {D.DIFF_LINES} SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos)::INT AS rank, path || ' ' || text AS hunk FROM c WHERE starts_with(text, '@@') AND path IS NOT NULL")
 def diff_hunks(s, d):
-    return logs.hunks(_diffs(s), "id", "text")
+    return logs.hunks(D.diff_texts(s, d), "id", "text")
 
 
-@query(f"""WITH {_DIFF_LINES}, a AS (SELECT id, min(pos) AS a FROM l WHERE starts_with(text, 'diff --git ') AND ends_with(text, ' b/y.py') GROUP BY 1), z AS (SELECT l.id, min(pos) AS z FROM l JOIN a ON a.id = l.id AND pos > a WHERE starts_with(text, 'diff --git ') GROUP BY 1)
-SELECT d.id, coalesce((SELECT string_agg(text, chr(10) ORDER BY pos) FROM l LEFT JOIN z ON z.id = l.id JOIN a ON a.id = l.id WHERE l.id = d.id AND pos > a AND pos < coalesce(z, n) AND pos <= a + 20 AND NOT (pos = n - 1 AND text = '')), '') AS section FROM d""")
+@query(f"""WITH {D.DIFF_LINES}, w AS (SELECT doc_id AS id, concat('docs/', coalesce(lang, 'xx'), '.md') AS path FROM documents), a AS (SELECT l.id, min(pos) AS a FROM l JOIN w ON w.id = l.id WHERE starts_with(text, 'diff --git ') AND ends_with(text, ' b/' || w.path) GROUP BY 1),
+z AS (SELECT l.id, min(pos) AS z FROM l JOIN a ON a.id = l.id AND pos > a WHERE starts_with(text, 'diff --git ') GROUP BY 1),
+t AS (SELECT l.id, string_agg(text, chr(10) ORDER BY pos) AS section FROM l LEFT JOIN z ON z.id = l.id JOIN a ON a.id = l.id WHERE pos > a AND pos < coalesce(z, n) AND pos <= a + 20 AND NOT (pos = n - 1 AND text = '') GROUP BY 1) SELECT w.id, coalesce(section, '') AS section FROM w LEFT JOIN t ON t.id = w.id""")
 def diff_section(s, d):
-    return logs.diff_section(_diffs(s).withColumn("path", F.lit("y.py")), "id", "text", "path")
+    return logs.diff_section(D.diff_texts(s, d), "id", "text", "path")
 
 
 _YES = lambda c: F.col(c) == "y"

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as C
 from faultline.functions import patterns as P
-from faultline.operators import logs, references, rules, scoring, streaks
+from faultline.operators import localize, logs, references, rules, scoring, streaks
 from faultline.plans import cases, changes, evaluations, flows  # noqa: F401  they register their queries
+from faultline.plans import derived as D
 from faultline.plans import inline as I
 from faultline.plans.registry import QUERIES, SQL, query, read  # noqa: F401
 
@@ -106,9 +107,9 @@ def visible_projection(s, d):
     return read(s, d, "documents").select("doc_id", "lang", "source", "n_chars")
 
 
-@query(f"WITH {LINES} SELECT id, pos, ts, text FROM (SELECT id, pos, last_value(own IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS ts, text FROM (SELECT id, pos, CASE WHEN regexp_matches(text, '{P.LOG_TIME}') THEN strptime(regexp_extract(text, '{P.LOG_TIME}', 1), '%Y-%m-%dT%H:%M:%S') END AS own, regexp_replace(CASE WHEN regexp_matches(text, '{P.LOG_TIME}') THEN regexp_extract(text, '{P.LOG_TIME}', 2) ELSE text END, '{P.TERMINAL}', '', 'g') AS text FROM lines))")
+@query(f"WITH {D.BODY} SELECT id, pos, ts, text FROM body")
 def log_parse(s, d):
-    return logs.parse(log_lines(s), "id")
+    return D.log_bodies(s, d)
 
 
 @query(f"WITH {EVERY} SELECT id, string_agg(name, ',' ORDER BY p) AS tests FROM (SELECT id, regexp_extract(line, '{P.FAILING_TEST}', 1) AS name, min(pos) AS p FROM told WHERE regexp_matches(line, '{P.FAILING_TEST}') GROUP BY ALL) GROUP BY 1")
@@ -121,25 +122,34 @@ def error_lines_distinct(s, d):
     return logs.error_lines(every_line(s, d), "id")
 
 
-@query("SELECT * FROM (VALUES (1, 'AssertionError', 'assert 1 == 2'), (3, 'ValueError', 'bad value'), (4, 'KeyError', '''k''')) AS v(id, exception, message)")
-def error_signature(s, d):
-    return logs.error_signature(log_bodies(s), "id")
+_SIGNATURES = f"""sg AS (SELECT id, pos, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS line FROM body),
+sf AS (SELECT id, pos, line, CASE WHEN regexp_matches(line, '{P.ASSERTION}') THEN 'AssertionError' WHEN regexp_matches(line, '{P.EXCEPTION}') THEN regexp_extract(line, '{P.EXCEPTION}', 1) END AS exception,
+  substr(CASE WHEN regexp_matches(line, '{P.ASSERTION}') THEN regexp_extract(line, '{P.ASSERTION}', 1) ELSE regexp_extract(line, '{P.EXCEPTION}', 2) END, 1, 300) AS message FROM sg),
+signatures AS (SELECT id, exception, message FROM sf WHERE exception IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN starts_with(line, 'E ') OR regexp_matches(line, '{P.ASSERTION}') THEN 0 ELSE 1 END, pos) = 1)"""
 
 
-@query("""SELECT * FROM (VALUES (1, 0, '##[group]Run pytest', 'group_marker'), (1, 1, 'collected 3 items', 'group_marker'), (1, 2, 'FAILED tests/test_a.py::test_one - assert 1 == 2', 'group_marker'),
-(1, 3, 'E       assert 1 == 2', 'group_marker'), (1, 4, '##[error]Process completed with exit code 1.', 'group_marker'),
-(2, 1, 'src/app.py:3:1: F401 unused import', 'timestamp'), (2, 2, 'Found 1 error.', 'timestamp'), (2, 3, '##[error]Process completed with exit code 1.', 'timestamp'),
-(3, 4, 'ModuleNotFoundError: No module named ''x''', 'tail'), (3, 5, 'red text', 'tail'),
-(4, 1, 'ERROR: No matching distribution found for zzz', 'timestamp'), (4, 2, 'ERROR tests/test_b.py', 'timestamp'), (4, 3, 'E   KeyError: ''k''', 'timestamp')) AS v(id, pos, text, method)""")
+@query(f"WITH {D.BODY}, {_SIGNATURES} SELECT id, exception, message FROM signatures")
+def error_signature(s, d):
+    return logs.error_signature(D.log_bodies(s, d), "id")
+
+
+@query(f"""WITH {D.BODY}, {D.STEPS}, j AS (SELECT body.*, step_name, coalesce(ts >= a AND ts < b + INTERVAL 1 SECOND, false) AS inside FROM body JOIN steps ON steps.id = body.id),
+k AS (SELECT *, min(pos) FILTER (inside) OVER w AS lo, max(pos) FILTER (inside) OVER w AS hi, max(pos) OVER w AS z FROM j WINDOW w AS (PARTITION BY id)),
+m AS (SELECT *, max(ts) FILTER (pos = lo) OVER w AS first_ts, min(pos) FILTER (pos BETWEEN lo AND hi AND step_name <> '' AND starts_with(text, '##[group]' || step_name)) OVER w AS mark FROM k WINDOW w AS (PARTITION BY id)),
+o AS (SELECT *, min(pos) FILTER (pos BETWEEN lo AND hi AND ts IS DISTINCT FROM first_ts) OVER w AS other, min(pos) FILTER (pos BETWEEN lo AND hi AND starts_with(text, '##[group]Run ') AND ts IS NOT DISTINCT FROM first_ts) OVER w AS run FROM m WINDOW w AS (PARTITION BY id)),
+q AS (SELECT id, pos, text, CASE WHEN lo IS NULL THEN 'tail' WHEN mark IS NOT NULL THEN 'group_marker' ELSE 'timestamp' END AS method,
+  CASE WHEN lo IS NULL THEN z - 3 ELSE coalesce(mark, CASE WHEN other IS NULL OR run < other THEN run END, lo) END AS low, CASE WHEN lo IS NULL THEN z ELSE hi END AS high FROM o),
+e AS (SELECT *, CASE WHEN method = 'tail' THEN high ELSE coalesce(least(min(pos) FILTER (starts_with(text, '##[error]Process completed with exit code')) OVER w, min(pos - 1) FILTER (pos > low AND starts_with(text, 'Post job cleanup.')) OVER w), high) END AS stop
+  FROM q WHERE pos BETWEEN low AND high WINDOW w AS (PARTITION BY id))
+SELECT id, pos, text, method FROM e WHERE pos <= stop""")
 def step_slice(s, d):
-    steps = I.table(s, [(k, *v) for k, v in I.STEPS.items()], "id int, step_name string, a string, b string")
-    steps = steps.select("id", "step_name", F.to_timestamp("a").alias("started_at"), F.to_timestamp("b").alias("completed_at"))
-    return logs.step_slice(logs.parse(log_lines(s), "id"), steps, "id", tail_lines=2)
+    return logs.step_slice(D.log_bodies(s, d), D.steps(s, d), "id", tail_lines=4)
 
 
-@query(f"WITH names AS (SELECT * FROM {I.values([(k, *n) for k, n in enumerate(I.NAMES)], 'id, step, job')}) SELECT id, coalesce(" + ", ".join(f"CASE {' '.join(f'''WHEN regexp_matches(lower({c}), '{p}') THEN '{n}' ''' for n, p in P.STAGES)} END" for c in ("step", "job")) + ", 'other') AS stage FROM names")
+@query(f"WITH names AS (SELECT doc_id AS id, {D.STEP} AS step, {D.JOB} AS job FROM documents) SELECT id, coalesce(" + ", ".join(f"CASE {' '.join(f'''WHEN regexp_matches(lower({c}), '{p}') THEN '{n}' ''' for n, p in P.STAGES)} END" for c in ("step", "job")) + ", 'other') AS stage FROM names")
 def infer_stage(s, d):
-    return I.table(s, [(k, *n) for k, n in enumerate(I.NAMES)], "id int, step string, job string").select("id", C.stage(F.col("step"), F.col("job")).alias("stage"))
+    names = read(s, d, "documents").select(F.col("doc_id").alias("id"), F.expr(D.STEP).alias("step"), F.expr(D.JOB).alias("job"))
+    return names.select("id", C.stage(F.col("step"), F.col("job")).alias("stage"))
 
 
 _HINT = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(step, '') || ' ' || job, '{p}') THEN '{c}'" for c, p in P.STEP_HINTS) + " END"
@@ -167,27 +177,16 @@ def log_signal(s, d):
 
 
 _WHAT = I.values(P.WHAT_FAILED.items(), "category, words")
-_TOP = [(-1, "src/app.py", "log_reference,failing_test_file"), (-9, "src/b.py", "log_reference"), (-7, "src/c.py", "changed_before_failure")]
-
-
-@query(f"""WITH c AS ({SQL["baseline_classify"]}) SELECT c.id, c.category AS failure_type, round(CASE WHEN path IS NULL THEN confidence * 0.8 ELSE confidence END, 3) AS confidence,
- concat_ws(' ', words, '(' || substr(line, 1, 200) || ')', CASE WHEN c.category <> 'POLICY_CHECK_FAILURE' THEN 'Most suspicious file: ' || path || ' [' || replace(reasons, ',', ', ') || '].' END) AS root_cause
-FROM c JOIN {_WHAT.replace('AS v(', 'AS w(')} ON w.category = c.category LEFT JOIN {I.values(_TOP, 'id, path, reasons').replace('AS v(', 'AS t(')} ON t.id = c.id""")
-def baseline_diagnosis(s, d):
-    top = I.table(s, _TOP, "id bigint, path string, reasons string")
-    return rules.diagnose(baseline_classify(s, d), top).select("id", "failure_type", "confidence", "root_cause")
-
-
 _KINDS = f"""CASE WHEN path LIKE '.github/%' THEN 'ci' WHEN regexp_matches(path, '{P.DOC_PATH}') THEN 'doc'
 WHEN regexp_matches(path, '{P.DEPENDENCY_FILE}') OR (regexp_matches(path, '{P.MAYBE_DEPENDENCY_FILE}') AND regexp_matches(coalesce(line, ''), '{P.VERSION}')) THEN 'dep'
 WHEN regexp_matches(path, '{P.DOCKER_FILE}') THEN 'docker' WHEN regexp_matches(path, '{P.CONFIG_FILE}') THEN 'config' WHEN regexp_matches(path, '{P.TEST_FILE}') THEN 'test' ELSE 'source' END"""
-_CHANGES = list(product(I.PATHS, [None, "numpy>=2", "x = 1"]))
+_NAMED = {"path": f"CASE WHEN event_id % 3 = 0 THEN concat('pkg', user_id, '/', {D.pick(0, *I.PATHS)}) ELSE {D.pick(0, *I.PATHS)} END", "line": D.pick(1, None, "numpy>=2", "x = 1")}
 
 
-@query(f"SELECT path, line, {_KINDS} AS kind FROM {I.values(_CHANGES, 'path, line')}")
+@query(f"SELECT id, path, line, {_KINDS} AS kind FROM (SELECT event_id AS id, {D.columns(_NAMED)} FROM events)")
 def file_kind(s, d):
-    rows = I.table(s, _CHANGES, "path string, line string")
-    return rows.select("path", "line", C.file_kind(F.col("path"), F.when(F.col("line").isNotNull(), F.array("line"))).alias("kind"))
+    rows = D.events_with(s, d, _NAMED)
+    return rows.select("id", "path", "line", C.file_kind(F.col("path"), F.when(F.col("line").isNotNull(), F.array("line"))).alias("kind"))
 
 
 @query(f"SELECT page_id, regexp_matches(regexp_extract(url, '^[a-z]+://[^/]+/?(.*)$', 1), '{P.DOC_PATH}') AS is_doc FROM pages")
@@ -195,37 +194,47 @@ def doc_path_filter(s, d):
     return read(s, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]+/?(.*)$", 1).rlike(P.DOC_PATH).alias("is_doc"))
 
 
-@query(f"""WITH p AS (SELECT raw, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS t FROM {I.values([(p,) for p in I.RAW_PATHS], 'raw')}),
-q AS (SELECT raw, t, regexp_replace(replace(t, '\\', '/'), '^/+|/+$', '', 'g') AS path FROM p),
-r AS (SELECT raw, path, CASE WHEN path = '' THEN 'empty' WHEN length(path) > 300 THEN 'too long' WHEN t LIKE '/%' OR regexp_matches(t, '^[A-Za-z]:') THEN 'not relative'
+_PARTS = D.pick(2, "src/app.py", " /etc/passwd", "a/../b", "C:/x/y", "", "a//b", ".git/config", "./x", "a/b/", "docs/x y.md ", "..a/b", "a/.github/b")
+_RAW = {"raw": f"CASE event_id % 7 WHEN 0 THEN replace({_PARTS}, '/', chr(92)) WHEN 1 THEN concat(user_id, '/', {_PARTS}) WHEN 2 THEN concat(repeat('x', CAST(285 + event_id % 23 AS INT)), {_PARTS}) ELSE {_PARTS} END"}
+
+
+@query(f"""WITH p AS (SELECT id, raw, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS t FROM (SELECT event_id AS id, {D.columns(_RAW)} FROM events)),
+q AS (SELECT id, raw, t, regexp_replace(replace(t, '\\', '/'), '^/+|/+$', '', 'g') AS path FROM p),
+r AS (SELECT id, raw, path, CASE WHEN path = '' THEN 'empty' WHEN length(path) > 300 THEN 'too long' WHEN t LIKE '/%' OR regexp_matches(t, '^[A-Za-z]:') THEN 'not relative'
   WHEN list_has_any(string_split(path, '/'), ['..', '.git']) THEN 'leaves the root' WHEN list_has_any(string_split(path, '/'), ['', '.']) THEN 'empty segment' END AS problem FROM q)
-SELECT raw, CASE WHEN problem IS NULL THEN path END AS path, problem FROM r""")
+SELECT id, raw, CASE WHEN problem IS NULL THEN path END AS path, problem FROM r""")
 def safe_path(s, d):
     path, problem = C.safe_path(F.col("raw"))
-    return I.table(s, [(p,) for p in I.RAW_PATHS], "raw string").select("raw", path.alias("path"), problem.alias("problem"))
+    return D.events_with(s, d, _RAW).select("id", "raw", path.alias("path"), problem.alias("problem"))
 
 
 _LOG_CATS, _FIX_CATS = ["TEST_FAILURE", "TYPE_ERROR", "UNKNOWN", None], ["TYPE_ERROR", "FLAKY", None]
-_SIGNALS = [(k, *r) for k, r in enumerate(product(_LOG_CATS, ["x", "stage_fallback:test", "no_rule_matched"], _FIX_CATS, ["fix_a", "fix_mixed_change_kinds"], ["TEST_FAILURE,UNKNOWN", "LINT_FAILURE"], ["y", "n"], ["y", "n"]))]
+_SIGNALS = {
+    "log_category": D.pick(0, *_LOG_CATS), "log_rule": D.pick(1, "x", "stage_fallback:test", "no_rule_matched", None), "fix_category": D.pick(2, *_FIX_CATS), "fix_rule": D.pick(3, "fix_a", "fix_mixed_change_kinds", "fix_b", "fix_c"),
+    "comp": D.pick(4, "TEST_FAILURE,UNKNOWN", "LINT_FAILURE"), "o": D.pick(5, "y", "n"), "dc": D.pick(6, "y", "n"),
+}
 
 
 @query(f"""WITH t AS (SELECT id, coalesce(log_category, 'UNKNOWN') AS log, coalesce(log_rule LIKE 'stage_fallback%' OR log_rule = 'no_rule_matched', false) AS weak, fix_category AS fix, fix_rule,
-  list_contains(string_split(comp, ','), coalesce(log_category, 'UNKNOWN')) AS fits, o = 'y' AS overrides, dc = 'y' AS decisive FROM {I.values(_SIGNALS, 'id, log_category, log_rule, fix_category, fix_rule, comp, o, dc')})
+  list_contains(string_split(comp, ','), coalesce(log_category, 'UNKNOWN')) AS fits, o = 'y' AS overrides, dc = 'y' AS decisive FROM (SELECT event_id AS id, {D.columns(_SIGNALS)} FROM events))
 SELECT id,
  CASE WHEN fix_rule = 'fix_mixed_change_kinds' THEN log WHEN log = fix THEN log WHEN fits THEN CASE WHEN overrides THEN coalesce(fix, log) ELSE log END WHEN log <> 'UNKNOWN' THEN log ELSE coalesce(fix, 'UNKNOWN') END AS category,
  CASE WHEN fix_rule = 'fix_mixed_change_kinds' THEN 'low' WHEN log = fix THEN CASE WHEN weak THEN 'medium' ELSE 'high' END WHEN fits AND overrides THEN CASE WHEN decisive THEN 'high' ELSE 'medium' END WHEN fits AND NOT weak THEN 'medium' ELSE 'low' END AS confidence,
  CASE WHEN fix_rule = 'fix_mixed_change_kinds' THEN 'needs_review' WHEN log = fix OR (fits AND (overrides OR NOT weak)) THEN 'auto_verified' ELSE 'needs_review' END AS status,
  CASE WHEN fix_rule = 'fix_mixed_change_kinds' THEN 'fix_too_mixed_to_verify' WHEN log = fix THEN 'signals_agree' WHEN fits AND overrides THEN 'fix_refines_log' WHEN fits AND weak THEN 'weak_log_signal' WHEN fits THEN 'fix_consistent_with_log' ELSE 'signals_conflict' END AS rule FROM t""")
 def label_combine(s, d):
-    rows = I.table(s, _SIGNALS, "id int, log_category string, log_rule string, fix_category string, fix_rule string, comp string, o string, dc string")
+    rows = D.events_with(s, d, _SIGNALS)
     rows = rows.select("*", F.split("comp", ",").alias("compatible"), (F.col("o") == "y").alias("overrides"), (F.col("dc") == "y").alias("decisive"))
     return rules.combine(rows).select("id", "category", "confidence", "status", "rule")
 
 
-_FIXES = [(k, *r) for k, r in enumerate(product([True, False], ["ahead", "identical", "diverged", None], [0, 1, 3, 5, 9], [0, 2], [True, False, None], [True, False], [True, False], [True, False]))]
+_FIXES = {
+    "g": D.pick(0, "y", "y", "y", "n"), "relation": D.pick(1, "ahead", "ahead", "amend", "identical", "diverged", None), "n": D.pick(2, 0, 1, 1, 2, 3, 5, 8, 9), "files": D.pick(3, 0, 2, 3, 4), "job": D.pick(4, "y", "n", None),
+    "docs": D.pick(5, "y", "n", "n"), "ov": D.pick(6, "y", "n"), "reverts": D.pick(7, "y", "n", "n"),
+}
 
 
-@query(f"""WITH t AS (SELECT * FROM {I.values([tuple({True: 'y', False: 'n'}.get(x, x) if isinstance(x, bool) else x for x in r) for r in _FIXES], 'id, g, relation, n, files, job, docs, ov, reverts')}),
+@query(f"""WITH t AS (SELECT * FROM (SELECT event_id AS id, {D.columns(_FIXES)} FROM events)),
 u AS (SELECT *, least(2, CASE WHEN reverts = 'y' THEN least(1, l) ELSE l END) AS level FROM (SELECT *, CASE WHEN docs = 'y' THEN 2 ELSE (CASE WHEN n = 1 THEN 0 WHEN n <= 3 THEN 1 ELSE 2 END) + (CASE WHEN job = 'y' THEN 0 ELSE 1 END) END AS l FROM t))
 SELECT id, CASE WHEN g = 'n' THEN 'no_green_found' WHEN relation = 'identical' THEN 'flaky_rerun' WHEN coalesce(relation, 'None') NOT IN ('ahead', 'amend') OR n = 0 THEN 'ambiguous' WHEN files = 0 THEN 'flaky_rerun' WHEN n > 8 OR level = 2 THEN 'ambiguous' ELSE 'matched' END AS status,
  CASE WHEN g = 'n' OR relation = 'identical' THEN NULL WHEN coalesce(relation, 'None') NOT IN ('ahead', 'amend') OR n = 0 THEN 'low' WHEN files = 0 THEN NULL WHEN n > 8 THEN 'low' ELSE ['high', 'medium', 'low'][level + 1] END AS confidence,
@@ -233,7 +242,8 @@ SELECT id, CASE WHEN g = 'n' THEN 'no_green_found' WHEN relation = 'identical' T
   ELSE 'relation_' || relation || ',window_commits_' || n || CASE WHEN n = 0 THEN ',empty_fix_window' WHEN files = 0 THEN ',fix_window_changes_no_files' WHEN n > 8 THEN ',fix_window_too_large'
   ELSE CASE WHEN job IS NULL THEN ',failed_job_absent_in_green_run' WHEN job = 'n' THEN ',failed_job_not_successful_in_green_run' ELSE '' END || CASE WHEN docs = 'y' THEN ',fix_touches_only_docs' ELSE '' END || CASE WHEN ov = 'y' THEN ',fix_overlaps_log_referenced_files' ELSE '' END || CASE WHEN reverts = 'y' THEN ',revert_of_breaking_commit' ELSE '' END END END AS reasons FROM u""")
 def score_fix(s, d):
-    rows = I.table(s, _FIXES, "id int, has_green boolean, relation string, n_commits int, n_files int, job_passed boolean, docs_only boolean, overlaps boolean, reverts boolean")
+    flag = lambda c: F.col(c) == "y"
+    rows = D.events_with(s, d, _FIXES).select("id", flag("g").alias("has_green"), "relation", F.col("n").alias("n_commits"), F.col("files").alias("n_files"), flag("job").alias("job_passed"), flag("docs").alias("docs_only"), flag("ov").alias("overlaps"), flag("reverts").alias("reverts"))
     return rules.score_fix(rows.withColumn("max_commits", F.lit(8))).select("id", "status", "confidence", "reasons")
 
 
@@ -335,32 +345,126 @@ def excerpt_head_tail(s, d):
     return logs.excerpt(read(s, d, "documents"), "doc_id", "text", 500, 2)
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'tests/test_a.py'), (2, 0, 'src/app.py'), (3, 0, 'src/app.py'), (6, 0, 'tests/test_c.py')) AS v(id, rank, path)")
+# RE2 doesn't look behind: the character before a path is matched in its place
+_PATH_LINE = P.PATH_LINE.replace("(?<![\\w/.\\\\-])", "(?:^|[^\\w/.\\\\-])")
+_REFERENCES = f"""rf AS (SELECT id, pos, list_concat(regexp_extract_all(text, '{P.TRACEBACK_FILE}', 1), regexp_extract_all(text, '{_PATH_LINE}', 1)) AS ps FROM body WHERE contains(text, '.py')),
+ru AS (SELECT id, pos, unnest(range(len(ps))) AS k, unnest(ps) AS path FROM rf), refs AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY min((pos, k))) - 1)::INT AS rank, path FROM ru GROUP BY id, path)"""
+
+
+@query(f"WITH {D.BODY}, {_REFERENCES} SELECT id, rank, path FROM refs")
 def file_references(s, d):
-    return references.file_references(log_bodies(s), "id")
+    return references.file_references(D.log_bodies(s, d), "id")
 
 
 _DIRS = "'" + "', '".join(P.NON_REPO_DIRS) + "'"
 
 
-@query(f"""WITH f AS (SELECT * FROM {I.values([(p,) for p in I.FILES], 'file')}),
-c AS (SELECT id, regexp_replace(regexp_replace(replace(raw, '\\', '/'), '{P.WORKSPACE}', ''), '^\\./', '') AS path FROM {I.values(enumerate(I.NAMED_PATHS), 'id, raw')}),
+# files of a tree, and how logs spell them
+_TREE = "concat('src/', coalesce(source, 'none'), '/', coalesce(lang, 'xx'), '/m', doc_id % 40, '.py')"
+_SPELT = f"""CASE doc_id % 11 WHEN 0 THEN {_TREE} WHEN 1 THEN concat('./', {_TREE}) WHEN 2 THEN concat('/home/runner/work/r/r/', {_TREE}) WHEN 3 THEN concat(coalesce(lang, 'xx'), '/m', doc_id % 40, '.py')
+ WHEN 4 THEN replace(concat(coalesce(source, 'none'), '/', coalesce(lang, 'xx'), '/m', doc_id % 40, '.py'), '/', chr(92)) WHEN 5 THEN concat('/x/site-packages/', coalesce(source, 'none'), '/', coalesce(lang, 'xx'), '/m', doc_id % 40, '.py')
+ WHEN 6 THEN concat('/usr/lib/', {_TREE}) WHEN 7 THEN concat('.venv/', {_TREE}) WHEN 8 THEN concat('m', doc_id % 40, '.py') WHEN 9 THEN concat('x/dist-packages/', {_TREE}) ELSE concat('D:/a/r/r/', {_TREE}) END"""
+
+
+@query(f"""WITH f AS (SELECT DISTINCT {_TREE} AS file FROM documents),
+c AS (SELECT id, regexp_replace(regexp_replace(replace(raw, '\\', '/'), '{P.WORKSPACE}', ''), '^\\./', '') AS path FROM (SELECT doc_id AS id, {_SPELT} AS raw FROM documents)),
 t AS (SELECT id, path, CASE WHEN contains(path, 'site-packages/') THEN regexp_extract(path, '^.*?site-packages/(.*)$', 1) WHEN contains(path, 'dist-packages/') THEN regexp_extract(path, '^.*?dist-packages/(.*)$', 1)
   WHEN NOT starts_with(path, '/') AND NOT list_has_any(string_split(path, '/'), [{_DIRS}]) THEN path END AS tail FROM c),
 r AS (SELECT id, coalesce((SELECT file FROM f WHERE file = path), (SELECT file FROM f WHERE file = tail), CASE WHEN contains(tail, '/') AND (SELECT count(*) FROM f WHERE ends_with(file, '/' || tail)) = 1 THEN (SELECT min(file) FROM f WHERE ends_with(file, '/' || tail)) END) AS path FROM t)
 SELECT id, path FROM r WHERE path IS NOT NULL""")
 def path_suffix_resolve(s, d):
-    files = I.table(s, [(p,) for p in I.FILES], "path string")
-    return references.resolve_paths(I.table(s, enumerate(I.NAMED_PATHS), "id int, raw string"), files, "id")
+    docs = read(s, d, "documents")
+    return references.resolve_paths(docs.select(F.col("doc_id").alias("id"), F.expr(_SPELT).alias("raw")), docs.select(F.expr(_TREE).alias("path")).distinct(), "id")
 
 
-@query(f"""WITH w AS (SELECT id, pos, sha, unnest(regexp_extract_all(message, '{P.REVERT}', 1)) AS prefix FROM {I.values(I.WINDOWS, 'id, pos, sha, message')})
-SELECT w.id, arg_min(sha, pos) AS sha FROM w JOIN {I.values(I.BROKEN, 'id, broken').replace('AS v(', 'AS b(')} ON w.id = b.id AND starts_with(broken, prefix) GROUP BY 1""")
+# a user's events are commits, by md5; some say that they revert the one before, or the one before that, by a prefix
+_BEFORE = "md5(CAST(lag(event_id, {0}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS STRING))"
+_COMMITS = {
+    "id": "user_id", "event_id": "event_id", "event_type": "event_type", "sha": "md5(CAST(event_id AS STRING))", "pos": "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)",
+    "last": f"coalesce({_BEFORE.format(1)}, '')", "older": f"coalesce({_BEFORE.format(2)}, '')",
+}
+_MESSAGE = """CASE event_id % 6 WHEN 0 THEN concat('Revert', chr(10), chr(10), 'This reverts commit ', substr(last, 1, CAST(5 + event_id % 28 AS INT)), '.') WHEN 1 THEN concat('This reverts commit ', older, ' and This reverts commit ', last) WHEN 2 THEN concat('see ', last) ELSE 'tidy' END"""
+
+
+@query(f"""WITH c AS (SELECT {D.columns(_COMMITS)} FROM events), w AS (SELECT id, pos, sha, unnest(regexp_extract_all({_MESSAGE}, '{P.REVERT}', 1)) AS prefix FROM c), b AS (SELECT id, sha AS broken FROM c WHERE event_type = 'error')
+SELECT w.id, arg_min(sha, pos) AS sha FROM w JOIN b ON w.id = b.id AND starts_with(broken, prefix) GROUP BY 1""")
 def revert_match(s, d):
-    return references.reverts(I.table(s, I.WINDOWS, "id int, pos int, sha string, message string"), I.table(s, I.BROKEN, "id int, broken string"), "id")
+    commits = read(s, d, "events").selectExpr(*[f"{e} AS {n}" for n, e in _COMMITS.items()])
+    return references.reverts(commits.select("id", "pos", "sha", F.expr(_MESSAGE).alias("message")), commits.where("event_type = 'error'").select("id", F.col("sha").alias("broken")), "id")
+
+
+_QUOTED = "CASE doc_id % 4 WHEN 0 THEN 'said nowhere at all' WHEN 1 THEN substr(text, 1, 25) WHEN 2 THEN substr(text, 40, 60) ELSE concat('Run ', coalesce(source, 'none')) END"
 
 
-@query(f"""WITH h AS (SELECT q.id, contains(text, quote) AS held FROM {I.values(I.QUOTES, 'id, quote').replace('AS v(', 'AS q(')} JOIN {I.LOG_VALUES} ON v.id = q.id)
+@query(f"""WITH q AS (SELECT doc_id AS id, {_QUOTED} AS quote, {D.LOG} AS log FROM documents UNION ALL SELECT doc_id, 'exit code 1.', {D.LOG} FROM documents), h AS (SELECT id, contains(log, quote) AS held FROM q)
 SELECT count(*) AS items, count(*) FILTER (held) AS grounded, round(count(*) FILTER (held) / count(*), 6) AS rate, count(DISTINCT id) FILTER (NOT held) AS ungrounded_cases FROM h""")
 def grounding_summary(s, d):
-    return references.grounding(I.table(s, I.QUOTES, "id int, quote string"), I.table(s, I.LOGS.items(), "id int, text string"), "id")
+    docs = read(s, d, "documents")
+    quotes = docs.select(F.col("doc_id").alias("id"), F.expr(_QUOTED).alias("quote")).unionAll(docs.select("doc_id", F.lit("exit code 1.")))
+    return references.grounding(quotes, D.log_texts(s, d), "id")
+
+
+# a case of every document: its log, its diff, its step; what the rules search, and what they make of it
+_CASE = {"step": D.STEP, "job": D.JOB, "tests": "CASE WHEN doc_id % 9 = 0 THEN 'y' ELSE 'n' END"}
+_FOUND = f"""{D.BODY}, {_SIGNATURES}, {_REFERENCES}, {D.DIFF_LINES},
+cs AS (SELECT doc_id AS id, {D.columns(_CASE)} FROM documents),
+er AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY p) - 100 AS pos, substr(line, 1, 500) AS line FROM (SELECT id, line, min(pos) AS p FROM sg WHERE regexp_matches(line, '{P.ERROR_LINE}') GROUP BY ALL) QUALIFY pos <= -50),
+se AS (SELECT id, pos, line FROM er UNION ALL SELECT id, pos, line FROM sg),
+mt AS (SELECT id, rule, category, confidence, line FROM se JOIN {I.CLASSIFY_VALUES} ON line <> '' AND regexp_matches(line, pattern) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, pos) = 1),
+hn AS (SELECT *, {_HINT} AS hint FROM cs),
+cl AS (SELECT hn.id, step, job, coalesce(rule, CASE WHEN tests = 'y' THEN 'failing_tests' WHEN hint IS NOT NULL THEN 'step_name_hint' ELSE 'no_rule' END) AS rule,
+  coalesce(category, CASE WHEN tests = 'y' THEN 'TEST_FAILURE' ELSE coalesce(hint, 'UNKNOWN') END) AS category,
+  coalesce(confidence, CASE WHEN tests = 'y' THEN 0.6 WHEN hint IS NOT NULL THEN 0.3 ELSE 0.1 END)::DOUBLE AS confidence, line FROM hn LEFT JOIN mt ON hn.id = mt.id),
+lo AS (SELECT id, path, row_number() OVER (PARTITION BY id ORDER BY rank, path) - 1 AS pos FROM refs WHERE NOT regexp_matches(path, '{P.DOC_PATH}')),
+ch AS (SELECT id, path, min(pos) AS pos, count(*) AS n FROM c WHERE text[1] IN ('+', '-') AND NOT starts_with(text, '+++ ') AND NOT starts_with(text, '---') AND path IS NOT NULL AND NOT regexp_matches(path, '{P.DOC_PATH}') GROUP BY ALL),
+te AS (SELECT DISTINCT id, string_split(regexp_extract(line, '{P.FAILING_TEST}', 1), '::')[1] AS path FROM sg WHERE regexp_matches(line, '{P.FAILING_TEST}')),
+ev AS (SELECT id, path, 0 AS src, pos, {P.LOG_POINTS} - {P.LOG_DECAY} * least(pos, 10) AS pts FROM lo UNION ALL SELECT id, path, 1, pos, {P.CHANGE_POINTS} + {P.SIZE_POINTS} * least(n, 50) FROM ch UNION ALL SELECT id, path, 2, 0, {P.TEST_POINTS} FROM te),
+mg AS (SELECT id, path, sum(pts) AS pts, min((src, pos)) AS seen, string_agg(['{P.SUSPECT_REASONS[0]}', '{P.SUSPECT_REASONS[1]}', '{P.SUSPECT_REASONS[2]}'][src + 1], ',' ORDER BY src) AS reasons, min(src) AS strong FROM ev GROUP BY 1, 2),
+tp AS (SELECT id, path, reasons FROM mg WHERE strong < 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY pts DESC, seen, path) = 1)"""
+
+
+def _searched(s, d):
+    """Lines of all logs in the order of the search, the lines themselves, and the cases."""
+    lines = D.log_bodies(s, d).select("id", "pos", "text")
+    cases = read(s, d, "documents").select(F.col("doc_id").alias("id"), F.expr(_CASE["step"]).alias("step"), F.expr(_CASE["job"]).alias("job"), (F.expr(_CASE["tests"]) == "y").alias("tests"))
+    return rules.searched(logs.error_lines(lines, "id"), lines), lines, cases
+
+
+def _top_suspects(s, d, lines):
+    named = references.file_references(lines, "id").select("id", F.col("rank").alias("pos"), "path")
+    changed = logs.changed_lines(D.diff_texts(s, d), "id", "text").select("id", "pos", "path", F.col("changed").alias("lines"))
+    tests = logs.failing_tests(lines, "id").select("id", F.explode(F.split("tests", ",")).alias("path"))
+    return localize.suspects(named, changed, tests, "id", top=1).select("id", "path", "reasons")
+
+
+_WHAT = I.values(P.WHAT_FAILED.items(), "category, words").replace("AS v(", "AS w(")
+
+
+@query(f"""WITH {_FOUND} SELECT cl.id, cl.category AS failure_type, round(CASE WHEN t.path IS NULL THEN confidence * 0.8 ELSE confidence END, 3) AS confidence,
+ concat_ws(' ', words, CASE WHEN exception IS NOT NULL THEN '(' || exception || ': ' || substr(message, 1, 200) || ')' ELSE '(' || substr(line, 1, 200) || ')' END, CASE WHEN cl.category <> 'POLICY_CHECK_FAILURE' THEN 'Most suspicious file: ' || t.path || ' [' || replace(reasons, ',', ', ') || '].' END,
+  CASE WHEN cl.category <> 'POLICY_CHECK_FAILURE' AND contains(reasons, '{P.SUSPECT_REASONS[1]}') THEN 'It changed shortly before, in ' || chr(39) || 'commit of ' || t.path || chr(39) || '.' END) AS root_cause
+FROM cl JOIN {_WHAT} ON w.category = cl.category LEFT JOIN tp t ON t.id = cl.id LEFT JOIN signatures g ON g.id = cl.id""")
+def baseline_diagnosis(s, d):
+    """Every document's case: what failed, the root error, the top suspect of its log, its diff and its tests."""
+    order, lines, cases = _searched(s, d)
+    changes = logs.changed_lines(D.diff_texts(s, d), "id", "text").select("id", "path", F.concat(F.lit("commit of "), "path").alias("subject"))
+    told = rules.diagnose(rules.classify(order, cases), _top_suspects(s, d, lines), "id", logs.error_signature(lines, "id"), changes)
+    return told.select("id", "failure_type", "confidence", "root_cause")
+
+
+@query(f"""WITH {_FOUND}, sh AS (SELECT l.id, min(pos) AS a FROM l JOIN tp ON tp.id = l.id WHERE starts_with(text, 'diff --git ') AND ends_with(text, ' b/' || tp.path) GROUP BY 1),
+sz AS (SELECT l.id, min(pos) AS z FROM l JOIN sh ON sh.id = l.id AND pos > a WHERE starts_with(text, 'diff --git ') GROUP BY 1),
+sn AS (SELECT l.id, string_agg(text, chr(10) ORDER BY pos) AS section FROM l JOIN sh ON sh.id = l.id LEFT JOIN sz ON sz.id = l.id WHERE pos > a AND pos < coalesce(z, n) AND pos <= a + 20 AND NOT (pos = n - 1 AND text = '') GROUP BY 1),
+fl AS (SELECT sg.id, arg_min(sg.line, sg.pos) AS failed FROM sg JOIN cl ON cl.id = sg.id WHERE starts_with(sg.line, 'FAILED ') AND sg.line IS DISTINCT FROM cl.line GROUP BY 1),
+nm AS (SELECT sg.id, arg_min(sg.line, sg.pos) AS naming FROM sg JOIN tp ON tp.id = sg.id WHERE contains(sg.line, tp.path) GROUP BY 1),
+sp AS (SELECT id, 'failed step: ' || coalesce(nullif(step, ''), job) AS step FROM cl)
+SELECT cl.id, concat_ws(chr(10), 'ci_log|' || sp.step || '|' || substr(nullif(line, ''), 1, 1000) || '|rule ' || rule || ' takes it for ' || category, 'ci_log|' || sp.step || '|' || substr(failed, 1, 1000) || '|the first test that is said to fail',
+ 'git_diff|' || path || '|' || substr(nullif(section, ''), 1, 1000) || '|changed since the last green state', 'ci_log|' || sp.step || '|' || substr(naming, 1, 1000) || '|the log names ' || path) AS items
+FROM cl JOIN sp ON sp.id = cl.id LEFT JOIN tp ON tp.id = cl.id LEFT JOIN sn ON sn.id = cl.id LEFT JOIN fl ON fl.id = cl.id LEFT JOIN nm ON nm.id = cl.id""")
+def baseline_evidence(s, d):
+    """The pieces of evidence of every document's case."""
+    order, lines, cases = _searched(s, d)
+    top = _top_suspects(s, d, lines)
+    asked = D.diff_texts(s, d).drop("path").join(top.select("id", "path"), "id")
+    found = rules.evidence_items(rules.classify(order, cases), lines, top, logs.diff_section(asked, "id", "text", "path"), cases)
+    return found.select("id", F.array_join(F.transform("items", lambda x: F.concat_ws("|", x["source"], x["location"], x["excerpt"], x["explanation"])), "\n").alias("items"))
