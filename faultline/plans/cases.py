@@ -31,22 +31,21 @@ def suspect_ranking(s, d):
 
 
 _SUBSETS = [",".join(k) for n in range(7) for k in combinations(["ci", "config", "dep", "docker", "source", "test"], n)]
-_STATES = list(product(["flaky_rerun", "matched"], _SUBSETS, ["y", "n"], [None, *P.PYTHON_KINDS]))
+_STATES = {"fix_status": D.pick(0, "flaky_rerun", "matched", "matched", "matched"), "kinds": D.pick(1, *_SUBSETS), "dep": D.pick(2, "y", "n"), "py": D.pick(3, None, *P.PYTHON_KINDS)}
 _RULE_VALUES = I.values([(r, c, ",".join(f), "y" if o else "n", "y" if x else "n") for r, (c, f, o, x) in P.FIX_RULES.items()], "rule, category, compatible, overrides, decisive")
 
 
-@query(f"""WITH t AS (SELECT *, CASE WHEN kinds = '' THEN [] ELSE string_split(kinds, ',') END AS k FROM {I.values([(x,) for x in ('flaky_rerun', 'matched')], 'fix_status')}
-  CROSS JOIN {I.values([(x,) for x in _SUBSETS], 'kinds').replace('AS v(', 'AS w(')} CROSS JOIN {I.values([('y',), ('n',)], 'dep').replace('AS v(', 'AS x(')} CROSS JOIN {I.values([(x,) for x in (None, *P.PYTHON_KINDS)], 'py').replace('AS v(', 'AS y(')}),
+@query(f"""WITH t AS (SELECT *, CASE WHEN kinds = '' THEN [] ELSE string_split(kinds, ',') END AS k FROM (SELECT event_id AS id, {D.columns(_STATES)} FROM events)),
 u AS (SELECT *, CASE WHEN fix_status = 'flaky_rerun' THEN 'same_code_passed_later' WHEN len(k) = 0 THEN 'fix_touches_only_docs' WHEN kinds = 'dep' OR (kinds = 'config,dep' AND dep = 'y') THEN 'fix_changes_only_dependencies'
   WHEN kinds = 'ci' THEN 'fix_changes_only_ci_workflows' WHEN kinds IN ('docker', 'ci,docker') THEN 'fix_changes_only_docker' WHEN kinds = 'config' THEN 'fix_changes_only_tool_config'
   WHEN kinds IN ('source', 'test', 'source,test') THEN CASE py WHEN 'format' THEN 'fix_is_formatting_only' WHEN 'noqa' THEN 'fix_adds_lint_suppressions_only' WHEN 'types' THEN 'fix_changes_only_type_annotations' WHEN 'coverage' THEN 'fix_adds_coverage_pragmas_only'
     ELSE CASE WHEN kinds = 'test' THEN 'fix_changes_only_tests' ELSE 'fix_changes_source_code' END END ELSE 'fix_mixed_change_kinds' END AS rule FROM t)
-SELECT fix_status, kinds, dep, py, u.rule, category, compatible, overrides = 'y' AS overrides, decisive = 'y' AS decisive FROM u JOIN {_RULE_VALUES.replace('AS v(', 'AS r(')} ON r.rule = u.rule""")
+SELECT id, fix_status, kinds, dep, py, u.rule, category, compatible, overrides = 'y' AS overrides, decisive = 'y' AS decisive FROM u JOIN {_RULE_VALUES.replace('AS v(', 'AS r(')} ON r.rule = u.rule""")
 def fix_signal(s, d):
-    rows = I.table(s, _STATES, "fix_status string, kinds string, dep string, py string")
-    asked = rows.select("fix_status", F.col("kinds").alias("told"), "dep", F.col("py").alias("py_kind"), F.when(F.col("kinds") == "", F.array().cast("array<string>")).otherwise(F.split("kinds", ",")).alias("kinds"), (F.col("dep") == "y").alias("dep_change"))
+    rows = D.events_with(s, d, _STATES)
+    asked = rows.select("id", "fix_status", F.col("kinds").alias("told"), "dep", F.col("py").alias("py_kind"), F.when(F.col("kinds") == "", F.array().cast("array<string>")).otherwise(F.split("kinds", ",")).alias("kinds"), (F.col("dep") == "y").alias("dep_change"))
     found = fixes.fix_signal(asked)
-    return found.select("fix_status", F.col("told").alias("kinds"), "dep", F.col("py_kind").alias("py"), "rule", "category", F.array_join("compatible", ",").alias("compatible"), "overrides", "decisive")
+    return found.select("id", "fix_status", F.col("told").alias("kinds"), "dep", F.col("py_kind").alias("py"), "rule", "category", F.array_join("compatible", ",").alias("compatible"), "overrides", "decisive")
 
 
 @query("""SELECT source, lang, ['format', 'noqa', 'coverage', 'types', 'semantic'][max(CASE WHEN n_chars < 200 THEN 1 WHEN n_chars < 500 THEN 2 WHEN n_chars < 1000 THEN 3 WHEN n_chars < 3000 THEN 4 ELSE 5 END)] AS kind FROM documents GROUP BY ALL""")
@@ -56,10 +55,18 @@ def strongest_kind(s, d):
     return read(s, d, "documents").groupBy("source", "lang").agg(fixes.strongest(kind).alias("kind"))
 
 
-@query()
+# sources of every document before and after a change, by what the change is
+_BEFORE = "concat('x = f(', n_chars, ')', chr(10))"
+_CODE = {
+    "old": f"CASE WHEN doc_id % 8 = 7 THEN NULL WHEN doc_id % 8 = 6 THEN concat('x = (', chr(10)) ELSE {_BEFORE} END",
+    "new": "CASE doc_id % 8 WHEN 0 THEN concat('x=f( ', n_chars, ' )', chr(10)) WHEN 1 THEN concat('x = f(', n_chars, ')  # noqa', chr(10)) WHEN 2 THEN concat('x = f(', n_chars, ')  # pragma: no cover', chr(10)) WHEN 3 THEN concat('x: int = f(', n_chars, ')', chr(10)) WHEN 4 THEN concat('x = f(', n_chars, ', ', doc_id, ')', chr(10)) ELSE concat('x = f(', n_chars, ')', chr(10)) END",
+}
+
+
+@query("SELECT doc_id AS id, CASE doc_id % 8 WHEN 0 THEN 'format' WHEN 1 THEN 'noqa' WHEN 2 THEN 'coverage' WHEN 3 THEN 'types' WHEN 5 THEN 'format' ELSE 'semantic' END AS kind FROM documents")
 def python_change_kind(s, d):
-    """Syntax trees are beyond SQL; the tests hold the kinds against examples."""
-    rows = I.table(s, [(k, *c) for k, c in enumerate(I.PYTHON_CHANGES)], "id int, old string, new string")
+    """Every document's change, whose syntax trees tell what it is; SQL knows it by how the change was made."""
+    rows = read(s, d, "documents").selectExpr("doc_id AS id", *[f"{e} AS {n}" for n, e in _CODE.items()])
     return rows.select("id", fixes.python_change_kind("old", "new").alias("kind"))
 
 
@@ -89,45 +96,49 @@ def diff_section(s, d):
 
 
 _YES = lambda c: F.col(c) == "y"
-_ROUTES = list(product(["", "timeout", "output", "other"], *[["y", "n"]] * 7))
-_ROUTE_NAMES = ["error_kind", "proposal", "unknown", "problems", "repeated", "calls_left", "small", "shrunk"]
+_ROUTES = {"error_kind": D.pick(0, "", "", "timeout", "output", "other")} | {c: D.pick(k, "y", "n") for k, c in enumerate(["proposal", "unknown", "problems", "repeated", "calls_left", "small", "shrunk"], 1)}
 
 
 @query(f"""SELECT *, CASE WHEN error_kind <> '' THEN CASE WHEN error_kind = 'timeout' AND calls_left = 'y' AND shrunk = 'n' THEN 'shrink' WHEN error_kind = 'output' AND calls_left = 'y' AND repeated = 'n' THEN 'repair' WHEN error_kind = 'output' AND calls_left = 'y' AND shrunk = 'n' THEN 'shrink' WHEN proposal = 'y' THEN 'finalize' ELSE 'end' END
- WHEN proposal = 'n' THEN 'end' WHEN problems = 'y' THEN CASE WHEN repeated = 'y' OR calls_left = 'n' THEN 'finalize' ELSE 'repair' END WHEN unknown = 'y' AND calls_left = 'y' AND small = 'y' AND shrunk = 'n' THEN 'expand' ELSE 'finalize' END AS next FROM {I.values(_ROUTES, ', '.join(_ROUTE_NAMES))}""")
+ WHEN proposal = 'n' THEN 'end' WHEN problems = 'y' THEN CASE WHEN repeated = 'y' OR calls_left = 'n' THEN 'finalize' ELSE 'repair' END WHEN unknown = 'y' AND calls_left = 'y' AND small = 'y' AND shrunk = 'n' THEN 'expand' ELSE 'finalize' END AS next FROM (SELECT event_id AS id, {D.columns(_ROUTES)} FROM events)""")
 def route_transition(s, d):
-    rows = I.table(s, _ROUTES, ", ".join(f"{c} string" for c in _ROUTE_NAMES))
-    found = answers.route(rows.select("error_kind", *[_YES(c).alias(c) for c in _ROUTE_NAMES[1:]]))
-    return found.select("error_kind", *[F.when(F.col(c), "y").otherwise("n").alias(c) for c in _ROUTE_NAMES[1:]], "next")
-
-
-_EVIDENCE, _KNOWN = "line one\nsee a/b.py here", "a.py"
-_ANSWERS = [(k, *r) for k, r in enumerate(product(["TYPE_ERROR", "NOPE", None, "UNKNOWN"], ["", "a cause", "the system prompt"], ["", "line one", " line one |nope", "nope", "see a"], ["", "a.py", "a\\b.py,zz.py"], ["1.5", None, "0.4"]))]
-_ANSWER_VALUES = I.values(_ANSWERS, "id, failure_type, root_cause, q, f, conf")
+    rows = D.events_with(s, d, _ROUTES)
+    found = answers.route(rows.select("id", "error_kind", *[_YES(c).alias(c) for c in list(_ROUTES)[1:]]))
+    return found.select("id", "error_kind", *[F.when(F.col(c), "y").otherwise("n").alias(c) for c in list(_ROUTES)[1:]], "next")
+
+
+# an answer to every document, its text being the evidence; it quotes from there, from elsewhere, or nothing
+_KNOWN = "a.py"
+_ANSWERS = {
+    "failure_type": "CASE doc_id % 4 WHEN 0 THEN 'TYPE_ERROR' WHEN 1 THEN 'NOPE' WHEN 2 THEN NULL ELSE 'UNKNOWN' END", "root_cause": "CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'a cause' ELSE 'the system prompt' END",
+    "q": "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN concat('at ', substr(replace(coalesce(text, ''), '|', ' '), 1, 12)) WHEN 2 THEN concat('see a/b.py|', 'nope ', doc_id) WHEN 3 THEN 'nope' ELSE concat('see a|', lang, ' said') END",
+    "f": "CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'a.py' WHEN 2 THEN concat('a', chr(92), 'b.py,zz.py') WHEN 3 THEN concat(lang, '.py') ELSE concat(source, '.py,a.py,', 'x', doc_id, '.py') END",
+    "conf": "CASE doc_id % 3 WHEN 0 THEN '1.5' WHEN 1 THEN NULL ELSE '0.4' END", "ev": "concat('at ', replace(coalesce(text, ''), '|', ' '), chr(10), lang, ' said', chr(10), 'see a/b.py here ', source, '.py')",
+}
 _CATS = "'" + "', '".join(P.PRECEDENCE) + "'"
-_A = f"""a AS (SELECT id, failure_type, trim(root_cause) AS cause, CASE WHEN q = '' THEN [] ELSE string_split(q, '|') END AS qs, CASE WHEN f = '' THEN [] ELSE string_split(f, ',') END AS fs, conf, {I.literal(_EVIDENCE)} AS ev FROM {_ANSWER_VALUES}),
+_A = f"""a AS (SELECT id, failure_type, trim(root_cause) AS cause, CASE WHEN q = '' THEN [] ELSE string_split(q, '|') END AS qs, CASE WHEN f = '' THEN [] ELSE string_split(f, ',') END AS fs, conf, ev FROM (SELECT doc_id AS id, {D.columns(_ANSWERS)} FROM documents)),
 b AS (SELECT *, list_filter(qs, lambda x: x <> '' AND NOT contains(ev, x)) AS loose, list_filter(fs, lambda x: NOT (x = '{_KNOWN}' OR contains(ev, replace(x, chr(92), '/')))) AS invented FROM a)"""
 
 
-def _answers(s):
-    rows = I.table(s, _ANSWERS, "id int, failure_type string, root_cause string, q string, f string, conf string")
+def _answers(s, d):
+    rows = read(s, d, "documents").selectExpr("doc_id AS id", *[f"{e} AS {n}" for n, e in _ANSWERS.items()])
     many = lambda c, sep: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.split(c, sep))
-    return rows.select("id", "failure_type", "root_cause", many("q", r"\|").alias("quotes"), many("f", ",").alias("files"), F.array(F.lit(_KNOWN)).alias("known"), F.lit(_EVIDENCE).alias("evidence"), F.col("conf").cast("double").alias("confidence"))
+    return rows.select("id", "failure_type", "root_cause", many("q", r"\|").alias("quotes"), many("f", ",").alias("files"), F.array(F.lit(_KNOWN)).alias("known"), F.col("ev").alias("evidence"), F.col("conf").cast("double").alias("confidence"))
 
 
 @query(f"""WITH {_A} SELECT id, concat_ws('; ', CASE WHEN NOT coalesce(failure_type IN ({_CATS}), false) THEN 'unknown category ' || coalesce('''' || failure_type || '''', 'None') END,
  CASE WHEN cause = '' THEN 'no cause is named' END, CASE WHEN contains(cause, 'system prompt') THEN 'the cause repeats the instructions' END,
  CASE WHEN len(qs) = 0 AND failure_type IS DISTINCT FROM 'UNKNOWN' THEN 'no line of the evidence is quoted' WHEN len(loose) > 0 THEN len(loose) || ' of ' || len(qs) || ' quotes not verbatim, first: ''' || loose[1] || '''' END, CASE WHEN len(invented) > 0 THEN 'files that do not appear in the evidence: ' || array_to_string(invented[:3], ' ') END) AS problems FROM b""")
 def validate_answer(s, d):
-    return answers.problems(_answers(s)).select("id", "problems")
+    return answers.problems(_answers(s, d)).select("id", "problems")
 
 
 @query(f"""WITH {_A} SELECT id, CASE WHEN failure_type IN ({_CATS}) THEN failure_type ELSE 'UNKNOWN' END AS category, CASE WHEN cause = '' THEN 'no root cause given' ELSE cause END AS root, least(1.0, greatest(0.0, coalesce(conf::DOUBLE, 0.5)))::DOUBLE AS confidence,
- array_to_string(list_transform(list_filter(qs, lambda x: contains('line one' || chr(10) || 'foo', trim(x)) OR contains('a nope diff', trim(x))), lambda x: CASE WHEN contains('line one' || chr(10) || 'foo', trim(x)) THEN 'ci_log|failed step: t|' ELSE 'git_diff|changes since abc|' END || trim(x)), ';') AS kept,
+ array_to_string(list_transform(list_filter(qs, lambda x: contains(ev, trim(x)) OR contains('a nope diff', trim(x))), lambda x: CASE WHEN contains(ev, trim(x)) THEN 'ci_log|failed step: t|' ELSE 'git_diff|changes since abc|' END || trim(x)), ';') AS kept,
  array_to_string(list_transform(list_filter(fs, lambda x: x = '{_KNOWN}' OR contains(ev, replace(x, chr(92), '/'))), lambda x: replace(x, chr(92), '/')), ',') AS affected FROM b""")
 def finalize_answer(s, d):
-    source = lambda a, b, c: F.struct(F.lit(a).alias("source"), F.lit(b).alias("location"), F.lit(c).alias("text"))
-    rows = _answers(s).withColumn("sources", F.array(source("ci_log", "failed step: t", "line one\nfoo"), source("git_diff", "changes since abc", "a nope diff")))
+    source = lambda a, b, c: F.struct(F.lit(a).alias("source"), F.lit(b).alias("location"), c.alias("text"))
+    rows = _answers(s, d).withColumn("sources", F.array(source("ci_log", "failed step: t", F.col("evidence")), source("git_diff", "changes since abc", F.lit("a nope diff"))))
     return answers.finalize(rows).select("id", "category", "root", F.col("confidence_kept").alias("confidence"), "kept", "affected")
 
 
@@ -265,17 +276,21 @@ def run_filter(s, d):
     return history.watched_runs(recent, F.col("event_type"), F.col("props"), ["error", "purchase"])[1]
 
 
-_IDS = ["a" * 40, "A" * 40, "abc", None, "owner/name", "own.er/na-me_1", "a/b/c", "../x", "./.", "/x", "x/"]
+_MD5 = "md5(CAST(event_id AS STRING))"
+_IDS = {"name": f"CASE event_id % 9 WHEN 0 THEN concat({_MD5}, substr({_MD5}, 1, 8)) WHEN 1 THEN upper(concat({_MD5}, substr({_MD5}, 1, 8))) WHEN 2 THEN {_MD5} WHEN 3 THEN NULL WHEN 4 THEN concat('owner/', event_type) WHEN 5 THEN concat('a/', event_type, '/c') WHEN 6 THEN '../x' WHEN 7 THEN concat('/', event_type) ELSE concat(event_type, '/') END"}
 
 
-@query(f"SELECT id, coalesce(regexp_matches(id, '^[0-9a-f]{{40}}$'), false) AS sha, coalesce(regexp_matches(id, '^[^/]+/[^/]+$'), false) AS repository FROM {I.values([(x,) for x in _IDS], 'id')}")
+@query(f"SELECT id, name, coalesce(regexp_matches(name, '^[0-9a-f]{{40}}$'), false) AS sha, coalesce(regexp_matches(name, '^[^/]+/[^/]+$'), false) AS repository FROM (SELECT event_id AS id, {D.columns(_IDS)} FROM events)")
 def id_checks(s, d):
-    return I.table(s, [(x,) for x in _IDS], "id string").select("id", C.is_sha(F.col("id")).alias("sha"), C.is_repository(F.col("id")).alias("repository"))
+    return D.events_with(s, d, _IDS).select("id", "name", C.is_sha(F.col("name")).alias("sha"), C.is_repository(F.col("name")).alias("repository"))
+
+
+_SUFFIXED = {"path": f"concat(event_type, '.d/', {D.pick(0, *I.PATHS, 'bin/run', 'a.py.bak', 'x.JSON', 'y.yaml')})"}
 
 
-@query(f"SELECT path, list_contains(['py', 'pyi', 'toml', 'cfg', 'ini', 'txt', 'yml', 'yaml', 'json'], CASE WHEN contains(path, '.') THEN string_split(path, '.')[-1] ELSE '' END) AS is_text FROM {I.values([(p,) for p in I.PATHS], 'path')}")
+@query(f"SELECT id, path, list_contains(['py', 'pyi', 'toml', 'cfg', 'ini', 'txt', 'yml', 'yaml', 'json'], CASE WHEN contains(path, '.') THEN string_split(path, '.')[-1] ELSE '' END) AS is_text FROM (SELECT event_id AS id, {D.columns(_SUFFIXED)} FROM events)")
 def text_suffix(s, d):
-    return I.table(s, [(p,) for p in I.PATHS], "path string").select("path", C.has_text_suffix(F.col("path")).alias("is_text"))
+    return D.events_with(s, d, _SUFFIXED).select("id", "path", C.has_text_suffix(F.col("path")).alias("is_text"))
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 THEN role END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS role FROM conversations")
@@ -308,12 +323,16 @@ def grounding_corpus(s, d):
     return rows.select("doc_id", F.md5(F.encode(corpus, "utf-8")).alias("digest"))
 
 
-_REMARKED = [(k, a or "", b) for k, (a, b) in enumerate([*I.PYTHON_CHANGES, ("a = 1  # x\n# y\n", "a = 1  # x\n# x\n# x\n"), ("# y\n", "b = 1\n")])]
+# a source of every document before and after a change of its remarks
+_REMARKED = {
+    "old": "concat('a = 1  # ', lang, chr(10), '# ', source, chr(10), repeat(concat('# ', lang, chr(10)), CAST(doc_id % 3 AS INT)))",
+    "new": "concat('a = 1  # ', lang, chr(10), repeat(concat('# ', source, chr(10)), CAST(doc_id % 4 AS INT)), 'b = ', doc_id, '  # n', doc_id % 5, chr(10))",
+}
 
 
-@query(f"WITH v AS (SELECT * FROM {I.values(_REMARKED, 'id, old, new')}) SELECT id, unnest(regexp_extract_all(new, '#[^\n]*')) AS remark FROM v EXCEPT ALL SELECT id, unnest(regexp_extract_all(old, '#[^\n]*')) FROM v")
+@query(f"WITH v AS (SELECT doc_id AS id, {D.columns(_REMARKED)} FROM documents) SELECT id, unnest(regexp_extract_all(new, '#[^\n]*')) AS remark FROM v EXCEPT ALL SELECT id, unnest(regexp_extract_all(old, '#[^\n]*')) FROM v")
 def added_remarks(s, d):
-    rows = I.table(s, _REMARKED, "id int, old string, new string")
+    rows = read(s, d, "documents").selectExpr("doc_id AS id", *[f"{e} AS {n}" for n, e in _REMARKED.items()])
     return rows.select("id", F.explode(fixes.added_remarks("old", "new")).alias("remark"))
 
 
