@@ -33,9 +33,9 @@ def search_code(files: DataFrame, pattern: str, directory: str = "", each: int =
 
 
 def read_window(files: DataFrame, start: str, most_chars: int = P.MAX_READ, most_lines: int = P.MAX_LINES) -> DataFrame:
-    """path, first, last, total, body: numbered lines from a start (a column; null: the first) as far as the budget goes.
+    """path, first, last, total, body, head: numbered lines from a start (a column; null: the first) as far as the budget goes.
 
-    At least one line is shown. Files that hold a NUL in their first 8,000 characters are binary and have no row.
+    At least one line is shown. The head names the lines that are really shown and, if more follow, where to go on. Files that hold a NUL in their first 8,000 characters are binary and have no row.
     """
     text = files.where(~F.contains(F.substring("content", 1, 8000), F.lit("\x00")))
     lines = F.split("content", P.LINE_END)
@@ -46,7 +46,10 @@ def read_window(files: DataFrame, start: str, most_chars: int = P.MAX_READ, most
     text = text.withColumn("rows", rows)
     fits = f"aggregate(rows, struct(0 AS used, 0 AS n, true AS open), (s, x) -> CASE WHEN s.open AND (s.n = 0 OR s.used + length(x) + 1 <= {most_chars}) THEN struct(s.used + length(x) + 1 AS used, s.n + 1 AS n, true AS open) ELSE struct(s.used AS used, s.n AS n, false AS open) END).n"
     text = text.withColumn("n", F.expr(fits))
-    return text.select("path", "first", (F.col("first") + F.col("n") - 1).alias("last"), "total", F.array_join(F.slice("rows", F.lit(1), F.col("n")), "\n").alias("body"))
+    text = text.withColumn("last", F.col("first") + F.col("n") - 1)
+    more = F.when(F.col("last") < F.col("total"), F.concat(F.lit("; "), (F.col("total") - F.col("last")).cast("string"), F.lit(' more, go on with "start_line": '), (F.col("last") + 1).cast("string")))
+    head = F.concat(F.col("path"), F.format_string(" lines %d-%d of %d", "first", "last", "total"), F.coalesce(more, F.lit("")))
+    return text.select("path", "first", "last", "total", F.array_join(F.slice("rows", F.lit(1), F.col("n")), "\n").alias("body"), head.alias("head"))
 
 
 def _held(found_by):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations, product
+from itertools import combinations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -183,7 +183,8 @@ w AS (SELECT path, q, len(q)::INT AS total, greatest(1, least(start, greatest(le
 r AS (SELECT path, unnest(range(a, least(len(q), a + 200) + 1)) AS k, unnest(q[a:a + 200]) AS x FROM w),
 u AS (SELECT path, k, lpad(k::VARCHAR, 5, ' ') || '  ' || x AS row, sum(length(x) + 8) OVER (PARTITION BY path ORDER BY k) AS used, row_number() OVER (PARTITION BY path ORDER BY k) AS i FROM r),
 v AS (SELECT path, count(*)::INT AS n, string_agg(row, chr(10) ORDER BY k) AS body FROM u WHERE i = 1 OR used <= 6000 GROUP BY 1)
-SELECT w.path, a AS first, (a + coalesce(n, 0) - 1)::INT AS last, total, coalesce(body, '') AS body FROM w LEFT JOIN v ON v.path = w.path""")
+SELECT w.path, a AS first, (a + coalesce(n, 0) - 1)::INT AS last, total, coalesce(body, '') AS body,
+ w.path || ' lines ' || a || '-' || (a + coalesce(n, 0) - 1) || ' of ' || total || CASE WHEN a + coalesce(n, 0) - 1 < total THEN '; ' || (total - (a + coalesce(n, 0) - 1)) || ' more, go on with "start_line": ' || (a + coalesce(n, 0)) ELSE '' END AS head FROM w LEFT JOIN v ON v.path = w.path""")
 def read_file_window(s, d):
     return trees.read_window(_files(s, d), "start")
 

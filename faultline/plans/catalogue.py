@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,14 +21,8 @@ def log_bodies(s: SparkSession) -> DataFrame:
     return logs.parse(log_lines(s), "id")
 
 
-def every_line(s: SparkSession, d: str) -> DataFrame:
-    """id, pos, text of the inline logs (negative ids) and of all documents."""
-    inline = log_bodies(s).select((-F.col("id")).cast("long").alias("id"), "pos", "text")
-    return inline.unionAll(logs.lines_of(read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id", "text"))
-
-
 def every_telling_line(s: SparkSession, d: str) -> DataFrame:
-    """every_line, of those documents only that a rule may match at all."""
+    """id, pos, text of the inline logs (negative ids), and of the documents that a rule may match at all."""
     inline = log_bodies(s).select((-F.col("id")).cast("long").alias("id"), "pos", "text")
     return inline.unionAll(logs.lines_of(rules.told(read(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text"), "id", "text"))
 
@@ -112,17 +104,20 @@ def log_parse(s, d):
     return D.log_bodies(s, d)
 
 
-@query(f"WITH {EVERY} SELECT id, string_agg(name, ',' ORDER BY p) AS tests FROM (SELECT id, regexp_extract(line, '{P.FAILING_TEST}', 1) AS name, min(pos) AS p FROM told WHERE regexp_matches(line, '{P.FAILING_TEST}') GROUP BY ALL) GROUP BY 1")
+_STRIPPED = r"sg AS (SELECT id, pos, regexp_replace(text, '^\s+|\s+$', '', 'g') AS line FROM body)"
+
+
+@query(f"WITH {D.BODY}, {_STRIPPED} SELECT id, string_agg(name, ',' ORDER BY p) AS tests FROM (SELECT id, regexp_extract(line, '{P.FAILING_TEST}', 1) AS name, min(pos) AS p FROM sg WHERE regexp_matches(line, '{P.FAILING_TEST}') GROUP BY ALL) GROUP BY 1")
 def failing_tests(s, d):
-    return logs.failing_tests(every_line(s, d), "id")
+    return logs.failing_tests(D.log_bodies(s, d), "id")
 
 
-@query(f"WITH {EVERY} SELECT id, row_number() OVER (PARTITION BY id ORDER BY p)::INT AS rank, substr(line, 1, 500) AS line FROM (SELECT id, line, min(pos) AS p FROM told WHERE regexp_matches(line, '{P.ERROR_LINE}') GROUP BY ALL) QUALIFY rank <= 50")
+@query(f"WITH {D.BODY}, {_STRIPPED} SELECT id, row_number() OVER (PARTITION BY id ORDER BY p)::INT AS rank, substr(line, 1, 500) AS line FROM (SELECT id, line, min(pos) AS p FROM sg WHERE regexp_matches(line, '{P.ERROR_LINE}') GROUP BY ALL) QUALIFY rank <= 50")
 def error_lines_distinct(s, d):
-    return logs.error_lines(every_line(s, d), "id")
+    return logs.error_lines(D.log_bodies(s, d), "id")
 
 
-_SIGNATURES = f"""sg AS (SELECT id, pos, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS line FROM body),
+_SIGNATURES = f"""{_STRIPPED},
 sf AS (SELECT id, pos, line, CASE WHEN regexp_matches(line, '{P.ASSERTION}') THEN 'AssertionError' WHEN regexp_matches(line, '{P.EXCEPTION}') THEN regexp_extract(line, '{P.EXCEPTION}', 1) END AS exception,
   substr(CASE WHEN regexp_matches(line, '{P.ASSERTION}') THEN regexp_extract(line, '{P.ASSERTION}', 1) ELSE regexp_extract(line, '{P.EXCEPTION}', 2) END, 1, 300) AS message FROM sg),
 signatures AS (SELECT id, exception, message FROM sf WHERE exception IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN starts_with(line, 'E ') OR regexp_matches(line, '{P.ASSERTION}') THEN 0 ELSE 1 END, pos) = 1)"""

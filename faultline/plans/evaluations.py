@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import functions as F
 
 from faultline.functions import patterns as P
 from faultline.operators import evaluation, localize, scoring
+from faultline.plans import derived as D
 from faultline.plans import inline as I
 from faultline.plans.registry import query, read
 
@@ -51,29 +50,28 @@ def headroom_buckets(s, d):
     return evaluation.bucket_counts(rows.withColumn("bucket", evaluation.bucket(F.col("gold"), F.col("answers"), first(5), first(3), there)), "bucket")
 
 
-_MISSES = [(k, *r) for k, r in enumerate(product(["a,b"], ["a", "c", ""], ["a", "c", ""], ["a", "c", ""], ["b", ""]))]
+_MISSES = {"g": "concat(event_type, ',b')", "p": D.pick(0, "view", "click", "error", "c", ""), "v": D.pick(1, "view", "error,purchase", "b", "c", ""), "c": D.pick(2, "view", "error,b", "c", ""), "e": D.pick(3, "b", "error", "")}
 
 
-@query(f"""WITH t AS (SELECT id, string_split(g, ',') AS g, string_split(p, ',') AS p, string_split(v, ',') AS v, string_split(c, ',') AS c, string_split(e, ',') AS e FROM {I.values(_MISSES, 'id, g, p, v, c, e').replace('AS v(', 'AS m(')})
+@query(f"""WITH t AS (SELECT id, string_split(g, ',') AS g, string_split(p, ',') AS p, string_split(v, ',') AS v, string_split(c, ',') AS c, string_split(e, ',') AS e FROM (SELECT event_id AS id, {D.columns(_MISSES)} FROM events))
 SELECT id, CASE WHEN list_contains(g, p[1]) THEN 'hit' WHEN len(list_intersect(list_intersect(g, v), c)) > 0 THEN 'reasoning' WHEN len(list_intersect(g, v)) > 0 THEN 'name_only' WHEN len(list_intersect(g, e)) > 0 THEN 'blind' ELSE 'impossible' END AS bucket FROM t""")
 def headroom_classify(s, d):
-    rows = I.table(s, _MISSES, "id int, g string, p string, v string, c string, e string")
-    return rows.select("id", evaluation.bucket(*[F.split(c, ",") for c in "gpvce"]).alias("bucket"))
+    return D.events_with(s, d, _MISSES).select("id", evaluation.bucket(*[F.split(c, ",") for c in "gpvce"]).alias("bucket"))
 
 
-_FIXED = [(k, *r) for k, r in enumerate(product(["matched", "ambiguous", None], ["TYPE_ERROR", *P.NON_CODE_CATEGORIES], ["src/a.py,docs/x.md", "docs/x.md,README.md", "src/b.py,src/a.py,src/b.py"]))]
+_FIXED = {"status": D.pick(0, "matched", "matched", "matched", "ambiguous", None), "category": D.pick(1, "TYPE_ERROR", "TEST_FAILURE", *P.NON_CODE_CATEGORIES), "files": "CASE user_id % 3 WHEN 0 THEN concat('src/', event_type, '.py,docs/x.md') WHEN 1 THEN 'docs/x.md,README.md' ELSE concat('src/b.py,src/', event_type, '.py,src/b.py') END"}
 _NON_CODE = "'" + "', '".join(P.NON_CODE_CATEGORIES) + "'"
 
 
-@query(f"""WITH t AS (SELECT id, status, category, list_distinct(list_filter(string_split(files, ','), lambda f: NOT regexp_matches(f, '{P.DOC_PATH}'))) AS code FROM {I.values(_FIXED, 'id, status, category, files')}),
+@query(f"""WITH t AS (SELECT id, status, category, list_distinct(list_filter(string_split(files, ','), lambda f: NOT regexp_matches(f, '{P.DOC_PATH}'))) AS code FROM (SELECT event_id AS id, {D.columns(_FIXED)} FROM events)),
 u AS (SELECT *, CASE WHEN status IS DISTINCT FROM 'matched' THEN 'fix_status:' || coalesce(status, 'None') WHEN category IN ({_NON_CODE}) THEN 'non_code_category:' || category WHEN len(code) = 0 THEN 'fix_changes_only_docs' ELSE 'eligible' END AS why FROM t)
 SELECT id, why, CASE WHEN why = 'eligible' THEN array_to_string(list_sort(code), ',') END AS files FROM u""")
 def gold_fix_files(s, d):
     files, why = evaluation.eligibility(F.col("status"), F.col("category"), F.split("files", ","))
-    return I.table(s, _FIXED, "id int, status string, category string, files string").select("id", why.alias("why"), F.array_join(F.sort_array(files), ",").alias("files"))
+    return D.events_with(s, d, _FIXED).select("id", why.alias("why"), F.array_join(F.sort_array(files), ",").alias("files"))
 
 
-@query(f"SELECT why, count(*) AS n FROM (SELECT CASE WHEN status IS DISTINCT FROM 'matched' THEN 'fix_status:' || coalesce(status, 'None') WHEN category IN ({_NON_CODE}) THEN 'non_code_category:' || category WHEN regexp_matches(files, 'src') THEN 'eligible' ELSE 'fix_changes_only_docs' END AS why FROM {I.values(_FIXED, 'id, status, category, files')}) WHERE why <> 'eligible' GROUP BY 1")
+@query(f"SELECT why, count(*) AS n FROM (SELECT CASE WHEN status IS DISTINCT FROM 'matched' THEN 'fix_status:' || coalesce(status, 'None') WHEN category IN ({_NON_CODE}) THEN 'non_code_category:' || category WHEN regexp_matches(files, 'src') THEN 'eligible' ELSE 'fix_changes_only_docs' END AS why FROM (SELECT event_id AS id, {D.columns(_FIXED)} FROM events)) WHERE why <> 'eligible' GROUP BY 1")
 def exclusion_reasons(s, d):
     return gold_fix_files(s, d).where("why <> 'eligible'").groupBy("why").agg(F.count("*").alias("n"))
 

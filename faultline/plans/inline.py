@@ -18,19 +18,9 @@ LOGS = {
 }
 #: Of each log: the step's name, the job's, and whether tests are known to have failed.
 CASES = {1: ("Run pytest", "tests", True), 2: ("Run", "lint", False), 3: (None, "x", False), 4: ("Run poetry install", "y", False), 5: ("Build docs", "z", False), 6: (None, "hooks", False), 7: ("hello", "world", True), 8: ("hooks", "q", False), 9: ("Run mypy", "types", False), 10: ("hello", "world", False)}
-STEPS = {1: ("Run pytest", "2024-03-01 10:00:00", "2024-03-01 10:00:03"), 2: ("Other", "2024-03-01 11:00:01", "2024-03-01 11:00:02"), 3: ("", None, None), 4: ("Run x", "2024-03-01 12:00:05", "2024-03-01 12:00:06")}
-NAMES = [("Run mypy", "ci"), ("Run", "lint"), ("Build wheel", "x"), ("Checkout", "y"), ("Install deps with pip", "z"), (None, "unit tests"), ("Black formatting", "q"), ("hello", "world")]
 PATHS = ["docs/a.md", ".github/workflows/ci.yml", "requirements/dev.txt", "requirements.txt", "pyproject.toml", "Dockerfile", "tox.ini", "tests/test_x.py", "src/app.py", "CHANGES/1.rst", "src/HISTORY.txt", "conftest.py", "doc/x.txt", "a/uv.lock"]
-RAW_PATHS = ["src/app.py", " /etc/passwd", "a/../b", "C:\\x\\y", "src\\app.py", "", "a//b", ".git/config", "./x", "a/b/", "x" * 301]
-DIFFS = {1: "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@\n a\n-b\n+c\n+d\ndiff --git a/y.py b/y.py\n--- a/y.py\n+++ b/y.py\n@@ -1 +1 @@\n-q\n+r\n", 2: "no diff", 3: "diff --git a/gone.py b/gone.py\n--- a/gone.py\n+++ /dev/null\n@@ -1 +0,0 @@\n-x\ndiff --git a/y.py b/y.py\n--- /dev/null\n+++ b/y.py\n@@ -0,0 +1,2 @@ def f():\n+one\n+\n"}
 #: Sources before and after a change, and what it is.
 PYTHON_CHANGES = [("x=1\n", "x = 1\n"), ("x = 1\n", "x = 1  # noqa\n"), ("x = f()\n", "x = f()  # type: ignore\n"), ("x = 1\n", "x = 1  # pragma: no cover\n"), ("def f(a): return a\n", "from typing import Any\ndef f(a: Any) -> Any: return a\n"), ("x = 1\n", "x: int = 1\n"), ("x = 1\n", "x = 2\n"), (None, "x = 1\n"), ("x = (\n", "x = 1\n")]
-COMMITS = [("a", None), ("b", "a"), ("c", "b"), ("d", "b"), ("e", "c"), ("e", "d"), ("f", "b"), ("x", None)]
-FILES = ["src/app.py", "src/pkg/util.py", "lib/pkg/util.py", "src/flat/core.py", "tests/test_a.py", "setup.py"]
-NAMED_PATHS = ["src/app.py", "./setup.py", "/home/runner/work/r/r/src/app.py", "pkg/util.py", "flat\\core.py", "/x/site-packages/flat/core.py", "/usr/lib/app.py", ".venv/flat/core.py", "core.py", "x/dist-packages/setup.py", "D:/a/r/r/tests/test_a.py"]
-WINDOWS = [(1, 0, "c0", "tidy"), (1, 1, "c1", "Revert\n\nThis reverts commit abcdef1."), (1, 2, "c2", "This reverts commit abcdef1234."), (2, 0, "d0", "This reverts commit 1234567."), (3, 0, "e0", None)]
-BROKEN = [(1, "abcdef1234567890"), (1, "0123456789"), (2, "fff1234567"), (3, "aaa")]
-QUOTES = [(1, "assert 1 == 2"), (1, "not there"), (2, "Found 1 error."), (3, "ValueError: bad value"), (4, "KeyError: 'q'"), (4, "poetry"), (5, "x")]
 
 
 def literal(value) -> str:
