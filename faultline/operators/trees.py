@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import patterns as P
+from faultline.operators.history import cut
+from faultline.operators.rules import spread
 
-#: Bytes of quotes that one pass over the texts looks for.
-BLOCK_BYTES = 8 << 20
+#: Bytes of quotes, or of hashes of their windows, that are broadcast, at most.
+SMALL_BYTES = 8 << 20
+#: Tokens of a window that a quote is looked for by; letters, where a quote has no whole token inside.
+WINDOW, GRAMS = 3, (8, 4, 2, 1)
 
 
 def list_files(files: DataFrame, directory: str, most: int = P.MAX_LISTED) -> DataFrame:
@@ -52,41 +55,65 @@ def read_window(files: DataFrame, start: str, most_chars: int = P.MAX_READ, most
     return text.select("path", "first", "last", "total", F.array_join(F.slice("rows", F.lit(1), F.col("n")), "\n").alias("body"), head.alias("head"))
 
 
-def _held(found_by):
-    def run(batches):
-        keys, automaton = found_by.value
-        for batch in batches:
-            rows, held = [], []
-            for r, text in enumerate(batch.column("text").to_pylist()):
-                mine = {k for _, ks in automaton.iter(text or "") for k in ks} if len(automaton) else set()
-                rows += [r] * len(mine)
-                held += sorted(mine)
-            yield pa.record_batch([batch.column("key").take(pa.array(rows, pa.int64())), keys.take(pa.array(held, pa.int64()))], names=["key", "quote_key"])
+def _tokens(text: str) -> Column:
+    """The parts between whitespace, with an empty one before or after whitespace at an end."""
+    return F.split(text, r"[\x09-\x0D ]+")
 
-    return run
 
+def _windows(tokens: Column, size: int) -> Column:
+    """Hashes of each so many consecutive tokens."""
+    hashes = F.transform(tokens, lambda x, k: F.xxhash64(F.lit(size), x, *[F.get(tokens, k + j) for j in range(1, size)]))
+    return F.slice(hashes, F.lit(1), F.greatest(F.size(tokens) - (size - 1), F.lit(0)))
 
-def holders(texts: DataFrame, quotes: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+
+def _pieces(text: str) -> Column:
+    """Runs of whitespace and runs of anything else."""
+    return F.regexp_extract_all(text, F.lit(r"[^\x09-\x0D ]+|[\x09-\x0D ]+"), F.lit(0))
+
+
+def _grams(pieces: Column, size: int) -> Column:
+    """Hashes of each so many consecutive letters of a piece."""
+    long = F.array_distinct(F.filter(pieces, lambda p: F.length(p) >= size))
+    return F.flatten(F.transform(long, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (size - 1)), lambda k: F.xxhash64(F.lit(-size), p.substr(k, F.lit(size))))))
+
+
+def _signs(tokens: Column, pieces: Column, sizes: list[int]) -> Column:
+    """What a text is found by: windows of tokens (positive sizes) and grams (negative ones), each once."""
+    return F.array_distinct(F.concat(*[_windows(tokens, n) if n > 0 else _grams(pieces, -n) for n in sizes]))
+
+
+def holders(texts: DataFrame, quotes: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """key, quote_key of each text (key, text) that holds a quote (quote_key, quote) letter by letter; empty quotes are in none.
 
-    An automaton finds all quotes of a block in one pass over a text, so no text is held against single quotes.
+    A quote is looked for by the one of its windows of three whole tokens that fewest texts have, or by its rarest whole
+    token. One without a whole token inside is looked for by the first letters of its longest piece. Texts that have
+    this sign are held against the quote. Equal quotes are looked for once; a row of texts is answered for itself, also
+    where keys repeat or are null. Many texts that share the rarest sign of a quote without holding it are candidates
+    all the same.
     """
-    import ahocorasick
-
-    spark = texts.sparkSession
-    asked = quotes.where("quote <> ''").select("quote_key", "quote")
-    size = asked.agg(F.sum(F.octet_length("quote"))).first()[0] or 0
-    parts, found = max(1, -(-size // block_bytes)), None
-    kinds = [dict(texts.dtypes)["key"], dict(quotes.dtypes)["quote_key"]]
-    for part in range(parts):
-        table = asked.where(F.pmod(F.xxhash64("quote"), F.lit(parts)) == part).toArrow()
-        automaton, by_text = ahocorasick.Automaton(), {}
-        for k, quote in enumerate(table.column("quote").to_pylist()):
-            by_text.setdefault(quote, []).append(k)
-        for quote, ks in by_text.items():
-            automaton.add_word(quote, tuple(ks))
-        automaton.make_automaton()
-        held = spark.sparkContext.broadcast((table.column("quote_key").combine_chunks(), automaton))
-        mine = texts.select("key", "text").mapInArrow(_held(held), f"key {kinds[0]}, quote_key {kinds[1]}")
-        found = mine if found is None else found.unionAll(mine)
-    return found
+    inside = F.expr("slice(tokens, 2, greatest(size(tokens) - 2, 0))")
+    asked = quotes.where("quote <> ''").select("quote").distinct().withColumn("tokens", _tokens("quote")).withColumn("inside", inside)
+    longest = F.reduce(_pieces("quote"), F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best))
+    asked = asked.withColumn("piece", F.when(F.size("inside") == 0, longest))
+    gram = F.lit(-GRAMS[-1])
+    for size in reversed(GRAMS[:-1]):
+        gram = F.when(F.length("piece") >= size, -size).otherwise(gram)
+    asked = asked.withColumn("kind", F.when(F.size("inside") >= WINDOW, WINDOW).when(F.size("inside") > 0, 1).otherwise(gram))
+    first = F.array(F.expr("xxhash64(kind, substring(piece, 1, -kind))"))
+    asked = asked.withColumn("signs", F.when(F.col("kind") == WINDOW, _windows(F.col("inside"), WINDOW)).when(F.col("kind") == 1, _windows(F.col("inside"), 1)).otherwise(first))
+    known = asked.agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.sum(F.size("signs") * 8).alias("signs"), F.sum(F.octet_length("quote")).alias("quotes")).first()
+    if not known.kinds:
+        return texts.select("key").join(quotes.select("quote_key"), F.lit(False))
+    small = lambda rows, size: F.broadcast(rows) if size <= small_bytes else rows
+    parts = spread(texts.select("key", "text")).select("key", _tokens("text").alias("tokens"), (_pieces("text") if known.kinds[0] < 0 else F.lit(None)).alias("pieces"))
+    signs = parts.select("key", F.explode(_signs(F.col("tokens"), F.col("pieces"), known.kinds)).alias("sign"))
+    sought = asked.select("quote", F.explode(F.array_distinct("signs")).alias("sign"))
+    # texts are cut into signs once; of those only the ones that a quote has go on
+    signs = cut(signs.join(small(sought.select("sign").distinct(), known.signs), "sign", "left_semi"))
+    counts = signs.groupBy("sign").agg(F.count("*").alias("n"))
+    # a sign that no text has tells that no text holds the quote
+    rarest = sought.join(counts, "sign", "left").groupBy("quote").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sign")).alias("best"))
+    rarest = rarest.where("best.n > 0").select("quote", F.col("best.sign").alias("sign"))
+    maybe = signs.join(small(rarest, known.quotes), "sign").select(F.col("key").alias("found"), "quote").distinct()
+    held = texts.select("key", "text").join(maybe, F.col("key").eqNullSafe(F.col("found"))).where(F.contains("text", F.col("quote"))).select("key", "quote")
+    return held.join(quotes.select("quote_key", "quote"), "quote").select("key", "quote_key")

@@ -1,5 +1,7 @@
 """Diagnoses, their evidence, the order of the search, and parts of diffs, on small cases."""
 
+import random
+
 from faultline.operators import logs, rules, trees
 
 
@@ -49,3 +51,25 @@ def test_a_window_names_the_lines_that_it_shows(spark):
     files = spark.createDataFrame([("a", "1\n2\n3\n4\n", 2), ("b", "", 1), ("c", "x" * 50 + "\ny", 1)], "path string, content string, start int")
     got = {r.path: r["head"] for r in trees.read_window(files, "start", most_chars=20, most_lines=5).collect()}
     assert got == {"a": 'a lines 2-3 of 4; 1 more, go on with "start_line": 4', "b": "b lines 1-0 of 0", "c": 'c lines 1-1 of 2; 1 more, go on with "start_line": 2'}
+
+
+def test_texts_that_hold_quotes(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abé", k=draw.randint(1, 12)))
+    texts = ["", None, " ", "a\n\n b", *["".join(w + draw.choice([" ", "\n", "  ", "\t"]) for w in [word() for _ in range(draw.randint(1, 60))]) for _ in range(60)]]
+    texts += [texts[10], texts[11] * 40]
+    quotes = ["", None, " ", "  ", "\n", "zz", "a"]
+    for text in texts[4:]:
+        for _ in range(4):
+            at = draw.randrange(len(text))
+            quotes.append(text[at : at + draw.choice([1, 3, 6, 9, 15, 30, 100])])
+    quotes += [q + "x" for q in quotes[10:40] if q] + quotes[10:14]
+    keys = [None, *range(1, len(texts) - 2), 5, 6]
+    rows = spark.createDataFrame(list(zip(keys, texts, strict=True)), "key bigint, text string")
+    asked = spark.createDataFrame(list(enumerate(quotes)), "quote_key bigint, quote string")
+    want = sorted(((k if k is not None else -1, n) for k, t in zip(keys, texts, strict=True) for n, q in enumerate(quotes) if t and q and q in t))
+    for small in (trees.SMALL_BYTES, 0):
+        got = sorted((r.key if r.key is not None else -1, r.quote_key) for r in trees.holders(rows, asked, small).collect())
+        assert got == want
+    assert not trees.holders(rows.limit(0), asked).count() and not trees.holders(rows, asked.limit(0)).count()
+    assert trees.holders(rows, asked.limit(0)).columns == ["key", "quote_key"]
