@@ -18,8 +18,10 @@ WEIGHTS = (5, 2, 1)
 SHARE, REPEATS = 1.5, 2
 #: Words, as the size of a document counts them.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Buckets of virtual time in one unit, and units after which one bucket takes the rest.
-TICKS, UNITS = 1024, 64
+#: Bins of virtual time that are counted at once; entries that are put in order in one task, at most.
+BINS, AT_ONCE = 4096, 100_000
+#: The order in which entries leave.
+ORDER = ("end", "k", "rank", "tag", "doc_id", "size")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -42,17 +44,43 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, re
     return final.select("source", "source_size", "rank", F.least(F.col("cap"), F.coalesce(F.col("final") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted) of each document.
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
 
-    Null and empty texts have size 0 and are never taken; a null source is a source of its own, the last. Rows that
-    repeat (same id, source and size) leave together or not at all, so that reruns agree whatever the row order. An
-    empty table gives no rows. Other columns are left out.
+
+def _tag(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+
+
+def _cut(entries: DataFrame, budget: float):
+    """The end before which all entries leave, and the last entry that leaves at it or later; (None, None) if all leave.
+
+    Entries are counted in bins of their ends, then those of the bin in which the budget runs out in finer bins, until
+    they are few: only these are put in order. Entries that agree in all (repeated rows) are one.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    tag = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), tag.alias("tag"))
+    part, sent, lo = entries, 0, 0.0
+    found = part.agg(F.max("end").alias("hi"), F.count("*").alias("rows"), F.sum("size").alias("words")).first()
+    hi, rows = found.hi, found.rows
+    if not rows or found.words <= budget:
+        return None, None
+    while rows > AT_ONCE and lo < hi:
+        place = F.least(F.floor((F.col("end") - lo) / (hi - lo) * BINS), F.lit(BINS))
+        bins = part.groupBy(place.alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), F.min("end").alias("lo"), F.max("end").alias("hi"))
+        # as many rows as there are bins
+        for one in bins.orderBy("bin").collect():
+            if sent + one.words > budget:
+                break
+            sent += one.words
+        lo, hi, rows = one.lo, one.hi, one.rows
+        part = entries.where(F.col("end").between(lo, hi))
+    few = part.groupBy(*ORDER).agg(F.sum("size").alias("words"))
+    inside = few.withColumn("upto", F.sum("words").over(Window.orderBy(*ORDER)) + sent)
+    return lo, inside.where(F.col("upto") <= budget).orderBy(*[F.desc(c) for c in ORDER]).select(*ORDER).first()
+
+
+def _queues(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, weights: tuple, share: float, repeats: int, scratch: Scratch) -> tuple[DataFrame, list[Column]]:
+    """A row per document in the queue of its source, and of each round through the queue the condition that it leaves."""
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _tag(id_col, seed).alias("tag"))
     sized = scratch.keep(sized, "sized")
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
     plan = scratch.keep(plan, "plan")
@@ -72,44 +100,55 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def place(k: int) -> Column:
         return F.struct(F.col(f"end{k}").alias("end"), F.lit(k).alias("k"), "rank", "tag", F.coalesce("doc_id", F.lit(None)).alias("doc_id"), "size")
 
-    entries = queued.select(F.explode(F.array(*[place(k) for k in range(repeats)])).alias("e")).select("e.*").where("end is not null").withColumn("tick", F.least(F.floor(F.col("end") * TICKS), F.lit(TICKS * UNITS)))
-    ticks = entries.groupBy("tick").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("tick")))
-    over = ticks.where(F.col("upto") > budget).orderBy("tick").select("tick", F.col("upto") - F.col("n")).first()
-    if over is None:
-        cut = F.lit(True)
-        taken = sum((F.when(F.col(f"end{k}").isNotNull() & cut, F.col("size")).otherwise(F.lit(0)) for k in range(repeats)), F.lit(0))
-    else:
-        order = ["end", "k", "rank", "tag", "doc_id", "size"]
-        inside = entries.where(F.col("tick") == over[0]).withColumn("upto", F.sum("size").over(Window.orderBy(*order)) + over[1])
-        last = inside.where(F.col("upto") <= budget).orderBy(*[F.desc(c) for c in order]).select(*order).first()
-
-        def leaves(k: int) -> Column:
-            end = F.col(f"end{k}")
-            early = F.floor(end * TICKS) < over[0]
-            if last is None:
-                return early
-            marks = [(end, last["end"]), (F.lit(k), last["k"]), (F.col("rank"), last["rank"]), (F.col("tag"), last["tag"]), (F.col("doc_id"), last["doc_id"]), (F.col("size"), last["size"])]
-            upto = F.lit(True)
-            for mine, its in reversed(marks):
-                upto = upto if its is None else (mine < F.lit(its)) | ((mine == F.lit(its)) & upto)
-            return early | upto
-
-        taken = sum((F.when(F.coalesce(leaves(k), F.lit(False)), F.col("size")).otherwise(F.lit(0)) for k in range(repeats)), F.lit(0))
+    entries = queued.select(F.explode(F.array(*[place(k) for k in range(repeats)])).alias("e")).select("e.*").where("end is not null")
+    before, last = _cut(entries, budget)
+
+    def leaves(k: int) -> Column:
+        end = F.col(f"end{k}")
+        if before is None:
+            return end.isNotNull()
+        early = end < before
+        if last is None:
+            return early
+        marks = [(end, last["end"]), (F.lit(k), last["k"]), (F.col("rank"), last["rank"]), (F.col("tag"), last["tag"]), (F.col("doc_id"), last["doc_id"]), (F.col("size"), last["size"])]
+        upto = F.lit(True)
+        for mine, its in reversed(marks):
+            upto = upto if its is None else (mine < F.lit(its)) | ((mine == F.lit(its)) & upto)
+        return early | upto
+
+    return queued, [F.coalesce(leaves(k), F.lit(False)) for k in range(repeats)]
+
+
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words that the mix takes, repeats counted) of each document.
+
+    Null and empty texts have size 0 and are never taken; a null source is a source of its own, the last. Rows that
+    repeat (same id, source and size) leave together or not at all, so that reruns agree whatever the row order. An
+    empty table gives no rows. Other columns are left out.
+    """
+    queued, leave = _queues(docs, id_col, text_col, source_col, seed, weights, share, repeats, Scratch(docs.sparkSession, "mix"))
+    taken = sum((F.when(one, F.col("size")).otherwise(F.lit(0)) for one in leave), F.lit(0))
     return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "tag")
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
     """The documents that the mix takes, with their columns, and taken: their words in it, repeats counted.
 
-    A row of the mix stands for all rows of its id, source and size, which leave together. A column taken of the
-    documents' own is left out.
+    What leaves of a queue is its beginning, so that a source's last document that leaves, one for each round, tells
+    which of its rows leave, and the documents themselves are not shuffled. A column taken of the documents' own is left
+    out.
     """
-    plan = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).distinct()
+    scratch = Scratch(docs.sparkSession, "mixed")
+    queued, leave = _queues(docs, id_col, text_col, source_col, seed, weights, share, repeats, scratch)
+    at = F.struct("tag", F.coalesce("doc_id", F.lit(None)).alias("doc_id"), "size")
+    lasts = queued.groupBy(F.col("source").alias("__source")).agg(*[F.max(F.when(one, at)).alias(f"__last{k}") for k, one in enumerate(leave)])
+    lasts = scratch.hint(scratch.keep(lasts, "lasts"), "lasts")
     inner, back = aliased(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "taken"]), {id_col, text_col, source_col})
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (size == F.col("__size"))
-    return inner.join(plan, same).select(*back, F.col("__taken").alias("taken"))
+    sized = inner.withColumn("__size", _size(text_col)).where("__size > 0")
+    here = F.struct(_tag(id_col, seed).alias("tag"), F.coalesce(F.col(id_col), F.lit(None)).alias("doc_id"), F.col("__size").alias("size"))
+    taken = sum((F.when(here <= F.col(f"__last{k}"), F.col("__size")).otherwise(F.lit(0)) for k in range(repeats)), F.lit(0)).cast("long")
+    rows = sized.join(lasts, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__taken", taken).where("__taken > 0")
+    return rows.select(*back, F.col("__taken").alias("taken"))
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -236,6 +236,21 @@ def test_mixing_keeps_its_bounds(docs, driver):
     assert all(abs(taken[s] - total[s]) <= 2 * largest for s in total)
 
 
+def test_the_cut_of_a_mix_is_found_in_finer_bins(docs, driver, monkeypatch):
+    tables = [docs, docs.unionAll(docs), driver("documents")]
+    key = lambda r: repr(tuple(r))
+    whole = [sorted(mixing.op8(df).collect(), key=key) for df in tables]
+    monkeypatch.setattr(mixing, "AT_ONCE", 1)
+    monkeypatch.setattr(mixing, "BINS", 3)
+    for df, want in zip(tables, whole, strict=True):
+        assert sorted(mixing.op8(df).collect(), key=key) == want
+        # documents are taken as the table of decisions says, without meeting it
+        left = sorted((repr(r.doc_id), r.taken) for r in mixing.mixed_documents(df).collect())
+        assert left == sorted((repr(r.doc_id), r.taken) for r in want if r.taken)
+        plan = mixing.mixed_documents(df)._jdf.queryExecution().optimizedPlan().toString()
+        assert "strategy=broadcast" in plan
+
+
 def test_archives_round_trip(spark, tmp_path):
     big = "<html>" + text(5, 300)
     rows = [(1, "http://a/ü", big), (5, None, big), (5, "http://b", "tiny"), (None, "u", None), (3, "http://c", text(6, 200)), (2, "x", big)]
