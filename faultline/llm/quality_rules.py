@@ -154,6 +154,8 @@ def repeated_words(w: Words, size: int) -> np.ndarray:
 
 def duplicate_lines(data: np.ndarray, offsets: np.ndarray, w: Words) -> np.ndarray:
     """Of each row, the lines with a word that equal an earlier line."""
+    if not len(data):
+        return np.zeros(w.rows, np.int64)
     breaks = np.flatnonzero(data == 10)
     start = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     start = start[start < len(data)]
