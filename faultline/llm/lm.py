@@ -61,7 +61,7 @@ def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
     code = np.zeros(n, np.uint64)
     for j in range(depth, -1, -1):
         byte = np.full(n, 10, np.uint8)
-        byte[j:] = data[: n - j]
+        byte[j:] = data[: max(0, n - j)]
         code = code << np.uint64(8) | np.where(place >= j, byte, 10).astype(np.uint64)
     return code
 
@@ -311,7 +311,7 @@ def _score(part_of, depth: int, head_of, names: list[str]):
                 at = np.minimum(np.searchsorted(head.codes, w.hash[maybe]), max(0, len(head.codes) - 1))
                 hit = head.codes[at] == w.hash[maybe] if len(head.codes) else np.zeros(0, bool)
                 found = maybe[hit]
-                base = np.bincount(w.row[found], weights=head.score(head.counts[at[hit]]), minlength=n)
+                base = np.bincount(w.row[found], weights=head.score(head.counts[at[hit]]), minlength=n).astype(np.float64)
                 known = np.bincount(w.row[found], minlength=n)
                 rare = np.ones(len(w.hash), bool)
                 rare[found] = False
