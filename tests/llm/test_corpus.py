@@ -222,6 +222,15 @@ def test_swaps_lower_the_weight_of_groups():
     assert with_swaps < without
 
 
+def test_words_of_all_lines_are_counted(spark, monkeypatch):
+    seen, begin = [], lines.Rarity.__init__
+    monkeypatch.setattr(lines.Rarity, "__init__", lambda self, counts: seen.append(int(counts.sum())) or begin(self, counts))
+    rows = [(k, text(900 + k, 10 + k)) for k in range(40)] + EDGES
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    lines.op7(df)
+    assert seen == [sum(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))) for _, t in rows)]
+
+
 def test_mixing_keeps_its_bounds(docs, driver):
     for df in (docs, driver("documents")):
         rows = mixing.op8(df).collect()
