@@ -73,3 +73,32 @@ def test_texts_that_hold_quotes(spark):
         assert got == want
     assert not trees.holders(rows.limit(0), asked).count() and not trees.holders(rows, asked.limit(0)).count()
     assert trees.holders(rows, asked.limit(0)).columns == ["key", "quote_key"]
+
+
+def test_nearest_vectors_hold_few_similarities_at_once(spark):
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from faultline.operators import localize
+
+    rng = np.random.default_rng(3)
+    # coarse vectors: many ties, which go to the smaller id; some labels are null
+    x = rng.integers(-1, 2, (9000, 6)).astype(float) + 0.25
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, 9000, 6)
+    batch = pa.record_batch([pa.array(np.arange(9000)), pa.array(list(x)), pa.array([None if k % 7 == 0 else k % 5 for k in range(9000)], pa.int32())], names=["id", "vector", "label"])
+    tracemalloc.start()
+    (out,) = localize._nearest(SimpleNamespace(value=(asked, unit[asked])), 5, localize.TILE)(iter([batch.slice(0, 5000), batch.slice(0, 0), batch.slice(5000)]))
+    assert tracemalloc.get_traced_memory()[1] < 80e6
+    tracemalloc.stop()
+    near = np.round(unit[asked] @ unit.T, 9)
+    near[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-near, axis=1, kind="stable")[:, :5].ravel()
+    assert out.column("query").to_pylist() == np.repeat(asked, 5).tolist() and out.column("id").to_pylist() == want.tolist()
+    assert out.column("label").to_pylist() == [None if k % 7 == 0 else k % 5 for k in want.tolist()]
+    rows = spark.createDataFrame([(k, [1.0, float(k)], None if k == 2 else k) for k in range(4)], "id bigint, vector array<double>, label int").repartition(3)
+    got = localize.nearest(rows, rows.where("id = 0"), 5).orderBy("rank").collect()
+    assert [(r.query, r["rank"], r.id, r.label) for r in got] == [(0, 1, 1, 1), (0, 2, 2, None), (0, 3, 3, 3)]
