@@ -177,6 +177,21 @@ def test_the_index_of_a_line_is_as_long_as_the_line(spark):
     assert places.count() == 2000 and hops.count() == 0 and places.where("chain = 0 and place = sha").count() == 2000
 
 
+def test_ancestors_are_made_once_in_few_steps(spark, monkeypatch):
+    cuts, cut = [], history.cut
+    monkeypatch.setattr(history, "cut", lambda df: cuts.append(1) or cut(df))
+    monkeypatch.setattr(history, "BLOCK", 8, raising=False)
+    draw, up = random.Random(7), {}
+    parents = {k: [k - 1] * (k not in (0, 41)) + ([draw.randrange(k)] if k % 6 == 5 else []) for k in range(90)}
+    for k, ps in parents.items():
+        up[k] = {k}.union(*[up[p] for p in ps])
+    edges = spark.createDataFrame([(k, p, n) for k, ps in parents.items() for n, p in enumerate(ps or [None])], "sha int, parent int, ord int")
+    got = [tuple(r) for r in history.ancestors(edges, spark.createDataFrame([(k,) for k in [*range(0, 90, 9), 9, 500]], "sha int")).collect()]
+    assert sorted(got) == sorted([(k, a) for k in range(0, 90, 9) for a in up[k]] + [(500, 500)])
+    assert len(cuts) < 40
+    assert sorted(tuple(r) for r in history.ancestors(edges.drop("ord")).collect()) == sorted((k, a) for k in up for a in up[k])
+
+
 def said(failure="TYPE_ERROR", quote="line one", cause="a cause", files=()):
     return (failure, cause, 0.5, list(files), [quote])
 
