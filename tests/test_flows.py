@@ -279,3 +279,12 @@ def test_every_match_holds_a_factor(spark):
     lines = [("2 failed, 1 passed", True), ("all is well", False), ("mypy....Failed", True), (None, False)]
     df = spark.createDataFrame(lines, "t string, want boolean")
     assert all(r.got == r.want for r in df.withColumn("got", factors.may_match(F.col("t"), rules)).collect())
+
+
+@pytest.mark.parametrize(("gone", "most", "last"), [(None, 1000, 250), (120, 1000, 119), (200, 1000, 199), (201, 1000, 200), (1, 1000, 0), (None, 130, 130), (None, 100, 100), (120, 7, 7)])
+def test_pages_land_in_few_files_and_end_where_one_is_missing(spark, tmp_path, gone, most, last):
+    rows = spark.range(500).select((F.col("id") / 2 + 1).cast("int").alias("page"), F.col("id").alias("place"), F.struct(F.concat(F.lit("a\t\n"), "id").alias("name"), "id").alias("item"))
+    pages.land(rows.where(F.lit(gone).isNull() | (F.col("page") != gone)), uri(tmp_path / "l"))
+    assert len(list((tmp_path / "l").rglob("*.txt"))) == 3
+    got = pages.paginated(spark, uri(tmp_path / "l"), "id bigint, name string", per_page=2, max_pages=most).collect()
+    assert sorted((r.page, r.id, r.name) for r in got) == [(k // 2 + 1, k, f"a\t\n{k}") for k in range(2 * last)]
