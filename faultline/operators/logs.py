@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import patterns as P
@@ -102,12 +102,19 @@ def error_signature(lines: DataFrame, key: str) -> DataFrame:
     return best.select(key, F.col("best.exception").alias("exception"), F.col("best.message").alias("message"))
 
 
+def _headed() -> Column:
+    """The path that a line of a diff is the head of, empty for that of no file."""
+    return F.when(F.col("text").startswith("+++ b/"), F.substring(F.col("text"), 7, 4096)).when(F.col("text").startswith("+++ "), "")
+
+
+def _current(head, key: str) -> Column:
+    return F.last(head, ignorenulls=True).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+
+
 def diff_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:
     """key, pos, path, text of the lines of unified diffs; path is that of the file they belong to, null outside of any."""
     rows = lines_of(diffs, key, text)
-    path = F.when(F.col("text").startswith("+++ b/"), F.substring(F.col("text"), 7, 4096)).when(F.col("text").startswith("+++ "), "")
-    current = F.last(path, ignorenulls=True).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("path", F.nullif(current, F.lit(""))).select(key, "pos", "path", "text")
+    return rows.withColumn("path", F.nullif(_current(_headed(), key), F.lit(""))).select(key, "pos", "path", "text")
 
 
 def changed_text(diffs: DataFrame, key: str, text: str) -> DataFrame:
@@ -120,7 +127,9 @@ def changed_text(diffs: DataFrame, key: str, text: str) -> DataFrame:
 def changed_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:
     """key, path, changed, pos: lines added or removed in each file of a unified diff, and where the first is; a line that begins with three minus signs is taken for a head."""
     counted = F.substring("text", 1, 1).isin("+", "-") & ~F.col("text").startswith("+++ ") & ~F.col("text").startswith("---")
-    rows = diff_lines(diffs, key, text).where(counted & F.col("path").isNotNull())
+    # texts of lines stay where they are: their heads and places alone are shuffled
+    marked = lines_of(diffs, key, text).select(key, "pos", _headed().alias("head"), counted.alias("counted")).where("counted or head is not null")
+    rows = marked.withColumn("path", _current("head", key)).where("counted and path <> ''")
     return rows.groupBy(key, "path").agg(F.count("*").alias("changed"), F.min("pos").alias("pos"))
 
 

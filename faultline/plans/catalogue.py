@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import columns as C
 from faultline.functions import patterns as P
-from faultline.operators import localize, logs, references, rules, scoring, streaks
+from faultline.operators import history, localize, logs, references, rules, scoring, streaks
 from faultline.plans import cases, changes, evaluations, flows  # noqa: F401  they register their queries
 from faultline.plans import derived as D
 from faultline.plans import inline as I
@@ -420,14 +420,19 @@ tp AS (SELECT id, path, reasons FROM mg WHERE strong < 2 QUALIFY row_number() OV
 
 def _searched(s, d):
     """Lines of all logs in the order of the search, the lines themselves, and the cases."""
-    lines = D.log_bodies(s, d).select("id", "pos", "text")
+    # many steps read the lines, which are cut and timed once
+    lines = history.cut(D.log_bodies(s, d).select("id", "pos", "text"))
     cases = read(s, d, "documents").select(F.col("doc_id").alias("id"), F.expr(_CASE["step"]).alias("step"), F.expr(_CASE["job"]).alias("job"), (F.expr(_CASE["tests"]) == "y").alias("tests"))
     return rules.searched(logs.error_lines(lines, "id"), lines), lines, cases
 
 
-def _top_suspects(s, d, lines):
+def _changed(s, d):
+    return logs.changed_lines(D.diff_texts(s, d), "id", "text")
+
+
+def _top_suspects(lines, edits):
     named = references.file_references(lines, "id").select("id", F.col("rank").alias("pos"), "path")
-    changed = logs.changed_lines(D.diff_texts(s, d), "id", "text").select("id", "pos", "path", F.col("changed").alias("lines"))
+    changed = edits.select("id", "pos", "path", F.col("changed").alias("lines"))
     tests = logs.failing_tests(lines, "id").select("id", F.explode(F.split("tests", ",")).alias("path"))
     return localize.suspects(named, changed, tests, "id", top=1).select("id", "path", "reasons")
 
@@ -442,8 +447,9 @@ FROM cl JOIN {_WHAT} ON w.category = cl.category LEFT JOIN tp t ON t.id = cl.id
 def baseline_diagnosis(s, d):
     """Every document's case: what failed, the root error, the top suspect of its log, its diff and its tests."""
     order, lines, cases = _searched(s, d)
-    changes = logs.changed_lines(D.diff_texts(s, d), "id", "text").select("id", "path", F.concat(F.lit("commit of "), "path").alias("subject"))
-    told = rules.diagnose(rules.classify(order, cases), _top_suspects(s, d, lines), "id", logs.error_signature(lines, "id"), changes)
+    edits = history.cut(_changed(s, d))
+    changes = edits.select("id", "path", F.concat(F.lit("commit of "), "path").alias("subject"))
+    told = rules.diagnose(rules.classify(order, cases), _top_suspects(lines, edits), "id", logs.error_signature(lines, "id"), changes)
     return told.select("id", "failure_type", "confidence", "root_cause")
 
 
@@ -459,7 +465,8 @@ FROM cl JOIN sp ON sp.id = cl.id LEFT JOIN tp ON tp.id = cl.id LEFT JOIN sn ON s
 def baseline_evidence(s, d):
     """The pieces of evidence of every document's case."""
     order, lines, cases = _searched(s, d)
-    top = _top_suspects(s, d, lines)
+    # the suspects are asked for twice
+    top = history.cut(_top_suspects(lines, _changed(s, d)))
     asked = D.diff_texts(s, d).drop("path").join(top.select("id", "path"), "id")
     found = rules.evidence_items(rules.classify(order, cases), lines, top, logs.diff_section(asked, "id", "text", "path"), cases)
     return found.select("id", F.array_join(F.transform("items", lambda x: F.concat_ws("|", x["source"], x["location"], x["excerpt"], x["explanation"])), "\n").alias("items"))

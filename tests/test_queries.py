@@ -180,3 +180,10 @@ def test_records_are_read_and_written(spark, tmp_path):
     got = records.read_reports(spark, f"{tmp_path}/[ab]/report.json", "system string, cases int")
     assert sorted((r.path.split("/")[-2], r.system, r.cases) for r in got.collect()) == [("a", "a", 3), ("b", "b", 3)]
     assert records.read_predictions(spark, str(tmp_path / "yes")).columns[0] == "case_id"
+
+
+@pytest.mark.parametrize("name", ["baseline_diagnosis", "baseline_evidence"])
+def test_lines_of_logs_are_made_once(spark, name):
+    plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    # the last line of every log, as it is made
+    assert "Post job cleanup" not in plan
