@@ -77,7 +77,7 @@ def _based(s, d, edges, index):
 @query(f"WITH RECURSIVE {_BASES} SELECT user_id, flow, red, base, base_kind FROM based")
 def window_base(s, d):
     """What every streak of a user's workflow is compared with; of the commits every fifth isn't available."""
-    edges = _edges(s, d)
+    edges = history.cut(_edges(s, d))
     return _based(s, d, edges, history.reach_index(edges)).select("user_id", "flow", "red", "base", "base_kind")
 
 
@@ -85,6 +85,6 @@ def window_base(s, d):
 SELECT red, base, up.ancestor AS sha FROM pairs JOIN up ON up.sha = red WHERE ahead AND NOT EXISTS (SELECT 1 FROM up x WHERE x.sha = base AND x.ancestor = up.ancestor) UNION ALL SELECT red, base, red FROM pairs WHERE NOT ahead""")
 def window_commits(s, d):
     """The commits of every streak that may have broken it."""
-    edges = _edges(s, d)
+    edges = history.cut(_edges(s, d))
     index = history.reach_index(edges)
     return history.window_commits(history.cut(_based(s, d, edges, index)), edges, index)

@@ -177,6 +177,16 @@ def test_the_index_of_a_line_is_as_long_as_the_line(spark):
     assert places.count() == 2000 and hops.count() == 0 and places.where("chain = 0 and place = sha").count() == 2000
 
 
+def test_the_index_takes_as_many_rounds_as_the_longest_way_has_doublings(spark, monkeypatch):
+    cuts, cut = [], history.cut
+    monkeypatch.setattr(history, "cut", lambda df: cuts.append(1) or cut(df))
+    # a chain of two commits for each k, whose second one merges the second one of the chain before
+    rows = [r for k in range(40) for r in [(2 * k, None, 0), (2 * k + 1, 2 * k, 0)] + [(2 * k + 1, 2 * k - 1, 1)] * (k > 0)]
+    places, hops = history.reach_index(spark.createDataFrame(rows, "sha int, parent int, ord int"))
+    assert sorted(tuple(r) for r in hops.collect()) == [(2 * k, 1, 2 * j, 1) for k in range(40) for j in range(k)]
+    assert places.count() == 80 and len(cuts) < 16
+
+
 def test_ancestors_are_made_once_in_few_steps(spark, monkeypatch):
     cuts, cut = [], history.cut
     monkeypatch.setattr(history, "cut", lambda df: cuts.append(1) or cut(df))
