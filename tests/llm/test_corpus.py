@@ -10,6 +10,8 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,6 +224,30 @@ def test_swaps_lower_the_weight_of_groups():
     assert with_swaps < without
 
 
+def test_lines_compared_together_have_the_distances_of_the_table():
+    draw = random.Random(5)
+    said = [[draw.randrange(12) for _ in range(draw.choice([1, 2, 9, 30, 63, 64, 65, 80]))] for _ in range(60)]
+    said += [x[:k] + [99] + x[k + 1 :] for x in said for k in (0, 7)]
+    test = lines.Worded(pa.table({"words": pa.array([np.array(x, np.uint32).tobytes() for x in said], pa.binary())}), 0.4)
+    a, b = np.triu_indices(len(said), 1)
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for k, p in enumerate(x, 1):
+            before, row = row, [k]
+            for j, q in enumerate(y, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (p != q)))
+        return row[-1]
+
+    some = np.random.default_rng(1).choice(len(a), 1500, replace=False)
+    got = test.linked(a[some], b[some])
+    want = [edits(said[x], said[y]) <= int(max(len(said[x]), len(said[y])) * 0.6 + 1e-9) for x, y in zip(a[some], b[some], strict=True)]
+    assert got.tolist() == want and 0 < sum(want) < len(want)
+    short = [k for k in range(len(said)) if len(said[k]) <= lines.LANES]
+    x, y = np.array(short[:-1]), np.array(short[1:])
+    assert test._distances(x, y).tolist() == [edits(said[p], said[q]) for p, q in zip(x, y, strict=True)]
+
+
 def test_words_of_all_lines_are_counted(spark, monkeypatch):
     seen, begin = [], lines.Rarity.__init__
     monkeypatch.setattr(lines.Rarity, "__init__", lambda self, counts: seen.append(int(counts.sum())) or begin(self, counts))
