@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import diffs, history
+from faultline.plans import cases
 
 
 def longest_common(a, b):
@@ -96,3 +98,39 @@ def test_bases_of_windows(spark):
     since = history.window_commits(based.where(F.col("name").isin("green", "pull")), edges)
     assert sorted((x.red, x.sha) for x in since.collect()) == [(3, 3), (5, 4), (5, 5)]
     assert history.window_base(windows.limit(0), edges, known).count() == 0
+
+
+def test_commits_are_amended_if_all_their_parents_are_equal(spark):
+    parents = {"m": ["a", "b", "c"], "n": ["c", "b", "a"], "o": ["a", "d", "c"], "p": ["a", "c"], "q": ["c", "a"], "r": ["a,c"], "s": ["a"], "t": ["a", "a"]}
+    edges = [(k, p, o) for k, ps in parents.items() for o, p in enumerate(ps)] + [(k, None, 0) for k in "abcd"]
+    pairs = [(x, y) for x in [*parents, "a", "gone"] for y in [*parents, "a", "gone"]]
+    got = history.relation(spark.createDataFrame(pairs, "red string, green string"), spark.createDataFrame(edges, "sha string, parent string, ord int"))
+    want = {}
+    for x, y in pairs:
+        alike = "amend" if set(parents.get(x, ())) == set(parents.get(y, ())) else "diverged"
+        want[x, y] = "identical" if x == y else "ahead" if x in parents.get(y, ()) else "unknown" if {x, y} & {"a", "gone"} else alike
+    assert {(x.red, x.green): x.relation for x in got.collect()} == want
+
+
+def test_edges_of_events_come_of_one_order_and_agree_with_sql(spark, tmp_path):
+    kinds = ["purchase", "view", "error"]
+    rows = [(None if k % 11 == 0 else k, k * 7 % 200, k % 4 + 10, kinds[k % 3]) for k in range(200)]
+    events = spark.createDataFrame(rows, "event_id bigint, at bigint, user_id bigint, event_type string")
+    events.select("event_id", F.timestamp_seconds("at").alias("ts"), "user_id", "event_type").write.parquet(str(tmp_path / "events.parquet"))
+    edges = cases._edges(spark, str(tmp_path))
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = duckdb.sql(f"WITH events AS (FROM '{tmp_path}/events.parquet/*.parquet'), {cases._EDGES} SELECT sha, parent FROM own WHERE sha IS NOT NULL UNION ALL SELECT sha, parent FROM g WHERE sha IS NOT NULL AND parent IS NOT NULL EXCEPT ALL SELECT sha, parent FROM own WHERE parent IS NOT NULL").fetchall()
+    got = [(r.sha, r.parent) for r in edges.where("sha is not null").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_cut_leaves_the_session_as_it_was(spark):
+    held, seen = spark.conf.get(history._HELD), []
+    rows = spark.range(100).select(F.col("id").alias("sha"))
+    rows.sparkSession.conf.set(history._HELD, "7b")
+    try:
+        assert history.cut(rows).count() == 100
+        seen.append(spark.conf.get(history._HELD))
+    finally:
+        spark.conf.set(history._HELD, held)
+    assert seen == ["7b"]
