@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from faultline.llm import chat, decontaminate, lines, lm, minhash, mixing, quality_classifier, quality_rules, toxicity, warc
+from faultline.llm import chat, common, decontaminate, lines, linking, lm, minhash, mixing, quality_classifier, quality_rules, toxicity, warc
 
 DATA = "/root/testdata/sf0.001"
 EDGES = [(None, None), (1, ""), (2, "  \n\t "), (3, None), (4, "one two"), (4, "one two"), (5, "\x00 #*$ é")]
@@ -505,3 +505,20 @@ def test_longest_matches_equal_brute_force(spark, block_bytes):
         for m in r.matches:
             x = low(items[m["item_id"]]).split()
             assert w[m["doc_word"] : m["doc_word"] + m["words"]] == x[m["item_word"] : m["item_word"] + m["words"]]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_keys_that_items_share_are_found_in_packed_pieces(spark, packed):
+    draw = random.Random(3)
+    keys = {node: [draw.randrange(400) for _ in range(5)] + [1000] * (node % 3 == 0) + [node + 5000] * 2 for node in range(-150, 150)}
+    rows = [(node, 40 + node % 7, ks) for node, ks in keys.items()] * 2 + [(7, 47 - 7, keys[7])] * 200
+    draw.shuffle(rows)
+    held = {k: {node for node, ks in keys.items() if k in ks} for ks in keys.values() for k in ks}
+    want = {int(linking.mix(np.array([k], np.uint64)).view(np.int64)[0]): nodes for k, nodes in held.items() if len(nodes) > 1}
+    given = [(node, size, np.array(ks, "<i8").tobytes() if packed else ks) for node, size, ks in rows]
+    table = spark.createDataFrame(given, f"node bigint, size bigint, keys {'binary' if packed else 'array<bigint>'}").repartition(3)
+    shared, counted = linking.shared_buckets(table, common.Scratch(spark, "keys"), dealt=700, often=9)
+    got = [(r.key, r.node) for r in shared.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(k, node) for k, nodes in want.items() for node in nodes}
+    assert all(abs(r["size"] - 40 - r.node % 7) <= 1 for r in shared.collect())
+    assert sorted((r.key, r.n) for r in counted.collect()) == sorted((k, len(nodes)) for k, nodes in want.items())
