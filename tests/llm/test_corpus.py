@@ -146,6 +146,27 @@ def test_near_lines_equal_brute_force(spark):
     assert {r.doc_id for r in lines.op7(df).where("n_lines_removed = 0").collect()} == firsts and len(firsts) < 80
 
 
+def test_long_lines_meet_though_all_their_rare_words_differ(spark):
+    common = text(70, 80).split()
+    rows, want = [], {}
+    for k, n in enumerate((35, 40, 60, 100, 200)):
+        most = n // 5
+        base = random.Random(k).choices(common, k=n)
+        for j, (edits, near) in enumerate([(0, True), (most, True), (most, False)]):
+            line = list(base)
+            # every rare word is another one, at places that part the pairs of words as much as edits can
+            for at in range(most):
+                line[5 * at + 2] = f"rare{k}x{j if at < edits else 0}x{at}"
+            if not near:
+                line[0] = line[1] = "other"
+            rows.append((3 * k + j, " ".join(line)))
+            want[3 * k + j] = j == 1
+    rows += [(100 + k, " ".join(random.Random(50 + k).choices(common, k=60))) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    gone = {r.doc_id for r in lines.op7(df).where("n_lines_removed > 0").collect()}
+    assert gone == {k for k, near in want.items() if near}
+
+
 def test_decontamination_equals_brute_force(spark):
     passage, short = text(9, 30), "just four words here"
     items = [("i1", passage), ("i2", short), ("i3", ""), (None, text(10, 20)), ("i1b", passage)]
