@@ -187,3 +187,15 @@ def test_lines_of_logs_are_made_once(spark, name):
     plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     # the last line of every log, as it is made
     assert "Post job cleanup" not in plan
+
+
+def test_ids_of_every_shape_are_checked_as_the_miner_does(spark):
+    def repository(name):
+        owner, _, repo = name.partition("/")
+        return bool(owner and repo and "/" not in repo)
+
+    rows = catalogue.QUERIES["id_checks"](spark, DATA).collect()
+    names = {r.name for r in rows}
+    assert {None, "abc", "./.", "../x"} <= names and any(n and n.startswith("own.er/na-me_") for n in names)
+    assert all(r.repository == (r.name is not None and repository(r.name)) for r in rows)
+    assert {r.sha for r in rows} == {r.repository for r in rows} == {True, False}
